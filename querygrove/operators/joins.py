@@ -23,7 +23,3 @@ def salted_lookup(facts: DataFrame, lookup: DataFrame, keys: list[str], how: str
     joined = facts.withColumn("_salt", spread).join(repeated, [*keys, "_salt"], how)
     return joined.drop("_salt")
 
-
-def null_safe_key(*columns: str):
-    """One comparable key from several nullable columns."""
-    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import curation_queries  # noqa: F401
+from . import curation_queries, reward_queries, round_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
