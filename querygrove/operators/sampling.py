@@ -27,21 +27,29 @@ def cap_per_group(rows: DataFrame, group: list[str], keys: list[str], limit: int
     return rows.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= limit).drop("_rank")
 
 
-def ranked(rows: DataFrame, keys: list[str], seed: int = 42, name: str = "shuffle_rank") -> DataFrame:
-    """A global random rank from 1, without sorting all rows in one task.
+def _ranges(rows: DataFrame, keys: list[str], seed: int) -> tuple[DataFrame, DataFrame]:
+    """Rows marked with their digest range, and the rank each range starts at.
 
-    Rows fall into ``2**16`` digest ranges.  The counts of the ranges, a table
-    of at most that many rows, give the first rank of each range; the ranges
-    are then ranked apart.  Keys must be unique: equal keys share a range.
+    The second frame has at most ``2**16`` rows whatever the size of the first.
     """
     digest = seeded_digest(seed, *[F.col(k) for k in keys])
-    bits = F.conv(F.substring(digest, 1, RANK_BITS // 4), 16, 10).cast("int")
-    marked = rows.withColumn("_digest", digest).withColumn("_range", bits)
+    number = F.conv(F.substring(digest, 1, RANK_BITS // 4), 16, 10).cast("int")
+    marked = rows.withColumn("_digest", digest).withColumn("_range", number)
     counts = marked.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_range", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return marked, starts
+
+
+def ranked(rows: DataFrame, keys: list[str], seed: int = 42, name: str = "shuffle_rank") -> DataFrame:
+    """A global random rank from 1, without sorting all rows in one task.
+
+    Digest ranges are ranked apart and then shifted by the counts of the ranges
+    before them.  Keys must be unique, as equal keys share a range.
+    """
+    marked, starts = _ranges(rows, keys, seed)
     within = F.row_number().over(Window.partitionBy("_range").orderBy("_digest", *keys))
-    return (marked.join(F.broadcast(starts), "_range")  # at most 2**16 rows
+    return (marked.join(F.broadcast(starts.drop("_n")), "_range")  # at most 2**16 rows
             .withColumn(name, F.col("_start") + within)
             .drop("_digest", "_range", "_start"))
 
@@ -55,15 +63,23 @@ def sample_fraction(rows: DataFrame, keys: list[str], fraction: float = 0.5, see
                     exact: bool = True) -> DataFrame:
     """A random share of the rows.
 
-    Exact: the rounded number of rows, halves to even.  Otherwise a digest
-    threshold, one narrow pass, the count right on average.
+    Exact: the rounded number of rows, halves to even.  The cut-off digest is
+    looked up in the one range that holds it, so whole rows are filtered where
+    they are and never shuffled.  Otherwise a digest threshold, whose count is
+    right on average.
     """
     if not exact:
         return rows.filter(seeded_uint32(seed, *[F.col(k) for k in keys]) < int(fraction * UINT32))
-    numbered = ranked(rows, keys, seed, "_rank")
-    wanted = rows.agg(F.bround(F.count(F.lit(1)) * F.lit(fraction)).cast("bigint").alias("_wanted"))
-    return (numbered.join(F.broadcast(wanted), F.col("_rank") <= F.col("_wanted"))  # one row
-            .drop("_rank", "_wanted"))
+    marked, starts = _ranges(rows.select(*keys), keys, seed)
+    total = F.sum("_n").over(Window.partitionBy())
+    edge = (starts.withColumn("_left", F.bround(total * F.lit(fraction)).cast("bigint") - F.col("_start"))
+            .filter((F.col("_left") > 0) & (F.col("_left") <= F.col("_n"))))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy("_digest", *keys))
+    cut = (marked.join(F.broadcast(edge), "_range")  # one row
+           .withColumn("_rank", within).filter(F.col("_rank") == F.col("_left"))
+           .select(F.struct("_digest", *keys)))
+    digest = seeded_digest(seed, *[F.col(k) for k in keys]).alias("_digest")
+    return rows.filter(F.struct(digest, *keys) <= cut.scalar())
 
 
 def split(rows: DataFrame, keys: list[str], test_share: float = 0.01, seed: int = 42) -> DataFrame:

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from . import curation_queries, reward_queries, round_queries  # noqa: F401
+from . import (  # noqa: F401
+    catalog_queries,
+    curation_queries,
+    reward_queries,
+    round_queries,
+    scoring_queries,
+)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
