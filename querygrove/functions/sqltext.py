@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import BLANK, WORD, collapse_blanks, strip
+from .text import BLANK, WORD, collapse_blanks, let, strip
 
 # The Markdown fence that marks SQL in a model response.
 FENCE = "`" * 3
@@ -101,18 +101,22 @@ def tokens(query: Column) -> Column:
     """Words of the lower-cased query in order, without aliases and ``as``."""
     skip = F.array_append(aliases(query), F.lit("as"))
     all_words = F.regexp_extract_all(F.lower(query), F.lit(f"({WORD})"), F.lit(1))
-    return F.filter(all_words, lambda w: ~F.array_contains(skip, w))
+    return let(F.struct(all_words.alias("words"), skip.alias("skip")),
+               lambda q: F.filter(q["words"], lambda w: ~F.array_contains(q["skip"], w)))
 
 
 def ngrams(query: Column, n: int = 1) -> Column:
     """The set of n-grams over :func:`tokens`, each joined by one space."""
-    found = tokens(query)
     if n <= 1:
-        return F.array_distinct(found)
-    last = F.size(found) - F.lit(n - 1)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
-                        lambda i: F.array_join(F.slice(found, i, F.lit(n)), " "))
-    return F.when(last < 1, F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
+        return F.array_distinct(tokens(query))
+
+    def grams(found: Column) -> Column:
+        last = F.size(found) - F.lit(n - 1)
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
+                           lambda i: F.array_join(F.slice(found, i, F.lit(n)), " "))
+        return F.when(last < 1, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
+
+    return let(tokens(query), grams)
 
 
 def jaccard(left: Column, right: Column) -> Column:

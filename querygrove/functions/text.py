@@ -6,6 +6,8 @@ same text can be used in a DuckDB check.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,15 @@ BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
 WORD = r"[\p{L}\p{N}_]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value computed once.
+
+    An expression named inside a lambda is evaluated again for every element;
+    a lambda variable is not.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(text: Column) -> Column:
     """Remove blanks of any kind at both ends (``trim`` removes spaces only)."""
     return F.regexp_replace(text, rf"^{BLANK}+|{BLANK}+$", "")

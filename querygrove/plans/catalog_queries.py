@@ -53,16 +53,15 @@ def _duck(names: str, ctes: str, select: str) -> str:
 
 
 def lake(spark, sf_dir):
-    return (fx.view(spark, sf_dir, "lake_columns").select("db_id", "table_name", "column_name", "ordinal", "data_type"),
-            fx.view(spark, sf_dir, "lake_keys"))
+    columns = fx.stored(spark, sf_dir, "lake_columns").select(
+        "db_id", "table_name", "column_name", "ordinal", "data_type")
+    return columns, catalog.resolve_keys(fx.stored(spark, sf_dir, "lake_keys"), columns)
 
 
 def lake_metadata(spark, sf_dir):
     columns, keys = lake(spark, sf_dir)
-    stats = fx.sql(spark, sf_dir, "lake_stats lake_columns", """
-        SELECT c.db_id, c.table_name, c.column_name, n_nonnull, n_distinct, n_null, array(low_value, high_value) AS examples
-        FROM lake_stats s JOIN lake_columns c ON s.db_id = c.db_id AND s.table_name = c.table_name AND s.ordinal = c.ordinal""")
-    return columns, keys, catalog.enriched(columns, keys, fx.view(spark, sf_dir, "lake_descriptions"), stats)
+    stats = fx.stored(spark, sf_dir, "lake_profile").withColumn("examples", F.array("low_value", "high_value"))
+    return columns, keys, catalog.enriched(columns, keys, fx.stored(spark, sf_dir, "lake_descriptions"), stats)
 
 
 def _refs(name):
@@ -71,8 +70,7 @@ def _refs(name):
 
 @query("cat_keys_resolved", _duck("lake_columns lake_keys", PK, "SELECT db_id, table_name, column_name, ref_table, ref_column FROM fk"))
 def keys_resolved(spark, sf_dir):
-    columns, keys = lake(spark, sf_dir)
-    return catalog.foreign_keys(keys, columns)
+    return lake(spark, sf_dir)[1].foreign
 
 
 @query("cat_enriched", _duck(LAKE, ENRICHED, """
@@ -87,7 +85,7 @@ def enriched(spark, sf_dir):
 
 def selection(spark, sf_dir):
     columns, _ = lake(spark, sf_dir)
-    return catalog.subselect(columns, fx.view(spark, sf_dir, "lake_requests"))
+    return catalog.subselect(columns, fx.stored(spark, sf_dir, "lake_requests"))
 
 
 @query("cat_subselect", _duck("lake_columns lake_requests", SELECTED, "SELECT db_id, table_name, column_name FROM chosen"))
@@ -111,7 +109,7 @@ def from_records(spark, sf_dir):
     columns, _ = lake(spark, sf_dir)
     lists = catalog.to_column_lists(columns, "ordinal")
     again = catalog.from_column_lists(lists)
-    described = catalog.set_fields(again, fx.view(spark, sf_dir, "lake_descriptions"), catalog.DESCRIPTION_FIELDS)
+    described = catalog.set_fields(again, fx.stored(spark, sf_dir, "lake_descriptions"), catalog.DESCRIPTION_FIELDS)
     counts = described.groupBy("db_id", "table_name").agg(
         F.count_if(F.col("column_description") != "").alias("n_described"))
     return (lists.join(counts, ["db_id", "table_name"])

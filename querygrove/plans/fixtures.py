@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import fresh_path
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -161,6 +163,11 @@ FROM (SELECT l_suppkey, l_partkey, l_quantity, l_tax, l_returnflag || l_linestat
 JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3
 """)
 
+_view("lake_profile", """
+SELECT c.db_id, c.table_name, c.column_name, n_nonnull, n_distinct, n_null, low_value, high_value
+FROM lake_stats s JOIN lake_columns c ON s.db_id = c.db_id AND s.table_name = c.table_name AND s.ordinal = c.ordinal
+""", "lake_stats lake_columns")
+
 _view("lake_descriptions", """
 SELECT db_id, lower(table_name) AS table_name, upper(column_name) AS column_name,
  CASE ordinal % 3 WHEN 0 THEN '' WHEN 1 THEN lower(column_name) ELSE 'meaning ' || CAST(ordinal AS STRING) END AS expanded_name,
@@ -213,3 +220,20 @@ def sql(spark: SparkSession, sf_dir: str, names: str, select: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return sql(spark, sf_dir, name, f"SELECT * FROM {name}")
+
+
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A view written once per application to the shared folder.
+
+    For views that stand in for stored inputs, such as a catalog.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    frame = view(spark, sf_dir, name)
+    if key not in _STORED:
+        path = fresh_path(spark, name)
+        frame.write.parquet(path)
+        _STORED[key] = path
+    return spark.read.schema(frame.schema).parquet(_STORED[key])
