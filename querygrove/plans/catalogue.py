@@ -5,6 +5,8 @@ from __future__ import annotations
 from . import (  # noqa: F401
     catalog_queries,
     curation_queries,
+    linking_queries,
+    profile_queries,
     reward_queries,
     round_queries,
     scoring_queries,

@@ -185,6 +185,38 @@ UNION ALL SELECT db_id, 'nowhere' AS table_name, column_name FROM lake_columns W
 UNION ALL SELECT db_id, table_name, 'no such column' AS column_name FROM lake_columns WHERE column_name LIKE 'note%'
 """, "lake_columns")
 
+# Text cells of many small databases, 500 customers or parts in each.
+_view("cells", """
+SELECT 'shop' || CAST(CAST(floor(c_custkey / 500) AS BIGINT) AS STRING) AS db_id, 'customer' AS table_name, 'c_name' AS column_name, c_name AS value FROM customer
+UNION ALL SELECT 'shop' || CAST(CAST(floor(c_custkey / 500) AS BIGINT) AS STRING), 'customer', 'c_mktsegment', c_mktsegment FROM customer
+UNION ALL SELECT 'shop' || CAST(CAST(floor(p_partkey / 500) AS BIGINT) AS STRING), 'part', 'p_name', p_name FROM part
+UNION ALL SELECT 'shop' || CAST(CAST(floor(p_partkey / 500) AS BIGINT) AS STRING), 'part', 'p_brand', p_brand FROM part
+UNION ALL SELECT 'shop' || CAST(CAST(floor(p_partkey / 500) AS BIGINT) AS STRING), 'part', 'p_type', p_type FROM part
+""")
+
+_view("cell_columns", """
+SELECT DISTINCT db_id, table_name, column_name, 'TEXT' AS data_type FROM cells
+""", "cells")
+
+_view("cell_keys", """
+SELECT DISTINCT db_id, 'part' AS table_name, 'p_type' AS column_name, 'pk' AS kind FROM cells
+""", "cells")
+
+# Keywords of the questions over each of those databases: misspelt names,
+# hints, and names cut from another table.
+_view("keywords", """
+SELECT DISTINCT 'shop' || CAST(CAST(floor(p_partkey / 500) AS BIGINT) AS STRING) AS db_id, replace(p_name, 'in', 'im') AS keyword FROM part
+UNION SELECT 'shop' || CAST(CAST(floor(p_partkey / 500) AS BIGINT) AS STRING), 'p_brand = ' || p_brand FROM part
+UNION SELECT 'shop' || CAST(CAST(floor(s_suppkey / 50) AS BIGINT) AS STRING), '  Customer' || substr(s_name, 9) FROM supplier
+""")
+
+# Matched values with their two similarities.
+_view("entities", """
+SELECT l_orderkey AS request_id, l_returnflag AS table_name, l_linestatus AS column_name,
+ 'v' || CAST(l_partkey AS STRING) AS similar_value, l_quantity / 50 AS edit_similarity, 1 - l_discount * 5 AS embedding_similarity
+FROM lineitem
+""")
+
 
 def _ordered(names: list[str]) -> list[str]:
     out: list[str] = []
