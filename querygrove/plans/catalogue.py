@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import (  # noqa: F401
     catalog_queries,
     curation_queries,
+    execution_queries,
     linking_queries,
     profile_queries,
     reward_queries,
