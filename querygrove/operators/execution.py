@@ -13,6 +13,7 @@ import threading
 import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
 
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,7 +29,8 @@ Tables = Callable[[SparkSession, str], dict[str, DataFrame]]
 
 # Limits of a run, a comparison and a preview; status texts.
 STATEMENT_SECONDS = 60
-BATCH = 32
+BATCH = 64
+WORKERS = 4
 FETCHED_ROWS = 5000
 SHOWN_ROWS = 20
 PREVIEW_CHARS = 2000
@@ -79,59 +81,83 @@ def message(error: Exception) -> str:
     return str(error).strip().split("\n")[0][:500]
 
 
-def cell(column: Column, kind: T.DataType) -> Column:
-    """A value as comparable text: 1 equals 1.0 and differs from '1'."""
+def cell(name: str, kind: T.DataType) -> str:
+    """SQL for a value as comparable text: 1 equals 1.0 and differs from '1'."""
     if isinstance(kind, T.BooleanType):
-        column, kind = column.cast("int"), T.IntegerType()
-    if isinstance(kind, T.IntegralType):
-        return F.concat(F.lit("n"), column.cast("string"))
-    if isinstance(kind, T.NumericType):
-        number = column.cast("double")
-        whole = (number == F.floor(number)) & (F.abs(number) < 1e18)
-        return F.concat(F.lit("n"), F.when(whole, number.cast("bigint").cast("string")).otherwise(
-            (number + F.lit(0.0)).cast("string")))
-    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
-        return F.concat(F.lit("j"), F.to_json(F.struct(column.alias("v"))))
-    if isinstance(kind, T.BinaryType):
-        return F.concat(F.lit("b"), F.hex(column))
-    return F.concat(F.lit("s"), column.cast("string"))
+        text = f"concat('n', CAST(CAST({name} AS INT) AS STRING))"
+    elif isinstance(kind, T.IntegralType):
+        text = f"concat('n', CAST({name} AS STRING))"
+    elif isinstance(kind, T.NumericType):
+        number = f"CAST({name} AS DOUBLE)"
+        text = (f"concat('n', CASE WHEN {number} = floor({number}) AND abs({number}) < 1e18D "
+                f"THEN CAST(CAST({number} AS BIGINT) AS STRING) ELSE CAST({number} + 0.0D AS STRING) END)")
+    elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        text = f"concat('j', to_json(named_struct('v', {name})))"
+    elif isinstance(kind, T.BinaryType):
+        text = f"concat('b', hex({name}))"
+    else:
+        text = f"concat('s', CAST({name} AS STRING))"
+    return f"coalesce({text}, '0')"
+
+
+def _names(df: DataFrame) -> list[str]:
+    return [f"c{i}" for i in range(len(df.columns))]
+
+
+def _cells(df: DataFrame) -> list[str]:
+    return [cell(n, f.dataType) for n, f in zip(_names(df), df.schema.fields)]
+
+
+def _hashes(df: DataFrame) -> list[str]:
+    """SQL for two 64-bit hashes of a row, over the values and not the names."""
+    cells = _cells(df)
+    return [f"xxhash64({', '.join(cells)}) AS a", f"xxhash64(7, {', '.join(reversed(cells))}) AS b"]
+
+
+def row_hashes(df: DataFrame) -> DataFrame:
+    return df.toDF(*_names(df)).selectExpr(*_hashes(df))
+
+
+def _set_of_rows() -> list[Column]:
+    return [F.count("a").alias("n_distinct"), F.coalesce(F.bit_xor("a"), F.lit(0)).alias("x1"),
+            F.coalesce(F.bit_xor("b"), F.lit(0)).alias("x2")]
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
     """One row for the set of rows: its size and two order-free hashes.
 
-    Two 64-bit hashes stand for a row in the shuffle, so wide rows do not move
-    and repeated rows are dropped in the map tasks.
+    The hashes stand for a row in the shuffle, so wide rows do not move and
+    repeated rows are dropped in the map tasks.
     """
-    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    cells = [F.coalesce(cell(F.col(f.name), f.dataType), F.lit("0")) for f in plain.schema.fields]
-    rows = plain.select(F.xxhash64(*cells).alias("a"), F.xxhash64(F.lit(7), *reversed(cells)).alias("b")).distinct()
-    return rows.agg(F.lit(len(cells)).alias("n_columns"), F.count(F.lit(1)).alias("n_distinct"),
-                    F.coalesce(F.bit_xor("a"), F.lit(0)).alias("x1"), F.coalesce(F.bit_xor("b"), F.lit(0)).alias("x2"))
+    return row_hashes(df).distinct().agg(F.lit(len(df.columns)).alias("n_columns"), *_set_of_rows())
 
 
-def _printed(field: T.StructField) -> Column:
-    """A value as JSON text: numbers bare, other values quoted and escaped."""
-    text = F.col(field.name).cast("string")
-    if not isinstance(field.dataType, T.NumericType):
-        listed = F.to_json(F.array(text))
-        text = F.substring(listed, F.lit(2), F.length(listed) - 2)
-    return F.coalesce(F.when(F.col(field.name).isNotNull(), text), F.lit("null"))
+def _printed(df: DataFrame) -> str:
+    """SQL for a row as a JSON list: numbers bare, other values quoted."""
+    cells = []
+    for name, field in zip(_names(df), df.schema.fields):
+        text = f"CAST({name} AS STRING)"
+        if not isinstance(field.dataType, T.NumericType):
+            listed = f"to_json(array({text}))"
+            text = f"substring({listed}, 2, length({listed}) - 2)"
+        cells.append(f"CASE WHEN {name} IS NULL THEN 'null' ELSE {text} END")
+    return f"substring(concat('[', concat_ws(', ', {', '.join(cells)}), ']'), 1, {PREVIEW_CHARS}) AS row"
 
 
-def preview(df: DataFrame) -> DataFrame:
-    """One text: the number of rows fetched, of columns, and the first rows.
+def _preview_text(n_rows: Column, n_columns: Column, shown: Column) -> Column:
+    """The number of rows fetched, of columns, and the first rows."""
+    fetched = F.least(n_rows, F.lit(FETCHED_ROWS))
+    columns = F.when(n_rows > 0, n_columns).otherwise(F.lit(0))
+    text = F.concat(F.lit("Rows: "), fetched.cast("string"), F.lit(", Columns: "), columns.cast("string"),
+                    F.lit(", Results: ["), F.array_join(shown, ", "), F.lit("]"))
+    return F.substring(text, 1, PREVIEW_CHARS)
 
-    At most 5,000 rows reach the one task that counts them.
-    """
-    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))]).limit(FETCHED_ROWS)
-    row = F.concat(F.lit("["), F.concat_ws(", ", *[_printed(f) for f in plain.schema.fields]), F.lit("]"))
-    shown = F.array_join(F.slice(F.collect_list(F.substring(row, 1, PREVIEW_CHARS)), 1, SHOWN_ROWS), ", ")
-    n = F.count(F.lit(1))
-    text = F.concat(F.lit("Rows: "), n.cast("string"), F.lit(", Columns: "),
-                    F.when(n > 0, F.lit(len(plain.columns))).otherwise(0).cast("string"),
-                    F.lit(", Results: ["), shown, F.lit("]"))
-    return plain.agg(F.substring(text, 1, PREVIEW_CHARS).alias("preview"))
+
+def preview(df: DataFrame) -> DataFrame:
+    """The preview of one result; at most 5,000 rows reach the task that counts them."""
+    rows = df.toDF(*_names(df)).limit(FETCHED_ROWS).selectExpr(_printed(df))
+    return rows.agg(_preview_text(F.count(F.lit(1)), F.lit(len(df.columns)),
+                                  F.slice(F.collect_list("row"), 1, SHOWN_ROWS)).alias("preview"))
 
 
 def set_equal(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -147,8 +173,7 @@ def set_equal_by_except(left: DataFrame, right: DataFrame) -> DataFrame:
         return left.sparkSession.range(1).select(F.lit(0).alias("exec_res"))
 
     def cells(df: DataFrame) -> DataFrame:
-        plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-        return plain.select(*[cell(F.col(f.name), f.dataType).alias(f.name) for f in plain.schema.fields])
+        return df.toDF(*_names(df)).selectExpr(*[f"{c} AS {n}" for n, c in zip(_names(df), _cells(df))])
 
     a, b = cells(left), cells(right)
     parts = [a.subtract(b).limit(1).select(F.lit("differs").alias("k")),
@@ -184,36 +209,80 @@ def _plan_all(session: SparkSession, batch: list) -> list[DataFrame | Exception]
         return list(pool.map(plan, batch))
 
 
-def _summary(row, df: DataFrame, with_preview: bool) -> DataFrame:
-    frame = fingerprint(df).select(
-        F.lit(row.db_id).alias("db_id"), F.lit(row.query).alias("query"), "n_columns", "n_distinct", "x1", "x2",
-        F.lit(None).cast("string").alias("preview"), F.lit(None).cast("string").alias("error"))
-    if with_preview:
-        shown = preview(df).select(F.lit(row.db_id).alias("db_id"), F.lit(row.query).alias("query"), "preview")
-        frame = frame.unionByName(shown, allowMissingColumns=True)
-    return frame
-
+def _summaries(session: SparkSession, planned_rows: list, with_preview: bool) -> DataFrame:
+    """One row per planned text of a batch.
 
-def _write(spark: SparkSession, frames: list[DataFrame], path: str, seconds: float) -> None:
-    """One job under a time limit; cancelling it raises here."""
-    union = frames[0]
-    for frame in frames[1:]:
-        union = union.unionByName(frame)
+    The row hashes of all texts share one shuffle, tagged by text, so a batch
+    costs two exchanges and not two for each text.
+    """
+    tags = session.createDataFrame(
+        [(i, row.db_id, row.query, len(df.columns)) for i, (row, df) in enumerate(planned_rows)],
+        "tag int, db_id string, query string, n_columns int")
+    # Each text was planned alone before, so it is one balanced query here too.
+    hashes = session.sql(" UNION ALL ".join(
+        f"SELECT {i} AS tag, {', '.join(_hashes(df))} FROM ({wrapped(row.query)}) r({', '.join(_names(df))})"
+        for i, (row, df) in enumerate(planned_rows)))
+    sets = (hashes.groupBy("tag", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+            .groupBy("tag").agg(F.sum("n").alias("n_rows"), *_set_of_rows()))
+    out = tags.join(sets, "tag", "left").na.fill(0, ["n_rows", "n_distinct", "x1", "x2"])
+    if with_preview:
+        shown = session.sql(" UNION ALL ".join(
+            f"SELECT {i} AS tag, monotonically_increasing_id() AS at, row FROM (SELECT {_printed(df)} FROM "
+            f"({wrapped(row.query)}) r({', '.join(_names(df))}) LIMIT {SHOWN_ROWS}) s"
+            for i, (row, df) in enumerate(planned_rows)))
+        lists = shown.groupBy("tag").agg(F.array_sort(F.collect_list(F.struct("at", "row"))).alias("shown"))
+        out = out.join(lists, "tag", "left").withColumn("preview", _preview_text(
+            F.col("n_rows"), F.col("n_columns"), F.coalesce(F.col("shown.row"), F.array().cast("array<string>"))))
+    else:
+        out = out.withColumn("preview", F.lit(None).cast("string"))
+    return out.select("db_id", "query", "n_columns", "n_distinct", "x1", "x2", "preview",
+                      F.lit(None).cast("string").alias("error"))
+
+
+def _write(spark: SparkSession, rows: DataFrame, path: str, seconds: float) -> None:
+    """One job under a time limit; cancelling it raises here.
+
+    Each job has its own folder under ``path``, so jobs side by side do not meet.
+    """
     group = uuid.uuid4().hex
     context = spark.sparkContext
     context.setJobGroup(group, "recorded queries", interruptOnCancel=True)
     timer = threading.Timer(seconds, context.cancelJobGroup, [group])
     timer.start()
     try:
-        union.coalesce(8).write.mode("append").parquet(path)
+        rows.coalesce(1).write.parquet(f"{path}/batch={group}")
     finally:
         timer.cancel()
         context.setLocalProperty("spark.jobGroup.id", None)
         context.setLocalProperty("spark.job.interruptOnCancel", None)
 
 
+def _run_batch(session: SparkSession, rows: list, path: str, with_preview: bool, seconds: float) -> None:
+    """Append one row per text of a batch to the results."""
+    failed, good = [], []
+    for row, df in zip(rows, _plan_all(session, rows)):
+        if isinstance(df, Exception):
+            failed.append((row.db_id, row.query, message(df)))
+        else:
+            good.append((row, df))
+    try:
+        if good:
+            _write(session, _summaries(session, good, with_preview), path, seconds)
+    except Exception:
+        for row, df in good:
+            try:
+                _write(session, _summaries(session, [(row, df)], with_preview), path, seconds)
+            except Exception as error:
+                failed.append((row.db_id, row.query, TIMEOUT if "cancel" in str(error).lower() else message(error)))
+    if failed:
+        (session.createDataFrame(failed, "db_id string, query string, error string")
+         .selectExpr("db_id", "query", "CAST(NULL AS INT) AS n_columns", "CAST(NULL AS BIGINT) AS n_distinct",
+                     "CAST(NULL AS BIGINT) AS x1", "CAST(NULL AS BIGINT) AS x2", "CAST(NULL AS STRING) AS preview", "error")
+         .coalesce(1).write.parquet(f"{path}/batch={uuid.uuid4().hex}"))
+
+
 def run_queries(spark: SparkSession, queries: DataFrame, tables: Tables, with_preview: bool = False,
-                seconds: float = STATEMENT_SECONDS, batch: int = BATCH) -> DataFrame:
+                seconds: float = STATEMENT_SECONDS, batch: int = BATCH, workers: int = WORKERS) -> DataFrame:
     """Run each distinct ``db_id, query`` once.
 
     One row per text: the fingerprint of its result, a preview if wanted, and
@@ -222,33 +291,14 @@ def run_queries(spark: SparkSession, queries: DataFrame, tables: Tables, with_pr
     the others.
     """
     path = fresh_path(spark, "query-results")
-    spark.createDataFrame([], RESULT).write.parquet(path)
-    session, current = None, None
-    for rows in _batches(queries, batch):
-        if session is None or rows[0].db_id != current:
-            current = rows[0].db_id
-            session = candidate_session(spark, current, tables)
-        failed, frames = [], []
-        for row, df in zip(rows, _plan_all(session, rows)):
-            if isinstance(df, Exception):
-                failed.append((row.db_id, row.query, message(df)))
-            else:
-                frames.append((row, df))
-        try:
-            if frames:
-                _write(session, [_summary(r, df, with_preview) for r, df in frames], path, seconds)
-        except Exception:
-            for row, df in frames:
-                try:
-                    _write(session, [_summary(row, df, with_preview)], path, seconds)
-                except Exception as error:
-                    text = TIMEOUT if "cancel" in str(error).lower() else message(error)
-                    failed.append((row.db_id, row.query, text))
-        if failed:
-            (spark.createDataFrame(failed, "db_id string, query string, error string")
-             .select("db_id", "query", *[F.lit(None).cast(k).alias(c) for c, k in (
-                 ("n_columns", "int"), ("n_distinct", "bigint"), ("x1", "bigint"), ("x2", "bigint"),
-                 ("preview", "string"))], "error").write.mode("append").parquet(path))
+    spark.createDataFrame([], RESULT).write.parquet(f"{path}/batch=0")
+    sessions: dict[str, SparkSession] = {}
+    batches = _batches(queries, batch)
+    with ThreadPoolExecutor(workers) as pool:
+        while turn := list(islice(batches, workers)):
+            named = {rows[0].db_id for rows in turn}
+            sessions = {d: sessions.get(d) or candidate_session(spark, d, tables) for d in named}
+            list(pool.map(lambda rows: _run_batch(sessions[rows[0].db_id], rows, path, with_preview, seconds), turn))
     parts = spark.read.schema(RESULT).parquet(path)
     whole = parts.groupBy("db_id", "query").agg(
         *[F.max(c).alias(c) for c in ("n_columns", "n_distinct", "x1", "x2", "preview", "error")])

@@ -7,12 +7,12 @@ the map tasks before it moves.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .joins import union_all
+
 COLUMN = ["db_id", "table_name", "column_name"]
 
 # The limits of the categorical test and of the examples.
@@ -39,10 +39,6 @@ def long_values(df: DataFrame, db_id: str, table_name: str, text_only: bool = Fa
         F.lit(db_id).alias("db_id"), F.lit(table_name).alias("table_name"), "column_name", "value")
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-
-
 def list_columns(tables: dict[str, DataFrame], db_id: str) -> DataFrame:
     """The catalog table of registered sources, from their schemas alone."""
     spark = next(iter(tables.values())).sparkSession
