@@ -119,6 +119,12 @@ UNION ALL SELECT 'db1' AS db_id, cat.* FROM cat
 UNION ALL SELECT 'db2' AS db_id, cat.* FROM cat
 """, "cat")
 
+_view("db_keys", """
+SELECT 'db0' AS db_id, cat_keys.* FROM cat_keys
+UNION ALL SELECT 'db1' AS db_id, cat_keys.* FROM cat_keys
+UNION ALL SELECT 'db2' AS db_id, cat_keys.* FROM cat_keys
+""", "cat_keys")
+
 # A catalog of many databases, one per supplier: part types as tables, brands
 # as columns, with the name forms the column rules look for.
 _view("lake_columns", """
