@@ -15,17 +15,27 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 def salted_lookup(facts: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left",
-                  salts: int = SALT_BUCKETS) -> DataFrame:
+                  salts: int = SALT_BUCKETS, strategy: str | None = None) -> DataFrame:
     """Join rows with a lookup side that has at most one row set per key.
 
     The fact rows of one key are spread over ``salts`` partitions and the
     lookup rows are repeated once per salt, so a key with a third of all rows
     is shared by many tasks.  No side is broadcast by hint: Spark does so by
-    itself where the measured size allows.
+    itself where the size allows.  ``strategy="merge"`` rules it out, for a
+    lookup made by ``explode``, whose size Spark underrates before it runs.
     """
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns if c not in keys] or [F.lit(0)]),
                     F.lit(salts)).cast("int")
     repeated = lookup.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    if strategy:
+        repeated = repeated.hint(strategy)
     joined = facts.withColumn("_salt", spread).join(repeated, [*keys, "_salt"], how)
     return joined.drop("_salt")
 
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all shuffle partitions, for a step that costs more time than
+    bytes: a partition count given here is not merged at run time."""
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(partitions, *keys)

@@ -14,7 +14,8 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import minhash
 from ..functions.text import let, strip
-from .joins import salted_lookup
+from ..session import write_and_read
+from .joins import salted_lookup, spread
 from .profiling import COLUMN
 
 # Which columns are indexed, and the limits of each step.
@@ -69,9 +70,16 @@ def unique_values(distinct: DataFrame, eligible: DataFrame, lengths: DataFrame)
     return salted_lookup(distinct, fit, COLUMN, "inner")
 
 
+def _identity(*columns: str) -> Column:
+    """A fixed-width stand-in for texts in joins: a digest of all of them."""
+    return F.md5(F.to_json(F.struct(*columns)).cast("binary"))
+
+
 def value_index(values: DataFrame) -> DataFrame:
-    """Adds the signature and the band keys of each value."""
-    return (values.withColumn("signature", minhash.signature(F.col("value")))
+    """Adds the signature and the band keys of each value, and an identity."""
+    return (spread(values, *COLUMN, "value")
+            .withColumn("value_id", _identity(*COLUMN, "value"))
+            .withColumn("signature", minhash.signature(F.col("value")))
             .withColumn("bands", minhash.bands(F.col("signature"))))
 
 
@@ -106,30 +114,38 @@ def hint_parts(text: Column) -> tuple[Column, Column]:
 
 def probe_index(probes: DataFrame) -> DataFrame:
     """Each text to look up in a database once, with signature and bands."""
-    return (probes.select("db_id", "substring").distinct()
+    return (spread(probes.select("db_id", "substring").distinct(), "db_id", "substring")
+            .withColumn("probe_id", _identity("db_id", "substring"))
             .withColumn("probe_signature", minhash.signature(F.col("substring")))
             .withColumn("probe_bands", minhash.bands(F.col("probe_signature"))))
 
 
 def candidates(probes: DataFrame, index: DataFrame) -> DataFrame:
-    """Pairs of probe and value that share a band, each pair once.
+    """``probe_id, value_id``: pairs of one database that share a band, each once.
 
-    A pair that shares several bands is kept at the first of them, so nothing
-    has to be removed by a later shuffle.  Bands are salted on the value side:
-    a band with a third of all values is shared by many tasks.
+    Only identities meet in the band join.  Bands are salted on the value side,
+    so a band with a third of all values is shared by many tasks, and a pair
+    that shares several bands is reduced in the map tasks.
     """
-    value_rows = index.withColumn("_band", F.explode("bands"))
-    probe_rows = probes.withColumn("_band", F.explode("probe_bands"))
-    joined = salted_lookup(value_rows, probe_rows, ["db_id", "_band"], "inner")
-    first = F.try_element_at(F.array_intersect("probe_bands", "bands"), F.lit(1))
-    return joined.filter(first == F.col("_band")).drop("_band", "bands", "probe_bands")
+    value_rows = index.select("db_id", "value_id", F.explode("bands").alias("_band"))
+    probe_rows = probes.select("db_id", "probe_id", F.explode("probe_bands").alias("_band"))
+    joined = salted_lookup(value_rows, probe_rows, ["db_id", "_band"], "inner", strategy="merge")
+    return joined.select("probe_id", "value_id").distinct()
+
 
+def described(pairs: DataFrame, probes: DataFrame, index: DataFrame) -> DataFrame:
+    """Candidate pairs with their texts and the estimated Jaccard similarity."""
+    values = index.select("value_id", *COLUMN, "value", "signature")
+    texts = probes.select("probe_id", "substring", "probe_signature")
+    both = pairs.join(values, "value_id").join(texts, "probe_id")
+    estimate = minhash.estimated_jaccard(F.col("probe_signature"), F.col("signature"))
+    return both.select("db_id", "substring", "table_name", "column_name", "value",
+                       estimate.alias("estimated_jaccard"))
 
-def top_matches(pairs: DataFrame, limit: int = TOP_MATCHES) -> DataFrame:
+
+def top_matches(scored: DataFrame, limit: int = TOP_MATCHES) -> DataFrame:
     """The closest values of each probe.  Each map task keeps its own closest
     before the shuffle, so a probe with many candidates sends few."""
-    scored = pairs.withColumn("estimated_jaccard", minhash.estimated_jaccard(
-        F.col("probe_signature"), F.col("signature"))).drop("probe_signature", "signature")
     order = Window.partitionBy("db_id", "substring").orderBy(
         F.desc("estimated_jaccard"), "value", "table_name", "column_name")
     return (scored.withColumn("_rank", F.row_number().over(order))
@@ -137,9 +153,14 @@ def top_matches(pairs: DataFrame, limit: int = TOP_MATCHES) -> DataFrame:
 
 
 def matches(keywords: DataFrame, index: DataFrame, limit: int = TOP_MATCHES) -> DataFrame:
-    """``keywords`` with the values closest to each of their probe strings."""
+    """``keywords`` with the values closest to each of their probe strings.
+
+    ``index`` is read twice, so it should be a stored one.  The index of the
+    probes is written once to the shared folder, by a job that runs here.
+    """
     probes = probe_strings(keywords)
-    best = top_matches(candidates(probe_index(probes), index), limit)
+    indexed = write_and_read(probe_index(probes), "probes")
+    best = top_matches(described(candidates(indexed, index), indexed, index), limit)
     found = best.select("db_id", "substring", "table_name", "column_name",
                         F.col("value").alias("similar_value"), "estimated_jaccard")
     return salted_lookup(probes, found, ["db_id", "substring"], "inner")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import minhash
 from ..operators import linking, profiling
-from ..session import fresh_path
+from ..session import fresh_path, write_and_read
 from . import fixtures as fx
 from .registry import query
 
@@ -139,34 +139,32 @@ def probe_strings(spark, sf_dir):
     return linking.probe_strings(_keywords(spark, sf_dir)).select("db_id", "keyword", "substring")
 
 
-def _pairs(spark, sf_dir):
-    probes = linking.probe_index(linking.probe_strings(_keywords(spark, sf_dir)))
-    return linking.candidates(probes, _index(spark, sf_dir))
+def _scored(spark, sf_dir):
+    probes = write_and_read(linking.probe_index(linking.probe_strings(_keywords(spark, sf_dir))), "probes")
+    index = write_and_read(_index(spark, sf_dir), "index")
+    return linking.described(linking.candidates(probes, index), probes, index)
 
 
 @query("vl_lsh_candidates", _duck(ALL, PAIRS, "SELECT db_id, substring, table_name, column_name, value FROM est"))
 def lsh_candidates(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("db_id", "substring", "table_name", "column_name", "value")
+    return _scored(spark, sf_dir).select("db_id", "substring", "table_name", "column_name", "value")
 
 
 @query("vl_est_jaccard", _duck(ALL, PAIRS, "SELECT db_id, substring, table_name, column_name, value, CAST(estimated_jaccard AS DOUBLE) AS estimated_jaccard FROM est"))
 def est_jaccard(spark, sf_dir):
-    estimate = minhash.estimated_jaccard(F.col("probe_signature"), F.col("signature"))
-    return _pairs(spark, sf_dir).select("db_id", "substring", "table_name", "column_name", "value",
-                                        estimate.alias("estimated_jaccard"))
+    return _scored(spark, sf_dir)
 
 
 @query("vl_topk", _duck(ALL, PAIRS, "SELECT db_id, substring, table_name, column_name, value, CAST(estimated_jaccard AS DOUBLE) AS estimated_jaccard FROM best"))
 def topk(spark, sf_dir):
-    return linking.top_matches(_pairs(spark, sf_dir)).select(
-        "db_id", "substring", "table_name", "column_name", "value", "estimated_jaccard")
+    return linking.top_matches(_scored(spark, sf_dir))
 
 
 MATCHES = f"{PAIRS},\n found AS (SELECT s.db_id, s.keyword, s.substring, b.table_name, b.column_name, b.value AS similar_value FROM subs s JOIN best b USING (db_id, substring))"
 
 
 def _matches(spark, sf_dir):
-    return linking.matches(_keywords(spark, sf_dir), _index(spark, sf_dir)).drop("estimated_jaccard")
+    return linking.matches(_keywords(spark, sf_dir), write_and_read(_index(spark, sf_dir), "index")).drop("estimated_jaccard")
 
 
 @query("vl_matches", _duck(ALL, MATCHES, "SELECT * FROM found"))
