@@ -40,6 +40,9 @@ ALIAS_AFTER_TABLE = rf"\b(?:from|join){BLANK}+[\"`\[]?{WORD}[\"`\]]?{BLANK}+({WO
 ALIAS_AFTER_BRACKET = rf"\){BLANK}+({WORD})"
 
 
+CLAUSE_WORD = rf"\b({'|'.join(w for w in NOT_AN_ALIAS if w != 'as')})\b"
+
+
 def has_sql_fence(text: Column) -> Column:
     return F.contains(text, F.lit(FENCE + "sql"))
 
@@ -83,9 +86,15 @@ def code_only(query: Column) -> Column:
     return F.regexp_replace(query, LITERAL_OR_COMMENT, " ")
 
 
+def clauses(code: Column) -> Column:
+    """Lower-cased code with a mark before each clause word, so that a pattern
+    for a name and its alias cannot run into the next clause."""
+    return F.regexp_replace(code, CLAUSE_WORD, "; $1")
+
+
 def aliases(query: Column) -> Column:
     """Lower-cased table and column aliases, found by their position."""
-    code = F.lower(code_only(query))
+    code = clauses(F.lower(code_only(query)))
     no_casts = F.regexp_replace(code, CAST_TAIL, ")")
     found = F.array_union(
         F.regexp_extract_all(no_casts, F.lit(ALIAS_AFTER_AS), F.lit(1)),

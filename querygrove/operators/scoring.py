@@ -92,7 +92,7 @@ def columns_by_table(queries: DataFrame, columns: DataFrame) -> DataFrame:
     """
     code = F.lower(sqltext.code_only(F.col("query")))
     words = F.transform(
-        F.regexp_extract_all(code, F.lit(f"({TABLE_REFERENCE})"), F.lit(1)),
+        F.regexp_extract_all(sqltext.clauses(code), F.lit(f"({TABLE_REFERENCE})"), F.lit(1)),
         lambda m: F.filter(F.regexp_extract_all(m, F.lit(f"({WORD})"), F.lit(1)),
                            lambda w: ~w.isin("from", "join", "as")))
     named = F.filter(words, lambda m: F.size(m) > 0)

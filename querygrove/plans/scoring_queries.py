@@ -21,8 +21,12 @@ def duck_code(text: str) -> str:
     return rf"regexp_replace({text}, '(''[^'']*'')|--[^\n]*|/\*(?s:.*?)\*/', ' ', 'g')"
 
 
+def duck_clauses(code: str) -> str:
+    return rf"regexp_replace({code}, '{sqltext.CLAUSE_WORD}', '; \1', 'g')"
+
+
 def duck_aliases(text: str) -> str:
-    code = f"lower({duck_code(text)})"
+    code = duck_clauses(f"lower({duck_code(text)})")
     bare = f"regexp_replace({code}, '{sqltext.CAST_TAIL}', ')', 'g')"
     found = (f"list_concat({_all(sqltext.ALIAS_AFTER_AS, bare, 1)}, list_concat("
              f"{_all(sqltext.ALIAS_AFTER_TABLE, code, 1)}, {_all(sqltext.ALIAS_AFTER_BRACKET, code, 1)}))")
@@ -36,7 +40,7 @@ def duck_tokens(text: str, aliases: str) -> str:
 # Queries with more alias forms than the candidates have.
 MORE = """CASE cand_id % 3 WHEN 0 THEN generated_query
  WHEN 1 THEN 'SELECT CAST(p.p_size AS INT) AS "n", count(*) cnt FROM part p JOIN supplier AS s ON p.p_size = s.s_nationkey WHERE s.s_name <> ' || chr(39) || 'as x' || chr(39)
- ELSE 'SELECT t.c FROM (SELECT count(*) AS c FROM ' || CASE WHEN cand_id % 2 = 0 THEN 'nation' ELSE 'region' END || ') t, nation WHERE n_name = ' || chr(39) || 'x' || chr(39) || ' AND r_name = p_name' END"""
+ ELSE 'SELECT t.c FROM (SELECT count(*) AS c FROM ' || CASE WHEN cand_id % 2 = 0 THEN 'nation' ELSE 'region' END || ') t, nation JOIN part x ON x.p_size = n_nationkey WHERE n_name = ' || chr(39) || 'x' || chr(39) || ' AND r_name = p_name' END"""
 GRAMS = f"""
 SELECT cand_id, t, a FROM (SELECT cand_id, a, {duck_tokens('q', 'a')} AS t
  FROM (SELECT cand_id, q, {duck_aliases('q')} AS a FROM (SELECT cand_id, {MORE} AS q FROM candidates) x) y) z"""
@@ -125,7 +129,7 @@ def composite(spark, sf_dir):
 DISTINCT = f"q AS (SELECT DISTINCT db_id, {MORE} AS query FROM candidates)"
 USED = f"""{DISTINCT},
  c AS (SELECT db_id, query, lower({duck_code('query')}) AS code FROM q),
- m AS (SELECT db_id, query, {_all(scoring.TABLE_REFERENCE, 'code')} AS m FROM c),
+ m AS (SELECT db_id, query, {_all(scoring.TABLE_REFERENCE, duck_clauses('code'))} AS m FROM c),
  w AS (SELECT db_id, query, pos, [x for x in {_all(duck.WORD, 'm[pos]')} if x NOT IN ('from', 'join', 'as')] AS w
   FROM (SELECT db_id, query, m, unnest(range(1, len(m) + 1)) AS pos FROM m) p),
  refs AS (SELECT db_id, query, pos, w[1] AS tbl, CASE WHEN len(w) > 1 AND w[2] NOT IN ({SKIPPED}) THEN w[2] ELSE w[1] END AS alias
