@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sqltext
 from ..functions.text import collapse_blanks, strip
-from .joins import salted_lookup
+from .joins import hot_salted_lookup, salted_lookup
 
 
 def first_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -55,7 +55,7 @@ def consolidate(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     """
     shared = ["gold_query", "evidence"]
     head = first_per_key(rows.select(*keys, *order, *shared), keys, order).select(*keys, *shared)
-    return salted_lookup(rows.drop(*shared), head, keys, "inner").select(*rows.columns)
+    return hot_salted_lookup(rows.drop(*shared), head, keys, "inner").select(*rows.columns)
 
 
 def question_summary(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

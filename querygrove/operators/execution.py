@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from ..functions.sqltext import COMMENT_OUTSIDE_QUOTES
 from ..session import fresh_path
-from .joins import salted_lookup
+from .joins import hot_salted_lookup
 
 # Reads the tables of a database in the session given.
 Tables = Callable[[SparkSession, str], dict[str, DataFrame]]
@@ -340,13 +340,13 @@ def labelled(rows: DataFrame, results: DataFrame, query: str = "generated_query"
     """Adds ``exec_res`` and ``exec_err`` by joining results of both queries.
 
     Equal means the same set of rows, neither empty.  A gold query shared by a
-    third of the rows is salted by the lookup.
+    third of the rows is salted.
     """
     fields = ["n_columns", "n_distinct", "x1", "x2", "error"]
     out = rows
     for side, column in (("p", query), ("g", gold)):
         named = results.select("db_id", F.col("query").alias(column), *[F.col(c).alias(f"_{side}_{c}") for c in fields])
-        out = salted_lookup(out, named, ["db_id", column], "left")
+        out = hot_salted_lookup(out, named, ["db_id", column], "left")
     same = F.col("_p_n_distinct") > 0
     for c in fields[:-1]:
         same = same & (F.col(f"_p_{c}") == F.col(f"_g_{c}"))

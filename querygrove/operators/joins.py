@@ -8,15 +8,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SALT_BUCKETS = 8
+# A key is hot when it holds more than one part in this many of the rows, so
+# there are never more hot keys than this.
+HOT_PARTS = 1024
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def _spreading_salt(facts: DataFrame, keys: list[str], salts: int):
+    """A salt from the rest of the row: the same after a retry."""
+    rest = [F.col(f"`{c}`") for c in facts.columns if c not in keys]
+    return F.pmod(F.xxhash64(*(rest or [F.lit(0)])), F.lit(salts)).cast("int")
+
+
 def salted_lookup(facts: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left",
                   salts: int = SALT_BUCKETS, strategy: str | None = None) -> DataFrame:
-    """Join rows with a lookup side that has at most one row set per key.
+    """Join rows with a small lookup side, salting every key.
 
     The fact rows of one key are spread over ``salts`` partitions and the
     lookup rows are repeated once per salt, so a key with a third of all rows
@@ -24,15 +33,43 @@ def salted_lookup(facts: DataFrame, lookup: DataFrame, keys: list[str], how: str
     itself where the size allows.  ``strategy="merge"`` rules it out, for a
     lookup made by ``explode``, whose size Spark underrates before it runs.
     """
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns if c not in keys] or [F.lit(0)]),
-                    F.lit(salts)).cast("int")
     repeated = lookup.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     if strategy:
         repeated = repeated.hint(strategy)
-    joined = facts.withColumn("_salt", spread).join(repeated, [*keys, "_salt"], how)
+    joined = facts.withColumn("_salt", _spreading_salt(facts, keys, salts)).join(repeated, [*keys, "_salt"], how)
     return joined.drop("_salt")
 
 
+def hot_keys(facts: DataFrame, keys: list[str]) -> DataFrame:
+    """``_key``: digests of the keys that hold more than their part of the rows.
+
+    At most ``HOT_PARTS`` rows, whatever the size of ``facts``.
+    """
+    counts = facts.select(F.xxhash64(*keys).alias("_key")).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_total")).scalar()
+    return counts.filter(F.col("_n") * HOT_PARTS > total).select("_key")
+
+
+def hot_salted_lookup(facts: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left",
+                      salts: int = SALT_BUCKETS, hot: DataFrame | None = None) -> DataFrame:
+    """Join rows with a lookup side that may be as large, salting hot keys only.
+
+    One narrow pass counts the keys by digest, unless ``hot`` brings the result
+    of :func:`hot_keys` along.  The facts should be cheap to read twice, as a
+    stored table is.  Only the lookup rows of hot keys are repeated.
+    """
+    found = hot if hot is not None else hot_keys(facts, keys)
+    hot = F.broadcast(found.withColumn("_hot", F.lit(True)))  # at most HOT_PARTS rows
+
+    def marked(df: DataFrame) -> DataFrame:
+        return df.withColumn("_key", F.xxhash64(*keys)).join(hot, "_key", "left").drop("_key")
+
+    left = marked(facts).withColumn(
+        "_salt", F.when(F.col("_hot"), _spreading_salt(facts, keys, salts)).otherwise(F.lit(0))).drop("_hot")
+    copies = F.when(F.col("_hot"), F.array(*[F.lit(i) for i in range(salts)])).otherwise(F.array(F.lit(0)))
+    right = marked(lookup).withColumn("_salt", F.explode(copies)).drop("_hot")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
 
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
     """Rows over all shuffle partitions, for a step that costs more time than

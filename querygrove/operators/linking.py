@@ -15,7 +15,7 @@ from pyspark.sql.types import DoubleType
 from ..functions import minhash
 from ..functions.text import let, strip
 from ..session import write_and_read
-from .joins import salted_lookup, spread
+from .joins import hot_keys, hot_salted_lookup, salted_lookup, spread
 from .profiling import COLUMN
 
 # Which columns are indexed, and the limits of each step.
@@ -134,10 +134,13 @@ def candidates(probes: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def described(pairs: DataFrame, probes: DataFrame, index: DataFrame) -> DataFrame:
-    """Candidate pairs with their texts and the estimated Jaccard similarity."""
+    """Candidate pairs with their texts and the estimated Jaccard similarity.
+
+    All three frames are read more than once and should be stored.
+    """
     values = index.select("value_id", *COLUMN, "value", "signature")
     texts = probes.select("probe_id", "substring", "probe_signature")
-    both = pairs.join(values, "value_id").join(texts, "probe_id")
+    both = hot_salted_lookup(hot_salted_lookup(pairs, values, ["value_id"], "inner"), texts, ["probe_id"], "inner")
     estimate = minhash.estimated_jaccard(F.col("probe_signature"), F.col("signature"))
     return both.select("db_id", "substring", "table_name", "column_name", "value",
                        estimate.alias("estimated_jaccard"))
@@ -155,12 +158,14 @@ def top_matches(scored: DataFrame, limit: int = TOP_MATCHES) -> DataFrame:
 def matches(keywords: DataFrame, index: DataFrame, limit: int = TOP_MATCHES) -> DataFrame:
     """``keywords`` with the values closest to each of their probe strings.
 
-    ``index`` is read twice, so it should be a stored one.  The index of the
-    probes is written once to the shared folder, by a job that runs here.
+    ``index`` is read more than once, so it should be a stored one.  The index
+    of the probes and the pairs, two identities each, are written once to the
+    shared folder by jobs that run here.
     """
     probes = probe_strings(keywords)
     indexed = write_and_read(probe_index(probes), "probes")
-    best = top_matches(described(candidates(indexed, index), indexed, index), limit)
+    pairs = write_and_read(candidates(indexed, index), "pairs")
+    best = top_matches(described(pairs, indexed, index), limit)
     found = best.select("db_id", "substring", "table_name", "column_name",
                         F.col("value").alias("similar_value"), "estimated_jaccard")
     return salted_lookup(probes, found, ["db_id", "substring"], "inner")
@@ -203,7 +208,7 @@ def embedding_filter(pairs: DataFrame, vectors: DataFrame, threshold: float = EM
                      left: str = "substring", right: str = "similar_value") -> DataFrame:
     """Keeps pairs whose stored vectors (``text, embedding``) are close."""
     for side, name in ((left, "_left"), (right, "_right")):
-        pairs = salted_lookup(pairs, vectors.select(F.col("text").alias(side), F.col("embedding").alias(name)),
+        pairs = hot_salted_lookup(pairs, vectors.select(F.col("text").alias(side), F.col("embedding").alias(name)),
                               [side], "inner")
     return (pairs.withColumn("embedding_similarity", dot(F.col("_left"), F.col("_right")))
             .drop("_left", "_right").filter(F.col("embedding_similarity") >= threshold))
@@ -216,9 +221,10 @@ def refine(entities: DataFrame, by: list[str]) -> DataFrame:
     Best values are aggregates joined back with a salt, so one column with a
     third of the rows is not sorted in one task.
     """
+    hot = hot_keys(entities, by)
     for score in ("edit_similarity", "embedding_similarity"):
         best = entities.groupBy(*by).agg(F.max(score).alias("_best"))
-        entities = (salted_lookup(entities, best, by, "inner")
+        entities = (hot_salted_lookup(entities, best, by, "inner", hot=hot)
                     .filter(F.col(score) >= F.lit(NEAR_BEST) * F.col("_best")).drop("_best"))
     return entities
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import prompts
 from ..operators import catalog, curation, sampling, scoring
-from ..operators.joins import salted_lookup
+from ..operators.joins import hot_salted_lookup
 from ..session import write_and_read
 
 SCORES = ["label", "syntax_check", "schema_linking", "ngram_jaccard"]
@@ -43,7 +43,7 @@ def training_rows(scored: DataFrame, columns: DataFrame, keys: DataFrame, fracti
     ordinals = columns if "ordinal" in columns.columns else columns.withColumn("ordinal", F.row_number().over(
         Window.partitionBy("db_id", "table_name").orderBy("column_name")))
     texts = catalog.schema_text(used, ordinals, catalog.resolve_keys(keys, ordinals), metadata, by=("query",))
-    with_text = salted_lookup(capped, texts.withColumnRenamed("query", "generated_query"),
+    with_text = hot_salted_lookup(capped, texts.withColumnRenamed("query", "generated_query"),
                               ["db_id", "generated_query"], "left")
     prompt = prompts.render(prompts.load_template(template), {
         "DATABASE_SCHEMA": F.col("schema_text"), "QUESTION": F.col("question"), "HINT": F.col("evidence"),

@@ -142,7 +142,7 @@ def probe_strings(spark, sf_dir):
 def _scored(spark, sf_dir):
     probes = write_and_read(linking.probe_index(linking.probe_strings(_keywords(spark, sf_dir))), "probes")
     index = write_and_read(_index(spark, sf_dir), "index")
-    return linking.described(linking.candidates(probes, index), probes, index)
+    return linking.described(write_and_read(linking.candidates(probes, index), "pairs"), probes, index)
 
 
 @query("vl_lsh_candidates", _duck(ALL, PAIRS, "SELECT db_id, substring, table_name, column_name, value FROM est"))

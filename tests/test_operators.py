@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from querygrove.functions import minhash
 from querygrove.operators import catalog, curation, linking, profiling, rounds, sampling, scoring
-from querygrove.operators.joins import salted_lookup
+from querygrove.operators.joins import HOT_PARTS, hot_keys, hot_salted_lookup, salted_lookup
 
 HOT = [(i, "hot" if i % 3 == 0 else f"k{i % 50}", f"v{i % 7}") for i in range(3000)]
 
@@ -21,7 +21,15 @@ def test_salted_lookup_equals_a_plain_join(spark, hot):
     lookup = spark.createDataFrame([("hot", 1), ("k1", 2), ("none", 3)], "k string, n int")
     for how in ("inner", "left", "left_semi", "left_anti"):
         plain = sorted(map(tuple, hot.join(lookup, ["k"], how).select("i", "k").collect()))
-        assert sorted(map(tuple, salted_lookup(hot, lookup, ["k"], how).select("i", "k").collect())) == plain
+        for join in (salted_lookup, hot_salted_lookup):
+            assert sorted(map(tuple, join(hot, lookup, ["k"], how).select("i", "k").collect())) == plain
+
+
+def test_hot_keys_are_few_and_spread(hot):
+    many = hot.unionByName(hot.select((F.col("i") + 5000).alias("i"), F.concat("k", "i").alias("k"), "v"))
+    found = hot_keys(many, ["k"])
+    want = {r._key for r in many.groupBy("k").count().filter(F.col("count") * HOT_PARTS > 6000).select(F.xxhash64("k").alias("_key")).collect()}
+    assert {r._key for r in found.collect()} == want and len(want) <= HOT_PARTS
 
 
 def test_first_per_key_is_whole_and_idempotent(hot):
