@@ -91,9 +91,11 @@ def examples(counted: DataFrame, counts: DataFrame, columns: DataFrame) -> DataF
     column, by type or name, takes the second form if it can.  Spark keeps the
     first values of a column in each map task, so a long column stays spread.
     """
-    first = Window.partitionBy(*COLUMN).orderBy("value")
-    top = (distinct_values(counted).withColumn("_rank", F.row_number().over(first))
-           .filter(F.col("_rank") <= CATEGORICAL_EXAMPLES)
+    # Ranking nulls last and by count too leaves the input as column_counts()
+    # reads it, so the values are shuffled once for both.
+    first = Window.partitionBy(*COLUMN).orderBy(F.col("value").asc_nulls_last(), "n")
+    top = (counted.withColumn("_rank", F.row_number().over(first))
+           .filter((F.col("_rank") <= CATEGORICAL_EXAMPLES) & F.col("value").isNotNull())
            .groupBy(*COLUMN).agg(F.array_sort(F.collect_list("value")).alias("_top")))
     text = F.lower("data_type").isin("string", "text") | F.contains(F.lower("data_type"), F.lit("char"))
     # The width is that of the value printed as a one-element tuple.

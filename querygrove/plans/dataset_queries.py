@@ -157,6 +157,25 @@ def run_flagship(spark, sf_dir):
 
 query("ds_training_rows")(run_flagship)
 
+# The flagship without its prompt, step by step in SQL.
+KEPT = f"""kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY db_id, question, norm_sql ORDER BY source_model, cand_id) AS rn
+   FROM (SELECT *, {duck.normalized('generated_query')} AS norm_sql FROM candidates
+    WHERE question NOT IN (SELECT question FROM filter_list WHERE overall_confidence = 10)) n) r WHERE rn = 1),
+ scored AS (SELECT k.*, j.ngram_jaccard, CASE WHEN generated_query LIKE 'SELEC %' THEN 0.0 ELSE r.schema_linking END AS schema_linking,
+   CASE WHEN generated_query LIKE 'SELEC %' THEN 0.0 ELSE 1.0 END AS syntax_check FROM kept k
+  JOIN ({sq.duck_jaccard('kept', 'cand_id')}) j ON k.cand_id = j.cand_id JOIN ({sq.duck_recall('kept', 'cand_id')}) r ON k.cand_id = r.cand_id),
+ half AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {SHUFFLE}) AS rank, count(*) OVER () AS n FROM scored) t WHERE rank <= round_even(n * 0.5, 0)),
+ capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY {SHUFFLE}) AS place FROM half) t WHERE place <= 5)"""
+
+
+@query("ds_training_answers", fx.with_views("candidates filter_list db_columns", "SELECT 0").rsplit("\nSELECT 0", 1)[0] + f""",
+ {KEPT}
+SELECT cand_id, db_id, question, CAST(floor(label) * 4 + floor(syntax_check) * 2 + floor(schema_linking) * 2 + floor(ngram_jaccard) * 2 AS INT) AS answer,
+ CASE WHEN {duck.uint32('42', 'question')} < 42949672 THEN 'validation' ELSE 'train' END AS split FROM capped""")
+def training_answers(spark, sf_dir):
+    """The flagship's rows without the prompt; no prompt here is too long."""
+    return run_flagship(spark, sf_dir).select("cand_id", "db_id", "question", "answer", "split")
+
 
 @query("scan_first_n", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5000")
 def scan_first_n(spark, sf_dir):
