@@ -229,6 +229,18 @@ def refine(entities: DataFrame, by: list[str]) -> DataFrame:
     return entities
 
 
+def similar_entities(keywords: DataFrame, index: DataFrame, vectors: DataFrame,
+                     by: tuple[str, ...] = (), blocks: bool = False) -> DataFrame:
+    """All steps for many requests at once: matches, both filters, refinement.
+
+    ``by`` names the columns of ``keywords`` that tell requests of a database
+    apart.  Returns the kept entities; :func:`match_map` sums them up.
+    """
+    found = edit_filter(matches(keywords, index), blocks=blocks)
+    near = write_and_read(embedding_filter(found, vectors), "entities")
+    return refine(near, [*by, "db_id", "table_name", "column_name"])
+
+
 def match_map(entities: DataFrame, by: list[str]) -> DataFrame:
     """Matched values per table and column with how often each was matched.
 

@@ -9,6 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rewards import judge_label, judge_reasoning
+from ..functions.sqltext import extract_sql, has_sql_fence
+
+# The row of a report that stands for all questions.
+OVERALL = {"db_id": "overall", "question": "Overall accuracy", "gold_query": "", "predicted_query": ""}
 # The text put between the parts of a feedback hint.
 FEEDBACK_PARTS = ("\n\nPrevious attempt: ", "\n\nFeedback: ")
 
@@ -17,6 +22,18 @@ def _in_order(*extra):
     return Window.partitionBy("sample_id").orderBy("round")
 
 
+def from_responses(responses: DataFrame) -> DataFrame:
+    """Rounds from recorded texts: adds the query, whether the response holds
+    SQL, and the judge's reasoning and label.
+
+    ``model_response`` and ``judge_response`` are read; the latter may be null.
+    """
+    return (responses.withColumn("query", extract_sql(F.col("model_response")))
+            .withColumn("has_sql", has_sql_fence(F.col("model_response")).cast("int"))
+            .withColumn("judge_reasoning", judge_reasoning(F.col("judge_response")))
+            .withColumn("judge_label", judge_label(F.col("judge_response"))))
+
+
 def replay(rounds: DataFrame, max_retries: int = 2, threshold: float = 7) -> DataFrame:
     """The rounds the policy would have kept, and why the last one was last.
 
@@ -85,6 +102,18 @@ def accuracy(rounds: DataFrame, keys: tuple[str, ...] = ("sample_id",)) -> DataF
                  F.grouping(keys[0]).cast("int").alias("is_overall")))
 
 
+def accuracy_report(rounds: DataFrame) -> DataFrame:
+    """``db_id, question, gold_query, predicted_query, acc``: the last round of
+    each question, and one row for all of them."""
+    last = (last_round(rounds, ("db_id", "question", "gold_query"))
+            .withColumnRenamed("query", "predicted_query"))
+    names = list(OVERALL)
+    report = last.groupingSets([[F.col(n) for n in names], []], *names).agg(
+        F.avg((F.col("label") == 1).cast("double")).alias("acc"), F.grouping("db_id").alias("_all"))
+    return report.select(*[F.when(F.col("_all") == 1, F.lit(text)).otherwise(F.col(n)).alias(n)
+                           for n, text in OVERALL.items()], "acc")
+
+
 def accuracy_by(rounds: DataFrame, *columns: str) -> DataFrame:
     """Tally of right and wrong rounds by round number, judge label or both."""
     return rounds.groupBy(*columns).agg(

@@ -82,7 +82,7 @@ FROM documents d JOIN labels l ON d.doc_id = l.doc_id
 
 _view("rounds", """
 SELECT conv_id AS sample_id, CAST(floor(turn / 2) AS INT) + 1 AS round,
- length(text) % 11 AS judge_label, length(text) % 2 AS label,
+ CAST(length(text) % 11 AS INT) AS judge_label, CAST(length(text) % 2 AS INT) AS label,
  CASE WHEN length(text) % 5 = 0 THEN 0 ELSE 1 END AS has_sql
 FROM conversations WHERE role = 'assistant'
 """)

@@ -78,3 +78,18 @@ SELECT judge_label, count(*) AS n_rounds, CAST(sum(label) AS BIGINT) AS n_correc
 def by_judge_label(spark, sf_dir):
     report = rounds.accuracy_by(fx.view(spark, sf_dir, "rounds"), "judge_label")
     return report.withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query("ev_report", fx.with_views("round_texts", """
+SELECT CASE WHEN g = 1 THEN 'overall' ELSE db_id END AS db_id, CASE WHEN g = 1 THEN 'Overall accuracy' ELSE question END AS question,
+ CASE WHEN g = 1 THEN '' ELSE gold_query END AS gold_query, CASE WHEN g = 1 THEN '' ELSE predicted_query END AS predicted_query, round(acc, 6) AS acc
+FROM (SELECT db_id, question, gold_query, predicted_query, avg(CASE WHEN label = 1 THEN 1.0 ELSE 0.0 END) AS acc, grouping(db_id) AS g
+ FROM (SELECT 'db' AS db_id, 'Question ' || sample_id AS question, 'SELECT ' || sample_id AS gold_query, query AS predicted_query, label,
+   row_number() OVER (PARTITION BY sample_id ORDER BY round DESC) AS rn FROM round_texts) l
+ WHERE rn = 1 GROUP BY GROUPING SETS ((db_id, question, gold_query, predicted_query), ())) r"""))
+def report(spark, sf_dir):
+    name = F.col("sample_id").cast("string")
+    rows = _texts(spark, sf_dir).select(
+        F.lit("db").alias("db_id"), F.concat(F.lit("Question "), name).alias("question"),
+        F.concat(F.lit("SELECT "), name).alias("gold_query"), "round", "query", "label")
+    return rounds.accuracy_report(rows).withColumn("acc", F.round("acc", 6))

@@ -3,6 +3,7 @@
 import pytest
 
 from querygrove.operators import execution
+from querygrove.plans.generation import labelled_answers
 
 QUERY = "db_id string, query string"
 
@@ -81,3 +82,12 @@ def test_syntax_checks(spark, tables):
     texts = spark.createDataFrame([("d", "SELECT n FROM t"), ("d", "SELECT nope FROM t")], QUERY)
     checks = {r["query"]: r.syntax_check for r in execution.syntax_checks(spark, texts, tables).collect()}
     assert checks == {"SELECT n FROM t": 1.0, "SELECT nope FROM t": 0.0}
+
+
+def test_labelled_answers(spark, tables):
+    fence = "`" * 3
+    rows = [("m", "d", "q", 0, "SELECT n FROM t", f"{fence}sql\nSELECT n\nFROM t\n{fence}"),
+            ("m", "d", "q", 1, "SELECT n FROM t", "SELECT n  FROM t"), ("m", "d", "q", 2, "SELECT n FROM t", "SELECT s FROM t")]
+    answers = spark.createDataFrame(rows, "source_model string, db_id string, question string, position int, gold_query string, model_answer string")
+    got = {r.position: (r.generated_query, r.label) for r in labelled_answers(spark, answers, tables).collect()}
+    assert got == {0: ("SELECT n FROM t", 1), 2: ("SELECT s FROM t", 0)}

@@ -174,3 +174,22 @@ def test_block_ratio_is_the_library_ratio(spark):
     df = spark.createDataFrame(pairs, "substring string, similar_value string")
     got = [r[0] for r in df.select(linking.block_ratio("substring", "similar_value")).collect()]
     assert got == [SequenceMatcher(None, a.lower(), b.lower()).ratio() for a, b in pairs]
+
+
+def test_similar_entities_step_by_step(spark):
+    values = ["red widget", "red wagon", "blue gear", "red widgets"]
+    index = linking.value_index(spark.createDataFrame([("d", "t", "c", v) for v in values], "db_id string, table_name string, column_name string, value string")).persist()
+    texts = {"red widgit": [1.0, 0.0], "red widget": [0.9, 0.1], "red widgets": [0.5, 0.5], "red wagon": [0.95, 0.0], "blue gear": [1.0, 0.0],
+             "red": [0.0, 1.0], "widgit": [0.0, 1.0]}
+    vectors = spark.createDataFrame(list(texts.items()), "text string, embedding array<double>")
+    keywords = spark.createDataFrame([("d", 1, "red widgit")], "db_id string, request int, keyword string")
+    kept = linking.similar_entities(keywords, index, vectors, by=("request",))
+    assert {(r.request, r.similar_value) for r in kept.collect()} == {(1, "red widget")}
+
+
+def test_rounds_from_recorded_texts(spark):
+    fence = "`" * 3
+    rows = [("s", 1, f"{fence}sql\nSELECT 1\n{fence}", "<reasoning>low</reasoning><label>2</label>"), ("s", 2, "sorry", None)]
+    got = rounds.from_responses(spark.createDataFrame(rows, "sample_id string, round int, model_response string, judge_response string"))
+    assert [(r.query, r.has_sql, r.judge_label, r.judge_reasoning) for r in got.orderBy("round").collect()] == [
+        ("SELECT 1", 1, 2, "low"), ("sorry", 0, None, None)]
