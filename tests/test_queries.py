@@ -25,7 +25,7 @@ def test_query(spark, sf_dir, duck, name):
     if name not in ORACLES:
         assert df.count() > 0
         return
-    rows = df.toPandas().values.tolist()
+    rows = [tuple(r) for r in df.collect()]
     cursor = duck.execute(ORACLES[name])
     columns = [d[0] for d in cursor.description]
     assert sorted(columns) == sorted(df.columns)
