@@ -20,7 +20,10 @@ def held_out(doc_id) -> Column:
 
 def words(text: Column) -> Column:
     """The words of a text; null and blank texts have none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
+    t = F.coalesce(text, F.lit(""))
+    for blank in "\t\n\x0b\x0c\r":  # plain replacements and a plain split are several times as fast as a pattern
+        t = F.replace(t, F.lit(blank), F.lit(" "))
+    return F.array_remove(F.split(t, " "), "")
 
 
 def groups_of(batches, keys):

@@ -21,9 +21,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from querygrove.functions.text import let
 from querygrove.session import write_and_read
 
-from .common import SPACE, WORD, words
+from .common import WORD, words
 
 DIMS = 5
 SCALE = 10_000
@@ -48,15 +49,20 @@ def statistics(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     hashed = start.withColumn("n_words", F.size("w").cast("long")).withColumn("h", F.when(
         F.col("n_words") >= 8, F.transform(F.sequence(F.lit(1), F.size("w") - 7),
                                            lambda i: F.xxhash64(F.slice("w", i, 8)))))
-    ordered = hashed.drop("w").withColumn("s", F.when(
+    ordered = hashed.withColumn("word_chars", F.length(F.array_join("w", "")).cast("long")).drop("w").withColumn("s", F.when(
         F.size(F.array_distinct("h")) < F.size("h"),
-        F.array_sort(F.transform("h", lambda v, i: F.struct(v.alias("v"), i.alias("i"))))))
-    flagged = ordered.drop("h").withColumn("at", F.array_sort(F.transform(F.filter("s", lambda x, k: (
-        (x["v"] == F.get("s", k + 1)["v"]) | (x["v"] == F.get("s", k - 1)["v"]))), lambda x: x["i"])))
-    symbols = F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))
+        F.sort_array(F.transform("h", lambda v, i: F.struct(v.alias("v"), i.alias("i"))))))
+    # The sorted windows are bound once: each looks at its neighbours in them.
+    flagged = ordered.drop("h").withColumn("at", let(F.col("s"), lambda s: F.sort_array(F.transform(
+        F.filter(s, lambda x, k: (x["v"] == F.get(s, k + 1)["v"]) | (x["v"] == F.get(s, k - 1)["v"])),
+        lambda x: x["i"]))))
+    bare = F.col("t")
+    for symbol in "#*$%&|<>":
+        bare = F.replace(bare, F.lit(symbol), F.lit(""))
+    symbols = F.octet_length("t") - F.octet_length(bare)
     based = flagged.select(
         "row", "n_words",
-        F.length(F.translate("t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
+        "word_chars",
         symbols.cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size("lines").cast("long").alias("n_lines"),
@@ -146,8 +152,9 @@ def judge(stats: DataFrame, estimates: DataFrame, cutoff: float = CUTOFF) -> Dat
     out = out.withColumn("e", F.coalesce("e1", "e2", "e3")).select(
         *stats.columns, *[F.col("e")[c].alias(c) for c in ESTIMATE])
     out = _distance(out).drop(*ESTIMATE)
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True))) \
-              .withColumnRenamed("d2", "distance2")
+    # One condition, not a conjunction: a part of it pushed below would take the statistics twice.
+    kept = F.when(F.col("base_failed"), False).otherwise(F.coalesce(F.col("d2") <= cutoff, F.lit(True)))
+    return out.withColumn("kept", kept).withColumnRenamed("d2", "distance2")
 
 
 def verdicts(docs: DataFrame, keep: list[str]) -> DataFrame:
