@@ -32,7 +32,7 @@ from .common import groups_of
 from .components import components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-LEAF, SHARD_ROWS, ROUNDS = 64, 20_000, 40
+LEAF, SHARD_ROWS, ROUNDS, SHRINK = 64, 20_000, 40, 0.8
 
 
 def fingerprint(text: str | None, n: int) -> int:
@@ -87,12 +87,17 @@ def _dealt(fps: DataFrame, m: int, max_bits: int) -> DataFrame:
 
 
 def _split(rows: DataFrame, max_bits: int, limit: int) -> DataFrame:
-    """Splits shards above ``limit`` at vantage points until none is left, with overlapping queries."""
+    """Splits shards above ``limit`` at vantage points, with overlapping queries, as long as that helps.
+
+    A part of more than ``SHRINK`` of what was split (a dense ball) goes to its task as it is.
+    """
     done = []
+    rows = rows.withColumn("before", F.lit(1 << 62))
     for _ in range(ROUNDS):
         large = write_and_read(rows.groupBy("shard").agg(
             F.count("*").alias("n"), F.min_by("fp", F.struct(F.xxhash64("fp"), "fp")).alias("v"))
-            .filter(F.col("n") > limit), "vantage")
+            .join(rows.groupBy("shard").agg(F.max("before").alias("was")), "shard")
+            .filter((F.col("n") > limit) & (F.col("n") <= F.col("was") * SHRINK)).drop("was"), "vantage")
         if large.isEmpty():
             break
         done.append(rows.join(large, "shard", "left_anti"))
@@ -110,9 +115,9 @@ def _split(rows: DataFrame, max_bits: int, limit: int) -> DataFrame:
             F.when(F.col("d") > F.col("r") - max_bits,
                    F.struct(F.xxhash64("shard", F.lit(1)).alias("shard"),
                             (F.col("home") & (F.col("d") > F.col("r"))).alias("home"))))
-        rows = write_and_read(at.select("fp", F.explode(sides).alias("s")).filter("s IS NOT NULL")
-                              .select("s.shard", "fp", "s.home"), "vantage")
-    return _union([*done, rows])
+        rows = write_and_read(at.select("fp", "n", F.explode(sides).alias("s")).filter("s IS NOT NULL").select(
+            "s.shard", "fp", "s.home", F.col("n").alias("before")), "vantage")
+    return _union([*done, rows]).drop("before")
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
