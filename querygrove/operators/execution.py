@@ -88,7 +88,7 @@ def planned(session: SparkSession, query: str) -> DataFrame:
 
 def message(error: Exception) -> str:
     """The first line of an error, without the plan behind it."""
-    return str(error).strip().split("\n")[0][:500]
+    return str(error).strip().split("\n")[0]
 
 
 def cell(name: str, kind: T.DataType) -> str:

@@ -33,11 +33,11 @@ NEAR_BEST = 0.9
 
 
 def eligible_columns(columns: DataFrame, keys: DataFrame) -> DataFrame:
-    """Text columns whose name is no key of the database and hints at no code."""
+    """Text columns, by either dialect's type names, whose name is no key of the database and hints at no code."""
     key_names = keys.filter(F.col("kind") == "pk").select(
         "db_id", F.lower("column_name").alias("_c")).distinct()
     wanted = columns.filter(
-        F.contains("data_type", F.lit("TEXT"))
+        (F.contains("data_type", F.lit("TEXT")) | F.col("data_type").rlike("^(string|varchar|char)"))
         & ~F.lower("column_name").rlike(UNWANTED_IN_NAME)
         & ~F.endswith("column_name", F.lit("Id")))
     return (wanted.withColumn("_c", F.lower("column_name"))

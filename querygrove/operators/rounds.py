@@ -57,26 +57,24 @@ def replay(rounds: DataFrame, max_retries: int = 2, threshold: float = 7) -> Dat
             .filter(F.col("_stopped") == 0).drop("_stopped"))
 
 
-def error_rounds(rounds: DataFrame, max_retries: int = 2) -> DataFrame:
+def error_rounds(rounds: DataFrame) -> DataFrame:
     """One row per failed round: the query before it, label 0 and the message."""
     before = F.last("query", ignorenulls=True).over(
         _in_order().rowsBetween(Window.unboundedPreceding, -1))
-    return (rounds.filter(F.col("round") <= max_retries + 1)
-            .withColumn("query", F.coalesce("query", before, F.lit("")))
+    return (rounds.withColumn("query", F.coalesce("query", before, F.lit("")))
             .filter(F.col("error").isNotNull())
             .withColumn("exec_res", F.lit(0))
-            .withColumn("exec_err", F.concat(F.lit("Model failed: "), F.col("error")))
+            .withColumn("exec_err", F.concat(F.lit("no answer: "), F.col("error")))
             .withColumn("label", F.lit(0)))
 
 
-def feedback_hints(rounds: DataFrame, evidence: str = "evidence", max_retries: int = 2) -> DataFrame:
+def feedback_hints(rounds: DataFrame, evidence: str = "evidence") -> DataFrame:
     """The hint of each later round: evidence, the last attempt, its judgement."""
     back = {c: F.lag(c).over(_in_order()) for c in ("query", "judge_reasoning")}
     hint = F.concat(F.coalesce(F.col(evidence), F.lit("")),
                     F.lit(FEEDBACK_PARTS[0]), F.coalesce(F.col("_query"), F.lit("")),
                     F.lit(FEEDBACK_PARTS[1]), F.coalesce(F.col("_reasoning"), F.lit("")))
-    return (rounds.filter(F.col("round") <= max_retries + 1)
-            .withColumn("_query", back["query"]).withColumn("_reasoning", back["judge_reasoning"])
+    return (rounds.withColumn("_query", back["query"]).withColumn("_reasoning", back["judge_reasoning"])
             .withColumn("hint", F.when(F.col("round") == 1, F.col(evidence)).otherwise(hint))
             .drop("_query", "_reasoning"))
 

@@ -40,11 +40,11 @@ CONNECTED = """conn AS (SELECT t.db_id, t.table_name, p.column_name FROM tabs t
    WHERE EXISTS (SELECT 1 FROM chosen s JOIN pk p ON p.db_id = s.db_id AND p.table_name = s.table_name AND p.column_name = s.column_name
     WHERE s.db_id = t.db_id AND lower(s.column_name) = lower(c.column_name) AND s.table_name <> t.table_name))"""
 COMMENT = """CASE WHEN trim(body) = '' THEN '' ELSE replace(' --' || body, chr(10), ' ') END"""
-BODY = """CASE WHEN low_value IS NULL THEN '' ELSE ' Example Values: `' || low_value || '`, `' || high_value || '` |' END
- || CASE WHEN n_nonnull IS NULL THEN '' ELSE ' Value Statics: Total count ' || n_nonnull || ' - Distinct count ' || n_distinct || ' - Null count ' || n_null END
- || ' ' || CASE WHEN trim(coalesce(expanded_name, '')) <> '' AND lower(expanded_name) <> lower(column_name) THEN '| Column Name Meaning: ' || expanded_name ELSE '' END
- || ' ' || CASE WHEN coalesce(column_description, '') <> '' THEN '| Column Description: ' || column_description ELSE '' END
- || ' ' || CASE WHEN coalesce(value_description, '') <> '' THEN '| Value Description: ' || value_description ELSE '' END"""
+BODY = """CASE WHEN low_value IS NULL THEN '' ELSE ' e.g. `' || low_value || '`, `' || high_value || '` |' END
+ || CASE WHEN n_nonnull IS NULL THEN '' ELSE ' counts: non-null ' || n_nonnull || ', distinct ' || n_distinct || ', null ' || n_null END
+ || ' ' || CASE WHEN trim(coalesce(expanded_name, '')) <> '' AND lower(expanded_name) <> lower(column_name) THEN '| long name ' || expanded_name ELSE '' END
+ || ' ' || CASE WHEN coalesce(column_description, '') <> '' THEN '| about ' || column_description ELSE '' END
+ || ' ' || CASE WHEN coalesce(value_description, '') <> '' THEN '| values ' || value_description ELSE '' END"""
 LAKE = "lake_columns lake_keys lake_descriptions lake_stats lake_requests"
 
 
@@ -124,12 +124,12 @@ def column_comment(spark, sf_dir):
 
 
 @query("cat_column_profile", _duck(LAKE, ENRICHED, """
-SELECT db_id, table_name, column_name, 'Table name: `' || table_name || '`' || chr(10) || 'Original column name: `' || column_name || '`' || chr(10)
- || CASE WHEN trim(coalesce(expanded_name, '')) <> '' AND lower(trim(expanded_name)) <> lower(trim(column_name)) THEN 'Expanded column name: `' || expanded_name || '`' || chr(10) ELSE '' END
- || 'Data type: ' || data_type || chr(10)
- || CASE WHEN coalesce(column_description, '') <> '' THEN 'Description: ' || column_description || chr(10) ELSE '' END
- || CASE WHEN coalesce(value_description, '') <> '' THEN 'Value description: ' || value_description || chr(10) ELSE '' END
- || 'Example of values in the column: `' || low_value || '`, `' || high_value || '`' || chr(10) AS column_profile
+SELECT db_id, table_name, column_name, 'table `' || table_name || '`' || chr(10) || 'column `' || column_name || '`' || chr(10)
+ || CASE WHEN trim(coalesce(expanded_name, '')) <> '' AND lower(trim(expanded_name)) <> lower(trim(column_name)) THEN 'long name `' || expanded_name || '`' || chr(10) ELSE '' END
+ || 'type ' || data_type || chr(10)
+ || CASE WHEN coalesce(column_description, '') <> '' THEN 'about ' || column_description || chr(10) ELSE '' END
+ || CASE WHEN coalesce(value_description, '') <> '' THEN 'values ' || value_description || chr(10) ELSE '' END
+ || 'e.g. `' || low_value || '`, `' || high_value || '`' || chr(10) AS column_profile
 FROM info WHERE NOT primary_key AND foreign_keys = '' AND referenced_by = ''"""))
 def column_profile(spark, sf_dir):
     return catalog.column_profiles(lake_metadata(spark, sf_dir)[2])

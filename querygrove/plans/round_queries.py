@@ -30,9 +30,9 @@ def round_replay(spark, sf_dir):
 
 
 @query("ev_error_rounds", fx.with_views("round_texts", """
-SELECT sample_id, round, coalesce(query, before) AS query, 0 AS label, 'Model failed: ' || error AS exec_err FROM (
+SELECT sample_id, round, coalesce(query, before) AS query, 0 AS label, 'no answer: ' || error AS exec_err FROM (
  SELECT *, coalesce(last_value(query IGNORE NULLS) OVER (PARTITION BY sample_id ORDER BY round
-   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before FROM round_texts WHERE round <= 3) t
+   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before FROM round_texts) t
 WHERE error IS NOT NULL"""))
 def error_rounds(spark, sf_dir):
     return rounds.error_rounds(_texts(spark, sf_dir)).select("sample_id", "round", "query", "label", "exec_err")
@@ -41,7 +41,7 @@ def error_rounds(spark, sf_dir):
 @query("ev_feedback_hint", fx.with_views("round_texts", """
 SELECT sample_id, round, CASE WHEN round = 1 THEN 'in lines' ELSE 'in lines' || chr(10) || chr(10) || 'Previous attempt: '
  || coalesce(lag(query) OVER w, '') || chr(10) || chr(10) || 'Feedback: ' || coalesce(lag(judge_reasoning) OVER w, '') END AS hint
-FROM round_texts WHERE round <= 3 WINDOW w AS (PARTITION BY sample_id ORDER BY round)"""))
+FROM round_texts WINDOW w AS (PARTITION BY sample_id ORDER BY round)"""))
 def feedback_hint(spark, sf_dir):
     rows = _texts(spark, sf_dir).withColumn("evidence", F.lit("in lines"))
     return rounds.feedback_hints(rows).select("sample_id", "round", "hint")

@@ -1,4 +1,4 @@
-"""Bounded reads of a table, in an order the caller names."""
+"""Reads of a table, bounded only where the caller says so, in an order the caller names."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ DEFAULT_ROWS = 5000
 RANDOM_OF_FIRST = 10
 
 
-def fetch(df: DataFrame, mode: str | int = DEFAULT_ROWS, order: list[str] | None = None, seed: int = 42) -> DataFrame:
+def fetch(df: DataFrame, mode: str | int = "all", order: list[str] | None = None, seed: int = 42) -> DataFrame:
     """All rows, one, the first ``mode`` rows, or a random one of the first ten."""
     ordered = df.orderBy(*order) if order else df
     if mode == "all":

@@ -1,7 +1,4 @@
-"""Column functions against small Python restatements, on edge cases."""
-
-import math
-import re
+"""Column functions on edge cases, against values written out."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,41 +25,67 @@ RESPONSES = [
 ]
 
 
+# What each text above gives, written out.
+EXTRACTED = [
+    '',
+    '',
+    'plain',
+    'select 1',
+    'select 1',
+    'select 2;',
+    '```SQL select 3 ```',
+    '```sql never closed',
+    '',
+]
+NORMAL = [
+    '',
+    'select a from t',
+    'select a from t ',
+    'select a from t',
+    'select a from t',
+    "select '",
+    'select(a,b)from t',
+    'select \'it\'\'s\',"q" from t',
+    'select a,b',
+    '',
+    'select \\\'a\\\',\\\\\\"b\\\\\\" from t',
+]
+CLEAN = [
+    '',
+    'SELECT a FROM t',
+    'select  A \tfrom T ;',
+    'select a from t;;',
+    'SELECT a -- note FROM t',
+    "SELECT '--x' FROM t",
+    '/* a b */ SELECT ( a , b ) FROM t',
+    "select 'It''s', 'q' from t",
+    'SELECT a\xa0,\u3000b',
+    '-- only',
+    "SELECT 'a' , 'b' FROM t",
+]
+LABELS = [-1, 7, 99, -1, -1, 3, 5, 5, -1, -1, 9223372036854775807, -1]
+TAG_REWARDS = [-0.5, 0, 0, -0.5, -0.5, 0, 0.5, 0.25, -0.5, -0.5, 0, -0.5]
+STRICT = [0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.5, 0.5, 0.5, 0.0, 0.0, 0.5]
+SOFT = [0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.5, 0.5, 0.5, 0.5, 0.0, 0.5]
+
+
 def values(spark, texts, column):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     return [r.v for r in rows.select("i", column(F.col("t")).alias("v")).orderBy("i").collect()]
 
 
-def py_extract(text):
-    found = re.findall(rf"{FENCE}sql\s*(.*?)\s*{FENCE}", text, re.DOTALL)
-    return found[-1].strip() if found else text.strip()
-
-
-def py_normal(query):
-    text = re.sub(r"/\*.*?\*/", "", re.sub("--.*", "", query), flags=re.DOTALL).lower()
-    text = re.sub(r"\s+", " ", text).strip().rstrip(";")
-    for mark in ",()":
-        text = re.sub(rf"\s*[{mark}]\s*", mark, text)
-    return text
-
-
-def py_label(text):
-    found = re.search(r"<label>\s*(\d+)\s*</label>", text)
-    return int(found.group(1)) if found else -1
-
-
 def test_strip(spark):
     assert values(spark, TEXTS, strip) == [t.strip() for t in TEXTS]
 
 
 def test_extract(spark):
-    assert values(spark, TEXTS, sqltext.extract_sql) == [py_extract(t) for t in TEXTS]
+    assert values(spark, TEXTS, sqltext.extract_sql) == EXTRACTED
     kept = values(spark, TEXTS, lambda c: sqltext.extract_sql(c, strip_plain=False))
     assert kept[3] == TEXTS[3]
 
 
 def test_normalize(spark):
-    assert values(spark, SQLS, sqltext.normalize_sql) == [py_normal(q) for q in SQLS]
+    assert values(spark, SQLS, sqltext.normalize_sql) == NORMAL
 
 
 def test_normalize_ignores_case_blanks_and_comments(spark):
@@ -74,8 +97,7 @@ def test_normalize_ignores_case_blanks_and_comments(spark):
 
 def test_clean(spark):
     got = values(spark, SQLS, lambda c: sqltext.clean_sql(c, strip_comments=False))
-    want = [re.sub(r"\\+(['\"])", r"\1", q.replace("\n", " ").replace('"', "'")) for q in SQLS]
-    assert got == want
+    assert got == CLEAN
     assert values(spark, ["SELECT a -- b\nFROM t", "SELECT '--x' -- y"], sqltext.clean_sql) == ["SELECT a  FROM t", "SELECT '--x' "]
 
 
@@ -103,26 +125,18 @@ def test_ngrams_and_jaccard(spark):
 
 
 def test_labels(spark):
-    limit = 2**63 - 1
-    assert values(spark, RESPONSES[:10] + RESPONSES[11:], rewards.label) == [
-        min(py_label(t), limit) for t in RESPONSES[:10] + RESPONSES[11:]]
+    assert values(spark, RESPONSES[:10] + RESPONSES[11:], rewards.label) == LABELS
     assert values(spark, RESPONSES, rewards.judge_label)[-1] == 4
     assert values(spark, RESPONSES, rewards.judge_reasoning)[-1] == "why"
 
 
 def test_rewards(spark):
-    def py_count(text):
-        tags = ["<reasoning>\n", "\n</reasoning>\n", "\n<label>\n", "\n</label>"]
-        return sum(0.125 for t in tags if text.count(t) == 1) - (0.5 if py_label(text) == -1 else 0)
-
     texts = RESPONSES[:10] + RESPONSES[11:]
-    assert values(spark, texts, rewards.tag_reward) == [pytest.approx(py_count(t)) for t in texts]
-    near = values(spark, texts, lambda c: rewards.accuracy_reward(c, F.lit(6)))
-    assert near == [pytest.approx(-1.0 if py_label(t) == -1 else 2 * math.exp(-0.5 * abs(6 - py_label(t)))) for t in texts]
-    body = r"<reasoning>\s*.*?\s*</reasoning>\s*<label>\s*.*?\s*</label>"
-    assert values(spark, texts, rewards.strict_format_reward) == [
-        0.5 if re.fullmatch(rf"\s*{body}\s*", t, re.DOTALL) else 0.0 for t in texts]
-    assert values(spark, texts, rewards.soft_format_reward) == [0.5 if re.search(body, t, re.DOTALL) else 0.0 for t in texts]
+    assert values(spark, texts, rewards.tag_reward) == pytest.approx(TAG_REWARDS)
+    near = values(spark, ["<label>6</label>", "<label>8</label>", "none"], lambda c: rewards.accuracy_reward(c, F.lit(6)))
+    assert near == pytest.approx([2.0, 0.7357588823428847, -1.0])
+    assert values(spark, texts, rewards.strict_format_reward) == STRICT
+    assert values(spark, texts, rewards.soft_format_reward) == SOFT
 
 
 def test_prompt_is_filled_once(spark):
