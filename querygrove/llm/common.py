@@ -26,6 +26,16 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(t, " "), "")
 
 
+def below_share(rows: DataFrame, by: str, digest: Column, limit: int) -> DataFrame:
+    """The rows of least ``digest`` (64 bits) in each group, about twice ``limit`` of them.
+
+    A first pass counts the groups, so that what goes on to be ranked stays
+    bounded however many rows and tasks there are.  Small groups stay whole.
+    """
+    share = rows.groupBy(by).agg(((2.0 * limit + 100) / F.count("*")).alias("_share"))
+    return rows.join(share, by).filter(digest.cast("double") / 2.0 ** 64 + 0.5 <= F.col("_share")).drop("_share")
+
+
 def groups_of(batches, keys):
     """Arrow batches of a key-sorted partition, regrouped so that no key is split.
 

@@ -7,7 +7,7 @@ fewest phrases, relative to what its own held-back text needs, wins.  Automata
 are tables over a small alphabet, and many blocks of text are parsed at once,
 one step of all blocks at a time; a block starts a new phrase.
 
-The sample is ``docs_per_lang`` rows of each language, the first
+The sample is ``docs_per_lang`` different texts of each language, the first
 ``chars_per_doc`` characters of each; half of it builds the automaton, half
 sets the rate.  Texts are parsed whole.  Null texts and texts without a letter
 are ``und`` with score 0, as is everything when nothing is labelled.  Ties go
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import below_share, held_out
 
 DOCS_PER_LANG, CHARS_PER_DOC, BLOCK, LETTERS = 48, 1_500, 256, 62
 CODE_POINTS = 0x110000
@@ -128,10 +128,13 @@ def parse(encoded: list[np.ndarray], tables: list[np.ndarray]) -> np.ndarray:
 
 def fit(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG, chars_per_doc: int = CHARS_PER_DOC) -> dict:
     """The model of a bounded sample of ``labelled`` (doc_id, text, lang)."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    sample = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").withColumn(
-        "r", F.row_number().over(order)).filter(F.col("r") <= docs_per_lang).select(
-        "lang", "r", F.substring("text", 1, chars_per_doc).alias("text")).collect()
+    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
+    # Copies count once; they are reduced before the shuffle, as are the texts to what is used of them.
+    texts = below_share(rows, "lang", F.xxhash64("text"), docs_per_lang).groupBy(
+        "lang", F.xxhash64("text").alias("h")).agg(F.min(F.substring("text", 1, chars_per_doc)).alias("text"))
+    order = Window.partitionBy("lang").orderBy("h", "text")
+    sample = texts.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= docs_per_lang).select(
+        "lang", "r", "text").collect()
     by: dict[str, list] = {}
     for row in sorted(sample, key=lambda x: (x.lang, x.r)):
         by.setdefault(row.lang, []).append(row.text)
