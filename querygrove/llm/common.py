@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from querygrove.session import write_and_read
+
 SPACE = "[\\x20\\x09-\\x0D]"
 WORD = "[^\\x20\\x09-\\x0D]"
 
@@ -32,7 +34,8 @@ def below_share(rows: DataFrame, by: str, digest: Column, limit: int) -> DataFra
     A first pass counts the groups, so that what goes on to be ranked stays
     bounded however many rows and tasks there are.  Small groups stay whole.
     """
-    share = rows.groupBy(by).agg(((2.0 * limit + 100) / F.count("*")).alias("_share"))
+    # Stored: the planner then knows how few groups there are and need not shuffle the rows for the join.
+    share = write_and_read(rows.groupBy(by).agg(((2.0 * limit + 100) / F.count("*")).alias("_share")), "shares")
     return rows.join(share, by).filter(digest.cast("double") / 2.0 ** 64 + 0.5 <= F.col("_share")).drop("_share")
 
 
