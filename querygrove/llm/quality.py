@@ -114,9 +114,10 @@ def _nearest(rows: DataFrame, by: list[str], estimates: DataFrame) -> DataFrame:
         "bin", F.floor(F.log2(F.col("d2") + 1e-3) * BINS_PER_OCTAVE))
     counts = binned.groupBy(*by, "bin").agg(F.count("*").alias("c"))
     key = ", ".join(by)
-    cut = counts.selectExpr(
+    # Stored: the planner then knows its size and need not deal the rows by their group.
+    cut = write_and_read(counts.selectExpr(
         *by, "bin", f"sum(c) OVER (PARTITION BY {key} ORDER BY bin) AS upto", f"sum(c) OVER (PARTITION BY {key}) AS n"
-    ).filter(F.col("upto") >= F.col("n") * SHARE).groupBy(*by).agg(F.min("bin").alias("last"))
+    ).filter(F.col("upto") >= F.col("n") * SHARE).groupBy(*by).agg(F.min("bin").alias("last")), "mcd")
     return binned.join(cut, by).filter(F.col("bin") <= F.col("last")).drop("bin", "last", "d2")
 
 
@@ -128,15 +129,16 @@ def fit(stats: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     """
     rows = stats.filter(~F.col("base_failed")).select(
         F.explode(F.array("source_key", "lang_key", F.lit("all"))).alias("key"), *XS)
-    sizes = rows.groupBy("key").count().filter((F.col("count") >= min_rows) | (F.col("key") == "all")).select("key")
+    sizes = write_and_read(rows.groupBy("key").count().filter(
+        (F.col("count") >= min_rows) | (F.col("key") == "all")).select("key"), "mcd")
     spread = rows.join(sizes, "key").withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1))))
     by = ["key", "start"]
     subset = spread.filter((F.col("start") == 0) | (F.pmod(F.xxhash64(*XS), F.lit(STARTS)) == F.col("start")))
     estimates = write_and_read(_estimates(subset, by, 1.0), "mcd")
     for _ in range(STEPS):
         estimates = write_and_read(_estimates(_nearest(spread, by, estimates), by, CONSISTENT), "mcd")
-    best = estimates.groupBy("key").agg(
-        F.min_by(F.struct(*ESTIMATE), F.struct("log_det", "start")).alias("e")).select("key", "e.*")
+    best = write_and_read(estimates.groupBy("key").agg(
+        F.min_by(F.struct(*ESTIMATE), F.struct("log_det", "start")).alias("e")).select("key", "e.*"), "mcd")
     near = _distance(rows.join(best, "key")).drop(*ESTIMATE).filter(F.col("d2") <= CUTOFF)
     return write_and_read(_estimates(near, ["key"], 1.0).select("key", "n", *ESTIMATE), "mcd")
 
