@@ -31,7 +31,6 @@ Tables = Callable[[SparkSession, str], dict[str, DataFrame]]
 STATEMENT_SECONDS = 60
 BATCH = 64
 WORKERS = 4
-FETCHED_ROWS = 5000
 SHOWN_ROWS = 20
 PREVIEW_CHARS = 2000
 RIGHT, WRONG, TIMEOUT = "--", "incorrect answer", "timeout"
@@ -155,19 +154,19 @@ def _printed(df: DataFrame) -> str:
 
 
 def _preview_text(n_rows: Column, n_columns: Column, shown: Column) -> Column:
-    """The number of rows fetched, of columns, and the first rows."""
-    fetched = F.least(n_rows, F.lit(FETCHED_ROWS))
+    """The number of rows, of columns, and the first rows."""
     columns = F.when(n_rows > 0, n_columns).otherwise(F.lit(0))
-    text = F.concat(F.lit("Rows: "), fetched.cast("string"), F.lit(", Columns: "), columns.cast("string"),
+    text = F.concat(F.lit("Rows: "), n_rows.cast("string"), F.lit(", Columns: "), columns.cast("string"),
                     F.lit(", Results: ["), F.array_join(shown, ", "), F.lit("]"))
     return F.substring(text, 1, PREVIEW_CHARS)
 
 
 def preview(df: DataFrame) -> DataFrame:
-    """The preview of one result; at most 5,000 rows reach the task that counts them."""
-    rows = df.toDF(*_names(df)).limit(FETCHED_ROWS).selectExpr(_printed(df))
-    return rows.agg(_preview_text(F.count(F.lit(1)), F.lit(len(df.columns)),
-                                  F.slice(F.collect_list("row"), 1, SHOWN_ROWS)).alias("preview"))
+    """The preview of one result: all its rows counted in the map tasks, the first ``SHOWN_ROWS`` shown."""
+    named = df.toDF(*_names(df))
+    counted = named.agg(F.count(F.lit(1)).alias("n"))
+    shown = named.limit(SHOWN_ROWS).selectExpr(_printed(df)).agg(F.collect_list("row").alias("shown"))
+    return shown.select(_preview_text(counted.scalar(), F.lit(len(df.columns)), F.col("shown")).alias("preview"))
 
 
 def set_equal(left: DataFrame, right: DataFrame) -> DataFrame:

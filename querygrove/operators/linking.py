@@ -49,10 +49,14 @@ def _average() -> Column:
 
 
 def size_gate(lengths: DataFrame) -> DataFrame:
-    """Columns small enough to index, from their summed lengths and counts."""
+    """Adds ``fit``: whether a column is small enough for a one-machine index.
+
+    A flag only: :func:`unique_values` indexes every eligible column, and a
+    caller who wants the smaller index filters ``eligible`` by it.
+    """
     named = F.contains(F.lower("column_name"), F.lit("name"))
-    return lengths.filter(
-        (F.col("count_distinct") > 0)
+    return lengths.withColumn(
+        "fit", (F.col("count_distinct") > 0)
         & ((named & (F.col("sum_of_lengths") < NAME_SUM_LIMIT))
            | ((F.col("sum_of_lengths") < SUM_LIMIT) & (_average() < AVERAGE_LIMIT))
            | (F.col("count_distinct") < DISTINCT_LIMIT)))
@@ -64,10 +68,9 @@ def skip_column() -> Column:
     return ~named & (F.col("sum_of_lengths") > SKIP_SUM) & (_average() > SKIP_AVERAGE)
 
 
-def unique_values(distinct: DataFrame, eligible: DataFrame, lengths: DataFrame) -> DataFrame:
-    """The values to index: distinct ones of eligible columns of fit size."""
-    fit = size_gate(lengths).select(*COLUMN).join(eligible.select(*COLUMN), COLUMN)
-    return salted_lookup(distinct, fit, COLUMN, "inner")
+def unique_values(distinct: DataFrame, eligible: DataFrame) -> DataFrame:
+    """The values to index: distinct ones of every eligible column, whatever its size."""
+    return salted_lookup(distinct, eligible.select(*COLUMN), COLUMN, "inner")
 
 
 def _identity(*columns: str) -> Column:

@@ -77,29 +77,34 @@ def distinct_queries(rows: DataFrame, query: str = "generated_query") -> DataFra
 
 
 def tables_used(queries: DataFrame, columns: DataFrame) -> DataFrame:
-    """``db_id, query, table_name``: the catalog's tables named in each query."""
-    words = queries.select("db_id", "query", F.explode(F.array_distinct(F.transform(
-        sqltext.code_words(F.col("query")), lambda w: F.lower(w)))).alias("_t"))
+    """``db_id, query, table_name``: the catalog's tables that stand where a query names its tables."""
+    names = F.transform(_references(F.lower(sqltext.code_only(F.col("query")))), lambda r: r["table"])
+    words = queries.select("db_id", "query", F.explode(F.array_distinct(names)).alias("_t"))
     tables = columns.select("db_id", F.lower("table_name").alias("_t"), "table_name").distinct()
     return salted_lookup(words, tables, ["db_id", "_t"], "inner").select("db_id", "query", "table_name")
 
 
-def columns_by_table(queries: DataFrame, columns: DataFrame) -> DataFrame:
-    """``db_id, query, table_name, column_name``: the columns each query uses.
-
-    A qualifier is resolved through the query's aliases.  A column without one
-    belongs to the first named table that has it.
-    """
-    code = F.lower(sqltext.code_only(F.col("query")))
+def _references(code: Column) -> Column:
+    """Table and alias (or the table again) at each place after FROM, JOIN or a comma of lower-cased code."""
     words = F.transform(
         F.regexp_extract_all(sqltext.clauses(code), F.lit(f"({TABLE_REFERENCE})"), F.lit(1)),
         lambda m: F.filter(F.regexp_extract_all(m, F.lit(f"({WORD})"), F.lit(1)),
                            lambda w: ~w.isin("from", "join", "as")))
     named = F.filter(words, lambda m: F.size(m) > 0)
-    references = F.transform(named, lambda m: F.struct(
+    return F.transform(named, lambda m: F.struct(
         m[0].alias("table"),
         F.when((F.size(m) > 1) & ~F.try_element_at(m, F.lit(2)).isin(*sqltext.NOT_AN_ALIAS),
                F.try_element_at(m, F.lit(2))).otherwise(m[0]).alias("alias")))
+
+
+def columns_by_table(queries: DataFrame, columns: DataFrame) -> DataFrame:
+    """``db_id, query, table_name, column_name``: the columns each query uses.
+
+    A qualifier is resolved through the query's aliases.  A column without one
+    belongs to the first named table that has it.
+    """
+    code = F.lower(sqltext.code_only(F.col("query")))
+    references = _references(code)
     dotted = F.transform(
         F.regexp_extract_all(code, F.lit(f"({QUALIFIED})"), F.lit(1)),
         lambda m: F.regexp_extract_all(m, F.lit(f"({WORD})"), F.lit(1)))

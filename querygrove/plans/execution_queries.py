@@ -108,7 +108,7 @@ PREVIEWED = {
 
 def _duck_preview(name: str, sql: str, cells: str, columns: int) -> str:
     return f"""SELECT '{name}' AS shown, left('Rows: ' || count(*) || ', Columns: ' || CASE WHEN count(*) > 0 THEN {columns} ELSE 0 END || ', Results: ['
- || coalesce(array_to_string(list('[' || {cells} || ']')[1:20], ', '), '') || ']', 2000) AS preview FROM (SELECT * FROM ({sql}) s LIMIT 5000) t"""
+ || coalesce(array_to_string(list('[' || {cells} || ']')[1:20], ', '), '') || ']', 2000) AS preview FROM ({sql}) t"""
 
 
 @query("ex_preview", " UNION ALL ".join([

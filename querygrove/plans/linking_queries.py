@@ -25,10 +25,8 @@ LENGTHS = """lengths AS (SELECT db_id, table_name, column_name, CAST(sum(length(
   FROM (SELECT DISTINCT * FROM cells WHERE value IS NOT NULL) d GROUP BY 1, 2, 3)"""
 GATE = """(contains(lower(column_name), 'name') AND sum_of_lengths < 5000000)
  OR (sum_of_lengths < 2000000 AND sum_of_lengths / count_distinct < 25) OR count_distinct < 100"""
-VALUES = f"""{LENGTHS},
- vals AS (SELECT DISTINCT c.db_id, c.table_name, c.column_name, c.value FROM cells c
-  JOIN ({ELIGIBLE.format(columns='cell_columns', keys='cell_keys')}) e USING (db_id, table_name, column_name)
-  JOIN (SELECT * FROM lengths WHERE {GATE}) g USING (db_id, table_name, column_name) WHERE c.value IS NOT NULL)"""
+VALUES = f""" vals AS (SELECT DISTINCT c.db_id, c.table_name, c.column_name, c.value FROM cells c
+  JOIN ({ELIGIBLE.format(columns='cell_columns', keys='cell_keys')}) e USING (db_id, table_name, column_name) WHERE c.value IS NOT NULL)"""
 
 
 def _shingles(text: str) -> str:
@@ -72,7 +70,7 @@ def _distinct(spark, sf_dir):
 
 def _values(spark, sf_dir):
     eligible = linking.eligible_columns(fx.view(spark, sf_dir, "cell_columns"), fx.view(spark, sf_dir, "cell_keys"))
-    return linking.unique_values(_distinct(spark, sf_dir), eligible, _lengths(spark, sf_dir))
+    return linking.unique_values(_distinct(spark, sf_dir), eligible)
 
 
 def _index(spark, sf_dir):
@@ -89,7 +87,7 @@ def eligible_columns(spark, sf_dir):
     return found.select("db_id", "table_name", "column_name")
 
 
-@query("vl_size_gate", _duck("cells", LENGTHS, f"SELECT * FROM lengths WHERE {GATE}"))
+@query("vl_size_gate", _duck("cells", LENGTHS, f"SELECT *, ({GATE}) AS fit FROM lengths"))
 def size_gate(spark, sf_dir):
     return linking.size_gate(_lengths(spark, sf_dir))
 

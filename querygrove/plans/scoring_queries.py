@@ -155,10 +155,9 @@ def columns_used(spark, sf_dir):
     return scoring.columns_by_table(_queries(spark, sf_dir), fx.view(spark, sf_dir, "db_columns"))
 
 
-@query("sc_tables_used", fx.with_views("candidates db_columns", f"""
-SELECT DISTINCT q.db_id, query, table_name FROM (SELECT db_id, query, unnest(list_distinct({_all(duck.WORD, f"lower({duck_code('query')})")})) AS w
- FROM (SELECT DISTINCT db_id, {MORE} AS query FROM candidates) d) q
-JOIN db_columns k ON k.db_id = q.db_id AND lower(k.table_name) = q.w"""))
+@query("sc_tables_used", fx.with_views("candidates db_columns", "SELECT * FROM used").replace(
+    "\nSELECT * FROM used", f""",\n{USED}
+SELECT DISTINCT r.db_id, query, table_name FROM refs r JOIN db_columns k ON k.db_id = r.db_id AND lower(k.table_name) = r.tbl"""))
 def tables_used(spark, sf_dir):
     return scoring.tables_used(_queries(spark, sf_dir), fx.view(spark, sf_dir, "db_columns"))
 

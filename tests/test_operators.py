@@ -193,3 +193,21 @@ def test_rounds_from_recorded_texts(spark):
     got = rounds.from_responses(spark.createDataFrame(rows, "sample_id string, round int, model_response string, judge_response string"))
     assert [(r.query, r.has_sql, r.judge_label, r.judge_reasoning) for r in got.orderBy("round").collect()] == [
         ("SELECT 1", 1, 2, "low"), ("sorry", 0, None, None)]
+
+
+def test_tables_used_are_those_named_as_tables(spark):
+    columns = spark.createDataFrame([("d", t, "country") for t in ("city", "country", "nation")],
+                                    "db_id string, table_name string, column_name string")
+    texts = ["SELECT country FROM city", "SELECT 1 FROM City c, nation JOIN country x ON x.country = c.country"]
+    queries = spark.createDataFrame([("d", t) for t in texts], "db_id string, query string")
+    got = {(r["query"], r.table_name) for r in scoring.tables_used(queries, columns).collect()}
+    assert got == {(texts[0], "city"), *((texts[1], t) for t in ("city", "nation", "country"))}
+
+
+def test_large_columns_stay_in_the_index(spark):
+    cells = spark.createDataFrame([("d", "t", "title", "x" * 2_000_001), ("d", "t", "name", "y")],
+                                  "db_id string, table_name string, column_name string, value string")
+    eligible = cells.select("db_id", "table_name", "column_name")
+    assert linking.unique_values(cells, eligible).count() == 2
+    lengths = eligible.selectExpr("*", "CAST(2000001 AS BIGINT) AS sum_of_lengths", "CAST(100 AS BIGINT) AS count_distinct")
+    assert {r.column_name: r.fit for r in linking.size_gate(lengths).collect()} == {"title": False, "name": True}
