@@ -14,10 +14,14 @@ is dropped after each pass:
 3. Runs that share only the gram are told apart by the bytes at their sides;
    windows that are equal to the full width are the repeats.
 
-A task resolves the repeats within its own buffer before anything is shuffled,
-so that a group of copies sends one row for each buffer; grams with more than
-``hot`` different surroundings are dealt out by single windows.  Equality of
-surroundings is judged by 128 hash bits.
+A task resolves the repeats within its own buffer before anything is shuffled:
+those rows are dealt out evenly, and only the first of a buffer's copies goes to
+its group.  Grams that a sample of pieces finds in about ``hot_rows`` runs or more are
+dealt by the second digit at once and then by single windows, so that no task
+gets all that surrounds a common gram; so are, after the second digit, other
+grams with more than ``hot`` different surroundings.  Both ways give the same
+repeats; the sample only chooses between them.  Equality of surroundings is
+judged by 128 hash bits.
 
 Null and empty texts have no bytes and lose none.  Rows that share an id are
 versions of one document: they never repeat each other at the same place, and
@@ -39,6 +43,8 @@ from querygrove.session import write_and_read
 from .common import groups_of
 
 WIDTH, GRAM, HOT = 100, 32, 50_000
+#: Of pieces of so many bytes one in ``ONE_IN`` is read for common grams; at most ``MAX_COMMON`` of them are sent to the tasks.
+PIECE, ONE_IN, HOT_ROWS, MAX_COMMON = 2_048, 32, 20_000, 100_000
 BLOCK = 1 << 19
 FIRST_ID = -(1 << 63)
 _U = np.uint64
@@ -148,7 +154,46 @@ RUN = "gram long, hash long, doc long, at long, lead short, n short"
 FOUND = "doc long, at long, n int, lead short, open short, gram long"
 
 
-def _send_runs(width: int):
+def _sample_grams(width: int):
+    """(gram, number of runs) of one in ``ONE_IN`` pieces of all texts, counted for each buffer."""
+    def pieces(batches):
+        for batch in batches:
+            out = []
+            for i, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                raw = (value.as_py() or "").encode()
+                number = np.arange(-(-len(raw) // PIECE)).astype(_U)
+                draw = _mix(_mix(number + _U(1)) ^ _U((i or 0) & (2 ** 64 - 1)))
+                out += [raw[k * PIECE:(k + 1) * PIECE] for k in np.flatnonzero(draw % _U(ONE_IN) == 0).tolist()]
+            yield out
+
+    def run(batches):
+        for found in pieces(batches):
+            for k in range(0, len(found), BLOCK // PIECE):
+                some = [raw for raw in found[k:k + BLOCK // PIECE] if len(raw) >= width]
+                if not some:
+                    continue
+                row = np.repeat(np.arange(len(some)), [len(raw) for raw in some])
+                place, _, _, hashes = runs(np.frombuffer(b"".join(some), np.uint8), row, width)
+                gram, count = np.unique(hashes.of(0, place, place + GRAM), return_counts=True)
+                yield _frame(gram=gram.view(np.int64), c=count)
+    return run
+
+
+def common_grams(rows: DataFrame, width: int, hot_rows: int) -> np.ndarray:
+    """The grams of about ``hot_rows`` runs or more, the most frequent ``MAX_COMMON`` of them, in order."""
+    counts = rows.mapInArrow(_sample_grams(width), "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    found = counts.filter(F.col("c") * ONE_IN >= hot_rows).orderBy(F.desc("c"), "gram").limit(MAX_COMMON).collect()
+    return np.sort(np.array([r.gram for r in found], np.int64).view(_U))
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def _send_runs(width: int, common):
+    """Runs by the key that deals them: the gram, for common grams both digits, for repeats of a buffer any."""
     def run(batches):
         for data, row, base, ids, offset in buffers(batches, width):
             place, first, last, hashes = runs(data, row, width)
@@ -160,9 +205,13 @@ def _send_runs(width: int):
             r = row[first]
             doc, at = ids[r], first - offset[r] + base[r]
             order, _, later = _first([gram, side], doc, at)
-            # Repeats of this buffer are sure already: n below zero marks them.
-            yield _frame(gram=gram[order].view(np.int64), hash=side[order].view(np.int64), doc=doc[order], at=at[order],
-                         lead=lead[order].astype(np.int16), n=np.where(later, -n[order], n[order]).astype(np.int16))
+            gram, side, doc, at, lead, n = (x[order] for x in (gram, side, doc, at, lead, n))
+            hot = _among(gram, common.value)
+            key = np.where(hot, _mix(gram ^ side), gram)
+            key = np.where(later, _mix(_mix(doc.astype(_U)) ^ at.astype(_U)), key)
+            # Repeats of this buffer are sure already: n below zero marks them; lead below zero marks common grams.
+            yield _frame(gram=key.view(np.int64), hash=side.view(np.int64), doc=doc, at=at,
+                         lead=np.where(hot, -1, lead).astype(np.int16), n=np.where(later, -n, n).astype(np.int16))
     return run
 
 
@@ -173,12 +222,13 @@ def _second_digit(hot: int):
             new = np.r_[True, (gram[1:] != gram[:-1]) | (side[1:] != side[:-1])]
             group = np.cumsum(new) - 1
             first = np.flatnonzero(new)[group]
-            later = (doc != doc[first]) | (at != at[first])
+            later = (n < 0) | (doc != doc[first]) | (at != at[first])
             new_gram = np.r_[True, gram[1:] != gram[:-1]]
             g = np.cumsum(new_gram) - 1
             kinds = np.bincount(g, weights=new)[g]
-            keep = later | (new & (kinds > 1))
-            is_open = np.where(kinds > hot, 2, 1) * ~later
+            common = lead < 0
+            keep = later | (new & ((kinds > 1) | common))
+            is_open = np.where((kinds > hot) | common, 2, 1) * ~later
             yield _frame(doc=doc[keep], at=at[keep], n=np.abs(n[keep]).astype(np.int32), lead=lead[keep],
                          open=is_open[keep].astype(np.int16), gram=gram[keep])
     return run
@@ -207,7 +257,7 @@ def _send_sides(width: int):
                             seen[w] = now
                         if was is not None and was != now:
                             i2, s2 = max(now, was)
-                            out.append((0, i2, s2, 0, -1, b""))
+                            out.append((hash((i2, s2)), i2, s2, 0, -1, b""))
             for w, (i, s) in seen.items():
                 key = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True)
                 out.append((key, i, s, 0, 1, w))
@@ -288,7 +338,7 @@ def _union(found: list[dict] | None, width: int) -> list[tuple[int, int]]:
 
 
 def removals(docs: DataFrame, width: int = WIDTH, hot: int = HOT, text: str = "text", doc_id: str = "doc_id",
-             as_text: bool = False) -> DataFrame:
+             as_text: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``row`` (all columns) with n_bytes, spans (array of start, end) and kept of every document.
 
     ``kept`` is the bytes left, or with ``as_text`` their text without the characters that a cut broke.
@@ -296,7 +346,8 @@ def removals(docs: DataFrame, width: int = WIDTH, hot: int = HOT, text: str = "t
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t"))
-    sent = rows.mapInArrow(_send_runs(width), RUN)
+    common = spark.sparkContext.broadcast(common_grams(rows, width, hot_rows))
+    sent = rows.mapInArrow(_send_runs(width, common), RUN)
     by_gram = sent.repartition(parts, "gram").sortWithinPartitions("gram", "hash", "doc", "at")
     found = write_and_read(by_gram.mapInArrow(_second_digit(hot), FOUND), "runs")
 
@@ -336,9 +387,9 @@ def removals(docs: DataFrame, width: int = WIDTH, hot: int = HOT, text: str = "t
     return joined.mapInArrow(cut, out)
 
 
-def digest(docs: DataFrame, width: int = WIDTH, hot: int = HOT) -> DataFrame:
+def digest(docs: DataFrame, width: int = WIDTH, hot: int = HOT, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
-    found = removals(docs.select("doc_id", "text"), width, hot)
+    found = removals(docs.select("doc_id", "text"), width, hot, hot_rows=hot_rows)
     return found.select(
         F.col("row.doc_id").alias("doc_id"), "n_bytes",
         (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),

@@ -34,10 +34,10 @@ def brute_repeats(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [50_000, 1])
-def test_repeats(spark, sf_dir, hot):
+@pytest.mark.parametrize("hot, hot_rows", [(50_000, 20_000), (1, 20_000), (50_000, 1)])
+def test_repeats(spark, sf_dir, hot, hot_rows):
     docs = documents(spark, sf_dir)
-    got = sorted(map(tuple, repeats.digest(docs, hot=hot).collect()))
+    got = sorted(map(tuple, repeats.digest(docs, hot=hot, hot_rows=hot_rows).collect()))
     assert got == brute_repeats([(r.doc_id, r.text) for r in docs.collect()])
 
 
@@ -48,6 +48,17 @@ def test_repeats_of_random_texts(spark):
     assert sorted(map(tuple, repeats.digest(docs).collect())) == brute_repeats(rows)
 
 
+def test_repeats_of_a_passage_in_most_texts(spark):
+    rng = np.random.default_rng(4)
+    def noise(n):
+        return "".join(rng.choice(list("abcdefghijklmnop "), n))
+    common = noise(150)
+    rows = [(i, noise(int(rng.integers(0, 90))) + common + noise(900)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(repeats.common_grams(docs.select("doc_id", "text"), WIDTH, 200)) > 0
+    assert sorted(map(tuple, repeats.digest(docs, hot_rows=200).collect())) == brute_repeats(rows)
+
+
 def test_repeats_of_odd_rows(odd_docs, no_docs):
     got = repeats.without_repeats(odd_docs)
     assert got.columns == odd_docs.columns and got.count() == odd_docs.count()
