@@ -29,13 +29,15 @@ def words(text: Column) -> Column:
 
 
 def below_share(rows: DataFrame, by: str, digest: Column, limit: int) -> DataFrame:
-    """The rows of least ``digest`` (64 bits) in each group, about twice ``limit`` of them.
+    """The rows of least ``digest`` (64 bits) in each group, about twice ``limit`` digests of them.
 
-    A first pass counts the groups, so that what goes on to be ranked stays
-    bounded however many rows and tasks there are.  Small groups stay whole.
+    A first pass counts the digests of each group, copies once, so that what
+    goes on to be ranked stays bounded however many rows and tasks there are.
+    Groups of few digests stay whole, however many copies they hold.
     """
     # Stored: the planner then knows how few groups there are and need not shuffle the rows for the join.
-    share = write_and_read(rows.groupBy(by).agg(((2.0 * limit + 100) / F.count("*")).alias("_share")), "shares")
+    each = rows.select(by, digest.alias("_digest")).distinct()
+    share = write_and_read(each.groupBy(by).agg(((2.0 * limit + 100) / F.count("*")).alias("_share")), "shares")
     return rows.join(share, by).filter(digest.cast("double") / 2.0 ** 64 + 0.5 <= F.col("_share")).drop("_share")
 
 

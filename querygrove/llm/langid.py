@@ -5,7 +5,9 @@ A text is cross-parsed with every automaton: from each place the longest string
 that the sample holds is one phrase, and the language whose parse needs the
 fewest phrases, relative to what its own held-back text needs, wins.  Automata
 are tables over a small alphabet, and many blocks of text are parsed at once,
-one step of all blocks at a time; a block starts a new phrase.
+one step of all blocks at a time.  A block is first parsed as if a phrase began
+with it; then the phrase that the block before it left open is carried on until
+both parses begin a phrase at the same place, from where they agree.
 
 The sample is ``docs_per_lang`` different texts of each language, the first
 ``chars_per_doc`` characters of each; half of it builds the automaton, half
@@ -50,7 +52,9 @@ def automaton(sample: np.ndarray) -> np.ndarray:
     """Transitions of the sample's suffix automaton, state * 64 + code.
 
     Where there is no transition the next phrase starts: the entry is what the
-    root gives, with the top bit set.
+    root gives, with the top bit set.  All entries of the root have that bit, as
+    a letter read there begins a phrase; a letter that the sample lacks is a
+    phrase of its own and leads back to the root.
     """
     step: list[dict] = [{}]
     link, length, last = [-1], [0], 0
@@ -84,20 +88,44 @@ def automaton(sample: np.ndarray) -> np.ndarray:
     for state, moves in enumerate(step):
         for c, to in moves.items():
             table[state, c] = to
+    table[0] |= np.uint32(1 << 31)
     return table.ravel()
 
 
-def phrases(columns: np.ndarray, lengths: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Phrases of each block; ``columns`` is code by place and block, blocks by falling length."""
-    state = np.zeros(columns.shape[1], np.uint32)
-    count = np.ones(columns.shape[1], np.uint32)
-    active = np.searchsorted(-lengths, -np.arange(columns.shape[0]), side="left")
+def phrases(columns: np.ndarray, lengths: np.ndarray, table: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Phrases that begin in each block; ``columns`` is code by place and block, blocks by falling length.
+
+    ``first`` is the row of the block before, or -1.
+    """
+    height, width = columns.shape
+    active = np.searchsorted(-lengths, -np.arange(height), side="left")
     low = np.uint32((1 << 31) - 1)
-    for k in range(columns.shape[0]):
+    begins = np.zeros((height, width), bool)
+    state = np.zeros(width, np.uint32)
+    for k in range(height):
         n = active[k]
         to = table[(state[:n] << np.uint32(6)) | columns[k, :n]]
-        count[:n] += to >> np.uint32(31)
+        begins[k, :n] = to >> np.uint32(31)
         state[:n] = to & low
+    count, whole = begins.sum(0), begins.cumsum(0)
+    open_ = np.flatnonzero(first >= 0)  # blocks whose predecessor's last state is new to them
+    while len(open_):
+        at, own, met = state[first[open_]], np.zeros(len(open_), np.int64), np.zeros(len(open_), np.int64)
+        live = np.arange(len(open_))
+        for k in range(height):
+            live = live[lengths[open_[live]] > k]
+            if not len(live):
+                break
+            to = table[(at[live] << np.uint32(6)) | columns[k, open_[live]]]
+            new = (to >> np.uint32(31)).astype(bool)
+            at[live], own[live] = to & low, own[live] + new
+            same = new & begins[k, open_[live]]
+            met[live[same]] = whole[-1, open_[live[same]]] - whole[k, open_[live[same]]] + 1
+            live = live[~same]
+        count[open_] = own + np.maximum(met - 1, 0)
+        apart = (met == 0) & (at != state[open_])
+        state[open_[apart]] = at[apart]
+        open_ = np.flatnonzero(np.isin(first, open_[apart]))
     return count
 
 
@@ -117,11 +145,14 @@ def parse(encoded: list[np.ndarray], tables: list[np.ndarray]) -> np.ndarray:
     ends = np.cumsum(n_blocks)[n_blocks > 0] - 1
     lengths[ends] = (sizes[n_blocks > 0] - 1) % BLOCK + 1
     order = np.argsort(-lengths, kind="stable")
+    place = np.empty(len(text), np.int64)
+    place[order] = np.arange(len(text))
+    before = np.where(np.r_[-1, text[:-1]] == text, np.r_[-1, place[:-1]], -1)
     columns = np.ascontiguousarray(padded[order].T)
     out = np.empty((len(encoded), len(tables)))
     for k, table in enumerate(tables):
         count = np.empty(len(text))
-        count[order] = phrases(columns, lengths[order], table)
+        count[order] = phrases(columns, lengths[order], table, before[order])
         out[:, k] = np.bincount(text, weights=count, minlength=len(encoded))
     return out
 

@@ -5,7 +5,9 @@ is a bin of its own.  The others are dealt evenly by hash into shards of about
 ``shard_rows`` pieces; in a shard they go in order of falling length to the open
 bin with the least room that still fits and holds no piece of the same source
 or duplicate cluster: bins are kept by room, and the search goes on to the next
-larger room until a compatible bin is found, else a new bin opens.
+larger room until a compatible bin is found, else a new bin opens.  Among bins
+of the same room the one opened first is taken; equal pieces go by id, start,
+source and cluster.
 
 Null sources are one source; rows that share an id are pieces of their own.
 Texts without words give no piece.  An empty table gives no rows.
@@ -30,7 +32,7 @@ PACKED = "shard long, doc_id long, source string, start long, n long, bin long"
 def best_fit(pieces, capacity: int) -> list[int]:
     """The bin of each piece (length, source bit, cluster bit), in the order given."""
     rooms: list[int] = []                       # rooms of open bins, sorted, each once
-    open_bins: dict[int, dict[int, list]] = {}  # room -> sources -> bins (sources, clusters, number)
+    open_bins: dict[int, dict[int, list]] = {}  # room -> sources -> bins (clusters, number), by number
     out, made = [], 0
     for n, source, cluster in pieces:
         k, chosen = bisect_left(rooms, n), None
@@ -61,7 +63,7 @@ def best_fit(pieces, capacity: int) -> list[int]:
             if room not in open_bins:
                 open_bins[room] = {}
                 insort(rooms, room)
-            open_bins[room].setdefault(sources | source, []).append((clusters | cluster, number))
+            insort(open_bins[room].setdefault(sources | source, []), (clusters | cluster, number), key=lambda b: b[1])
     return out
 
 

@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from querygrove.llm.common import below_share
 from querygrove.llm import langid, licenses, lzprint, mixing, packing, quality, queries, repeats, simhash, toxicity, warc
 
 WIDTH = 100
@@ -241,7 +242,7 @@ def brute_best_fit(pieces, capacity):
 
 def test_best_fit():
     rng = np.random.default_rng(4)
-    for _ in range(20):
+    for _ in range(200):
         pieces = [(int(rng.integers(1, 90)), 1 << int(rng.integers(0, 6)), int(rng.integers(0, 2)) << int(rng.integers(0, 9)))
                   for _ in range(150)]
         assert packing.best_fit(pieces, 100) == brute_best_fit(pieces, 100)
@@ -262,15 +263,27 @@ def test_automaton_parses_greedily():
     sample = rng.integers(0, 4, 300).astype(np.uint8)
     table = langid.automaton(sample)
     raw = sample.tobytes()
-    for n in (1, 7, 90, langid.BLOCK):
-        text = rng.integers(0, 5, n).astype(np.uint8)
+
+    def greedy(text):
         count, k = 0, 0
-        while k < n:
+        while k < len(text):
             e = k + 1
-            while e < n and text[k:e + 1].tobytes() in raw:
+            while e < len(text) and text[k:e + 1].tobytes() in raw:
                 e += 1
             count, k = count + 1, e
-        assert langid.parse([text], [table])[0, 0] == count
+        return count
+    texts = [rng.integers(0, 5, n).astype(np.uint8) for n in (1, 7, 90, langid.BLOCK, 0, 1000, 2 * langid.BLOCK)]
+    texts += [np.r_[4, 4, sample[:200]], np.tile([4, 0], 600), np.tile(sample, 4), np.full(700, 4)]
+    texts = [np.asarray(t, np.uint8) for t in texts]
+    assert langid.parse(texts, [table])[:, 0].tolist() == [greedy(t) for t in texts]
+
+
+def test_language_sample_counts_copies_once(spark):
+    rows = [(k, "one text of many copies", "aa") for k in range(20_000)] + [
+        (30_000 + k, f"another text number {k}", "aa") for k in range(20)] + [(50_000, "andere Sprache", "bb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = below_share(docs, "lang", F.xxhash64("text"), 48).select("text").distinct().count()
+    assert kept == 22 and langid.fit(docs)["langs"] == ["aa", "bb"]
 
 
 def test_language(spark, sf_dir, odd_docs, no_docs):
