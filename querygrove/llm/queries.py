@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, lzprint, mixing, packing, quality, repeats, simhash, toxicity, warc
-from .common import documents
+from . import langid, licenses, lzprint, mixing, packing, prefixes, quality, repeats, simhash, toxicity, warc
+from .common import conversations, documents
 from .oracles import WARC
 
 
@@ -53,6 +53,10 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(documents(spark, sf_dir))
 
 
+def op11_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_trie(conversations(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (op1_language, op2_mixing, op3_packing, op4_warc, op5_licenses, op6_quality,
-                                   op7_fingerprints, op8_toxicity, op9_simhash, op10_repeats)}
+                                   op7_fingerprints, op8_toxicity, op9_simhash, op10_repeats, op11_prefixes)}
 ORACLES: dict[str, str] = {"op4_warc": WARC}
