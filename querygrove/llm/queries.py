@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, lzprint, mixing, packing, prefixes, quality, repeats, simhash, toxicity, warc
+from . import langid, licenses, lzprint, mixing, packing, prefixes, quality, repair, repeats, secrets, simhash, toxicity, warc
 from .common import conversations, documents
 from .oracles import WARC
 
@@ -57,6 +57,15 @@ def op11_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixes.prefix_trie(conversations(spark, sf_dir))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(conversations(spark, sf_dir), damage=True)
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (op1_language, op2_mixing, op3_packing, op4_warc, op5_licenses, op6_quality,
-                                   op7_fingerprints, op8_toxicity, op9_simhash, op10_repeats, op11_prefixes)}
+                                   op7_fingerprints, op8_toxicity, op9_simhash, op10_repeats, op11_prefixes, op12_repair,
+                                   op13_secrets)}
 ORACLES: dict[str, str] = {"op4_warc": WARC}
