@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALT_BUCKETS = 8
@@ -17,10 +17,10 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def _spreading_salt(facts: DataFrame, keys: list[str], salts: int):
+def _spreading_salt(facts: DataFrame, keys: list[str], salts: int | Column):
     """A salt from the rest of the row: the same after a retry."""
     rest = [F.col(f"`{c}`") for c in facts.columns if c not in keys]
-    return F.pmod(F.xxhash64(*(rest or [F.lit(0)])), F.lit(salts)).cast("int")
+    return F.pmod(F.xxhash64(*(rest or [F.lit(0)])), salts if isinstance(salts, Column) else F.lit(salts)).cast("int")
 
 
 def salted_lookup(facts: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left",
@@ -41,33 +41,35 @@ def salted_lookup(facts: DataFrame, lookup: DataFrame, keys: list[str], how: str
 
 
 def hot_keys(facts: DataFrame, keys: list[str]) -> DataFrame:
-    """``_key``: digests of the keys that hold more than their part of the rows.
+    """``_key, _salts``: digests of the keys that hold more than their part of the rows, and that many parts.
 
-    At most ``HOT_PARTS`` rows, whatever the size of ``facts``.
+    At most ``HOT_PARTS`` rows, and as many salts together, whatever the size of ``facts``.
     """
     counts = facts.select(F.xxhash64(*keys).alias("_key")).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_total")).scalar()
-    return counts.filter(F.col("_n") * HOT_PARTS > total).select("_key")
+    parts = F.ceil(F.col("_n") * HOT_PARTS / total).cast("int")
+    return counts.filter(F.col("_n") * HOT_PARTS > total).select("_key", parts.alias("_salts"))
 
 
 def hot_salted_lookup(facts: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left",
-                      salts: int = SALT_BUCKETS, hot: DataFrame | None = None) -> DataFrame:
+                      hot: DataFrame | None = None) -> DataFrame:
     """Join rows with a lookup side that may be as large, salting hot keys only.
 
+    A hot key has a salt for each ``HOT_PARTS``-th of the rows that it holds.
+
     One narrow pass counts the keys by digest, unless ``hot`` brings the result
     of :func:`hot_keys` along.  The facts should be cheap to read twice, as a
     stored table is.  Only the lookup rows of hot keys are repeated.
     """
-    found = hot if hot is not None else hot_keys(facts, keys)
-    hot = F.broadcast(found.withColumn("_hot", F.lit(True)))  # at most HOT_PARTS rows
+    hot = F.broadcast(hot if hot is not None else hot_keys(facts, keys))  # at most HOT_PARTS rows
 
     def marked(df: DataFrame) -> DataFrame:
         return df.withColumn("_key", F.xxhash64(*keys)).join(hot, "_key", "left").drop("_key")
 
-    left = marked(facts).withColumn(
-        "_salt", F.when(F.col("_hot"), _spreading_salt(facts, keys, salts)).otherwise(F.lit(0))).drop("_hot")
-    copies = F.when(F.col("_hot"), F.array(*[F.lit(i) for i in range(salts)])).otherwise(F.array(F.lit(0)))
-    right = marked(lookup).withColumn("_salt", F.explode(copies)).drop("_hot")
+    left = marked(facts).withColumn("_salt", F.when(F.col("_salts").isNotNull(), _spreading_salt(
+        facts, keys, F.col("_salts"))).otherwise(F.lit(0))).drop("_salts")
+    copies = F.when(F.col("_salts").isNotNull(), F.sequence(F.lit(0), F.col("_salts") - 1)).otherwise(F.array(F.lit(0)))
+    right = marked(lookup).withColumn("_salt", F.explode(copies)).drop("_salts")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -1,20 +1,23 @@
 """Linking the words of a question to values stored in its database.
 
-A batch similarity join: probe strings meet indexed values that share a MinHash
-band, the ten closest by estimated Jaccard stay, and two further similarities
-narrow them down.  Every step is keyed by ``db_id``.
+A batch similarity join: probe strings meet indexed values by the rarest of
+their shingles, the ten closest by Jaccard similarity stay, and two further
+similarities narrow them down.  MinHash signatures and bands of the values can
+be stored beside them and checked on the same pairs.  Every step is keyed by
+``db_id``.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import minhash
 from ..functions.text import let, strip
 from ..session import write_and_read
+from . import setjoin
 from .joins import hot_keys, hot_salted_lookup, salted_lookup, spread
 from .profiling import COLUMN
 
@@ -27,6 +30,10 @@ DISTINCT_LIMIT = 100
 SKIP_SUM = 50_000
 SKIP_AVERAGE = 20
 TOP_MATCHES = 10
+# Percents of Jaccard similarity: what counts as near, and the thresholds that
+# the search for the closest falls through.
+NEAR_PERCENT = 80
+FALLING_PERCENTS = [80, 45]
 EDIT_THRESHOLD = 0.3
 EMBEDDING_THRESHOLD = 0.6
 NEAR_BEST = 0.9
@@ -123,54 +130,74 @@ def probe_index(probes: DataFrame) -> DataFrame:
             .withColumn("probe_bands", minhash.bands(F.col("probe_signature"))))
 
 
-def candidates(probes: DataFrame, index: DataFrame) -> DataFrame:
-    """``probe_id, value_id``: pairs of one database that share a band, each once.
+def shingle_sets(values: DataFrame, probes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The probes (left_id, db_id, substring, tokens), the values (right_id, db_id, other columns of COLUMN, value,
+    tokens), each once and stored, with tokens by rarity among the values of the database, and the rarity."""
+    none = F.lit(None).cast("string")
+    named = values.select("db_id", _identity(*COLUMN, "value").alias("id"), none.alias("substring"), "table_name",
+                          "column_name", "value", minhash.shingles(F.col("value")).alias("tokens"))
+    asked = probes.select("db_id", "substring").distinct().select(
+        "db_id", _identity("db_id", "substring").alias("id"), "substring", none.alias("table_name"),
+        none.alias("column_name"), none.alias("value"), minhash.shingles(F.col("substring")).alias("tokens"))
+    counts = setjoin.token_counts(named, "db_id")
+    both = setjoin.rarest_first(named.unionByName(asked), counts, "db_id", "id")
+    left = both.filter("substring IS NOT NULL").select(F.col("id").alias("left_id"), "db_id", "substring", "tokens")
+    right = both.filter("substring IS NULL").drop("substring").withColumnRenamed("id", "right_id")
+    return left, right, counts
 
-    Only identities meet in the band join.  Bands are salted on the value side,
-    so a band with a third of all values is shared by many tasks, and a pair
-    that shares several bands is reduced in the map tasks.
+
+def _jaccard(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("jaccard", F.col("common") / F.col("either")).drop("common", "either")
+
+
+def near_pairs(probes: DataFrame, values: DataFrame, percent: int = NEAR_PERCENT) -> DataFrame:
+    """``left_id, right_id, db_id, substring, table_name, column_name, value, jaccard``: all pairs of one database that
+    are ``percent`` alike.
+
+    Exact.  Both frames are read more than once and should be stored.
     """
-    value_rows = index.select("db_id", "value_id", F.explode("bands").alias("_band"))
-    probe_rows = probes.select("db_id", "probe_id", F.explode("probe_bands").alias("_band"))
-    joined = salted_lookup(value_rows, probe_rows, ["db_id", "_band"], "inner", strategy="merge")
-    return joined.select("probe_id", "value_id").distinct()
+    left, right, counts = shingle_sets(values, probes)
+    return _jaccard(setjoin.similar_pairs(left, right, counts, "db_id", percent))
 
 
-def described(pairs: DataFrame, probes: DataFrame, index: DataFrame) -> DataFrame:
-    """Candidate pairs with their texts and the estimated Jaccard similarity.
+def lsh_candidates(probes: DataFrame, index: DataFrame, percent: int = NEAR_PERCENT) -> DataFrame:
+    """The near pairs that a band index finds: those that share a band, with both signatures.
 
-    All three frames are read more than once and should be stored.
+    ``probes`` and ``index`` come from :func:`probe_index` and :func:`value_index`.
     """
-    values = index.select("value_id", *COLUMN, "value", "signature")
-    texts = probes.select("probe_id", "substring", "probe_signature")
-    both = hot_salted_lookup(hot_salted_lookup(pairs, values, ["value_id"], "inner"), texts, ["probe_id"], "inner")
+    marks = index.select(F.col("value_id").alias("right_id"), "signature", "bands")
+    asked = probes.select(F.col("probe_id").alias("left_id"), "probe_signature", "probe_bands")
+    pairs = near_pairs(probes, index, percent).join(marks, "right_id").join(asked, "left_id")
+    return pairs.filter(F.arrays_overlap("probe_bands", "bands"))
+
+
+def estimated(pairs: DataFrame) -> DataFrame:
+    """Pairs of :func:`lsh_candidates` with the similarity that their signatures estimate."""
     estimate = minhash.estimated_jaccard(F.col("probe_signature"), F.col("signature"))
-    return both.select("db_id", "substring", "table_name", "column_name", "value",
-                       estimate.alias("estimated_jaccard"))
+    return pairs.select("db_id", "substring", "table_name", "column_name", "value", estimate.alias("estimated_jaccard"))
 
 
-def top_matches(scored: DataFrame, limit: int = TOP_MATCHES) -> DataFrame:
-    """The closest values of each probe.  Each map task keeps its own closest
-    before the shuffle, so a probe with many candidates sends few."""
-    order = Window.partitionBy("db_id", "substring").orderBy(
-        F.desc("estimated_jaccard"), "value", "table_name", "column_name")
-    return (scored.withColumn("_rank", F.row_number().over(order))
-            .filter(F.col("_rank") <= limit).drop("_rank"))
+def top_matches(probes: DataFrame, values: DataFrame, limit: int = TOP_MATCHES,
+                percents: list[int] = FALLING_PERCENTS) -> DataFrame:
+    """The closest values of each probe among those that reach the last of ``percents``, with ``jaccard``.
+
+    Equal similarities go by value, table and column.
+    """
+    left, right, counts = shingle_sets(values, probes)
+    found = setjoin.closest_pairs(left, right, counts, "db_id", limit, percents,
+                                  [F.col(c) for c in ("value", "table_name", "column_name")])
+    return _jaccard(found).drop("left_id", "right_id")
 
 
-def matches(keywords: DataFrame, index: DataFrame, limit: int = TOP_MATCHES) -> DataFrame:
+def matches(keywords: DataFrame, values: DataFrame, limit: int = TOP_MATCHES,
+            percents: list[int] = FALLING_PERCENTS) -> DataFrame:
     """``keywords`` with the values closest to each of their probe strings.
 
-    ``index`` is read more than once, so it should be a stored one.  The index
-    of the probes and the pairs, two identities each, are written once to the
-    shared folder by jobs that run here.
+    ``values`` (COLUMN, value) is read more than once, so it should be a stored
+    frame, such as an index.  Jobs run while this is called.
     """
-    probes = probe_strings(keywords)
-    indexed = write_and_read(probe_index(probes), "probes")
-    pairs = write_and_read(candidates(indexed, index), "pairs")
-    best = top_matches(described(pairs, indexed, index), limit)
-    found = best.select("db_id", "substring", "table_name", "column_name",
-                        F.col("value").alias("similar_value"), "estimated_jaccard")
+    probes = write_and_read(probe_strings(keywords), "probes")
+    found = top_matches(probes, values, limit, percents).withColumnRenamed("value", "similar_value").drop("jaccard")
     return salted_lookup(probes, found, ["db_id", "substring"], "inner")
 
 

@@ -50,13 +50,22 @@ PROBES = r""" kw AS (SELECT DISTINCT db_id, trim(keyword) AS keyword FROM keywor
   UNION ALL SELECT db_id, keyword, substr(keyword, i + 1) FROM (SELECT *, unnest(range(1, length(keyword) + 1)) AS i FROM kw) x WHERE substr(keyword, i, 1) = ' '
   UNION ALL SELECT db_id, keyword, trim(substr(keyword, strpos(keyword, '=') + 1)) FROM kw WHERE strpos(keyword, '=') > 0 AND trim(substr(keyword, strpos(keyword, '=') + 1)) <> '') u),
  probe_texts AS (SELECT DISTINCT db_id, substring FROM subs)"""
-PAIRS = f"""{INDEX},
+SETS = f"""{VALUES},
 {PROBES},
+ value_sets AS (SELECT db_id, table_name, column_name, value, {_shingles('value')} AS s FROM vals),
+ probe_sets AS (SELECT db_id, substring, {_shingles('substring')} AS s FROM probe_texts),
+ met AS (SELECT p.db_id, p.substring, v.table_name, v.column_name, v.value, any_value(p.n) + any_value(v.n) AS total, count(*) AS common
+  FROM (SELECT *, len(s) AS n, unnest(s) AS g FROM probe_sets) p JOIN (SELECT *, len(s) AS n, unnest(s) AS g FROM value_sets) v
+   ON p.db_id = v.db_id AND p.g = v.g GROUP BY 1, 2, 3, 4, 5),
+ alike AS (SELECT * EXCLUDE (total), total - common AS either, CAST(common AS DOUBLE) / (total - common) AS jaccard FROM met)"""
+BEST = """ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY db_id, substring ORDER BY jaccard DESC, value, table_name, column_name) AS rn
+  FROM alike WHERE common * 100 >= either * 45) r WHERE rn <= 10)"""
+NEAR = f"""{SETS},
+ near AS (SELECT * FROM alike WHERE common * 100 >= either * 80),
+{_indexed('idx', 'vals', 'db_id, table_name, column_name, value', 'value')},
 {_indexed('prb', 'probe_texts', 'db_id, substring', 'substring')},
- pairs AS (SELECT DISTINCT p.db_id, p.substring, v.table_name, v.column_name, v.value, p.sig AS ps, v.sig AS vs
-  FROM (SELECT *, unnest(bands) AS band FROM prb) p JOIN (SELECT *, unnest(bands) AS band FROM idx) v ON p.db_id = v.db_id AND p.band = v.band),
- est AS (SELECT db_id, substring, table_name, column_name, value, len([i for i in range(1, 101) if ps[i] = vs[i]]) / 100.0 AS estimated_jaccard FROM pairs),
- best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY db_id, substring ORDER BY estimated_jaccard DESC, value, table_name, column_name) AS rn FROM est) r WHERE rn <= 10)"""
+ pairs AS (SELECT n.*, p.sig AS ps, v.sig AS vs FROM near n JOIN prb p USING (db_id, substring)
+  JOIN idx v USING (db_id, table_name, column_name, value) WHERE len(list_intersect(p.bands, v.bands)) > 0)"""
 ALL = "cells cell_columns cell_keys keywords"
 
 
@@ -137,32 +146,48 @@ def probe_strings(spark, sf_dir):
     return linking.probe_strings(_keywords(spark, sf_dir)).select("db_id", "keyword", "substring")
 
 
-def _scored(spark, sf_dir):
-    probes = write_and_read(linking.probe_index(linking.probe_strings(_keywords(spark, sf_dir))), "probes")
-    index = write_and_read(_index(spark, sf_dir), "index")
-    return linking.described(write_and_read(linking.candidates(probes, index), "pairs"), probes, index)
+def _probes(spark, sf_dir):
+    return linking.probe_strings(_keywords(spark, sf_dir)).select("db_id", "substring")
 
 
-@query("vl_lsh_candidates", _duck(ALL, PAIRS, "SELECT db_id, substring, table_name, column_name, value FROM est"))
+def _banded(spark, sf_dir):
+    probes = write_and_read(linking.probe_index(_probes(spark, sf_dir)), "probes")
+    return linking.lsh_candidates(probes, write_and_read(_index(spark, sf_dir), "index"))
+
+
+def _stored(spark, sf_dir):
+    return write_and_read(_values(spark, sf_dir), "values"), write_and_read(_probes(spark, sf_dir).distinct(), "probes")
+
+
+@query("vl_set_join", _duck(ALL, SETS, """
+SELECT db_id, substring, table_name, column_name, value, round(jaccard, 6) AS jaccard FROM alike WHERE common * 100 >= either * 80"""))
+def set_join(spark, sf_dir):
+    values, probes = _stored(spark, sf_dir)
+    return linking.near_pairs(probes, values).drop("left_id", "right_id").withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query("vl_lsh_candidates", _duck(ALL, NEAR, "SELECT db_id, substring, table_name, column_name, value FROM pairs"))
 def lsh_candidates(spark, sf_dir):
-    return _scored(spark, sf_dir).select("db_id", "substring", "table_name", "column_name", "value")
+    return _banded(spark, sf_dir).select("db_id", "substring", "table_name", "column_name", "value")
 
 
-@query("vl_est_jaccard", _duck(ALL, PAIRS, "SELECT db_id, substring, table_name, column_name, value, CAST(estimated_jaccard AS DOUBLE) AS estimated_jaccard FROM est"))
+@query("vl_est_jaccard", _duck(ALL, NEAR, """
+SELECT db_id, substring, table_name, column_name, value, len([i for i in range(1, 101) if ps[i] = vs[i]]) / 100.0::DOUBLE AS estimated_jaccard FROM pairs"""))
 def est_jaccard(spark, sf_dir):
-    return _scored(spark, sf_dir)
+    return linking.estimated(_banded(spark, sf_dir))
 
 
-@query("vl_topk", _duck(ALL, PAIRS, "SELECT db_id, substring, table_name, column_name, value, CAST(estimated_jaccard AS DOUBLE) AS estimated_jaccard FROM best"))
+@query("vl_topk", _duck(ALL, f"{SETS},\n{BEST}", "SELECT db_id, substring, table_name, column_name, value, round(jaccard, 6) AS jaccard FROM best"))
 def topk(spark, sf_dir):
-    return linking.top_matches(_scored(spark, sf_dir))
+    values, probes = _stored(spark, sf_dir)
+    return linking.top_matches(probes, values).withColumn("jaccard", F.round("jaccard", 6))
 
 
-MATCHES = f"{PAIRS},\n found AS (SELECT s.db_id, s.keyword, s.substring, b.table_name, b.column_name, b.value AS similar_value FROM subs s JOIN best b USING (db_id, substring))"
+MATCHES = f"{SETS},\n{BEST},\n found AS (SELECT s.db_id, s.keyword, s.substring, b.table_name, b.column_name, b.value AS similar_value FROM subs s JOIN best b USING (db_id, substring))"
 
 
 def _matches(spark, sf_dir):
-    return linking.matches(_keywords(spark, sf_dir), write_and_read(_index(spark, sf_dir), "index")).drop("estimated_jaccard")
+    return linking.matches(_keywords(spark, sf_dir), write_and_read(_values(spark, sf_dir), "values"))
 
 
 @query("vl_matches", _duck(ALL, MATCHES, "SELECT * FROM found"))
