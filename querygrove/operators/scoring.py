@@ -1,8 +1,7 @@
 """How close a candidate query is to the gold query, by words and names.
 
-Names are the words of a query that the catalog of its database knows.  A word
-used both as a column and as an alias counts as the column, and sub-queries
-share one scope.
+Names are the words of a query that the catalog of its database knows.
+:mod:`.scopes` tells which table of a nested query a column belongs to.
 """
 
 from __future__ import annotations
@@ -11,18 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sqltext
-from ..functions.text import BLANK, WORD
 from .joins import salted_lookup
+from .scopes import columns_by_table, tables_used  # noqa: F401
 
 # Points for a right result, a query that runs, right names and
 # right word pairs.
 POINTS = {"label": 4, "syntax_check": 2, "schema_linking": 2, "ngram_jaccard": 2}
 
-QUOTE = r"[\"`\[\]]?"
-TABLE_REFERENCE = rf"(?:\b(?:from|join){BLANK}+|,{BLANK}*){QUOTE}{WORD}{QUOTE}(?:{BLANK}+(?:as{BLANK}+)?{QUOTE}{WORD})?"
-QUALIFIED = rf"{WORD}{QUOTE}{BLANK}*\.{BLANK}*{QUOTE}{WORD}"
-
-
 def ngram_jaccard(rows: DataFrame, left: str = "generated_query", right: str = "gold_query",
                   n: int = 2, name: str = "ngram_jaccard") -> DataFrame:
     """Adds the share of word n-grams that both queries have."""
@@ -76,58 +70,6 @@ def distinct_queries(rows: DataFrame, query: str = "generated_query") -> DataFra
     return rows.select("db_id", F.col(query).alias("query")).filter(F.col("query").isNotNull()).distinct()
 
 
-def tables_used(queries: DataFrame, columns: DataFrame) -> DataFrame:
-    """``db_id, query, table_name``: the catalog's tables that stand where a query names its tables."""
-    names = F.transform(_references(F.lower(sqltext.code_only(F.col("query")))), lambda r: r["table"])
-    words = queries.select("db_id", "query", F.explode(F.array_distinct(names)).alias("_t"))
-    tables = columns.select("db_id", F.lower("table_name").alias("_t"), "table_name").distinct()
-    return salted_lookup(words, tables, ["db_id", "_t"], "inner").select("db_id", "query", "table_name")
-
-
-def _references(code: Column) -> Column:
-    """Table and alias (or the table again) at each place after FROM, JOIN or a comma of lower-cased code."""
-    words = F.transform(
-        F.regexp_extract_all(sqltext.clauses(code), F.lit(f"({TABLE_REFERENCE})"), F.lit(1)),
-        lambda m: F.filter(F.regexp_extract_all(m, F.lit(f"({WORD})"), F.lit(1)),
-                           lambda w: ~w.isin("from", "join", "as")))
-    named = F.filter(words, lambda m: F.size(m) > 0)
-    return F.transform(named, lambda m: F.struct(
-        m[0].alias("table"),
-        F.when((F.size(m) > 1) & ~F.try_element_at(m, F.lit(2)).isin(*sqltext.NOT_AN_ALIAS),
-               F.try_element_at(m, F.lit(2))).otherwise(m[0]).alias("alias")))
-
-
-def columns_by_table(queries: DataFrame, columns: DataFrame) -> DataFrame:
-    """``db_id, query, table_name, column_name``: the columns each query uses.
-
-    A qualifier is resolved through the query's aliases.  A column without one
-    belongs to the first named table that has it.
-    """
-    code = F.lower(sqltext.code_only(F.col("query")))
-    references = _references(code)
-    dotted = F.transform(
-        F.regexp_extract_all(code, F.lit(f"({QUALIFIED})"), F.lit(1)),
-        lambda m: F.regexp_extract_all(m, F.lit(f"({WORD})"), F.lit(1)))
-    plain = F.regexp_extract_all(F.regexp_replace(code, QUALIFIED, " "), F.lit(f"({WORD})"), F.lit(1))
-    mentions = F.array_distinct(F.concat(
-        F.transform(dotted, lambda m: F.struct(m[0].alias("qualifier"), m[1].alias("column"))),
-        F.transform(plain, lambda w: F.struct(F.lit("").alias("qualifier"), w.alias("column")))))
-    marked = queries.select("db_id", "query", references.alias("_refs"), mentions.alias("_mentions"))
-    rows = (marked.select("db_id", "query", "_refs", F.explode("_mentions").alias("_m"))
-            .select("db_id", "query", "_refs", F.col("_m.qualifier").alias("_q"), F.col("_m.column").alias("_c")))
-    known = columns.select("db_id", F.lower("column_name").alias("_c"), F.lower("table_name").alias("_t"),
-                           "table_name", "column_name")
-    aimed = F.filter("_refs", lambda r: (r["alias"] == F.col("_q")) | (r["table"] == F.col("_q")))
-    position = F.array_position(F.col("_refs.table"), F.col("_t"))
-    matched = (salted_lookup(rows, known, ["db_id", "_c"], "inner")
-               .withColumn("_aimed", aimed).withColumn("_position", position)
-               .filter((F.col("_position") > 0)
-                       & ((F.size("_aimed") == 0) | F.array_contains("_aimed.table", F.col("_t")))))
-    first = matched.groupBy("db_id", "query", "_q", "_c").agg(
-        F.min_by(F.struct("table_name", "column_name"), F.struct("_position", "table_name")).alias("_first"))
-    return first.select("db_id", "query", "_first.table_name", "_first.column_name").distinct()
-
-
 def union_schema(used: DataFrame, by: list[str]) -> DataFrame:
     """Columns used by any query of a group, each once."""
     return used.select(*by, "table_name", "column_name").distinct()

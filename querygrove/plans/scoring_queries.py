@@ -126,24 +126,48 @@ def composite(spark, sf_dir):
                        F.round(scoring.composite(*parts, graded=True), 6).alias("graded"))
 
 
-DISTINCT = f"q AS (SELECT DISTINCT db_id, {MORE} AS query FROM candidates)"
-USED = f"""{DISTINCT},
- c AS (SELECT db_id, query, lower({duck_code('query')}) AS code FROM q),
- m AS (SELECT db_id, query, {_all(scoring.TABLE_REFERENCE, duck_clauses('code'))} AS m FROM c),
- w AS (SELECT db_id, query, pos, [x for x in {_all(duck.WORD, 'm[pos]')} if x NOT IN ('from', 'join', 'as')] AS w
-  FROM (SELECT db_id, query, m, unnest(range(1, len(m) + 1)) AS pos FROM m) p),
- refs AS (SELECT db_id, query, pos, w[1] AS tbl, CASE WHEN len(w) > 1 AND w[2] NOT IN ({SKIPPED}) THEN w[2] ELSE w[1] END AS alias
-  FROM w WHERE len(w) > 0),
- mentions AS (SELECT DISTINCT db_id, query, p[1] AS qual, p[2] AS col
-  FROM (SELECT db_id, query, {_all(duck.WORD, 'd')} AS p FROM (SELECT db_id, query, unnest({_all(scoring.QUALIFIED, 'code')}) AS d FROM c) x) y
-  UNION SELECT db_id, query, '' AS qual, unnest({_all(duck.WORD, f"regexp_replace(code, '{scoring.QUALIFIED}', ' ', 'g')")}) AS col FROM c),
- hits AS (SELECT n.db_id, n.query, n.qual, n.col, k.table_name, k.column_name,
-   row_number() OVER (PARTITION BY n.db_id, n.query, n.qual, n.col ORDER BY f.pos, k.table_name) AS rn
-  FROM mentions n JOIN db_columns k ON k.db_id = n.db_id AND lower(k.column_name) = n.col
-  JOIN refs f ON f.db_id = n.db_id AND f.query = n.query AND f.tbl = lower(k.table_name)
-  WHERE NOT EXISTS (SELECT 1 FROM refs a WHERE a.db_id = n.db_id AND a.query = n.query AND (a.alias = n.qual OR a.tbl = n.qual))
-   OR EXISTS (SELECT 1 FROM refs a WHERE a.db_id = n.db_id AND a.query = n.query AND (a.alias = n.qual OR a.tbl = n.qual) AND a.tbl = f.tbl)),
- used AS (SELECT DISTINCT db_id, query, table_name, column_name FROM hits WHERE rn = 1)"""
+# What each form of those texts uses, known from the way it was made.
+KIND = "CASE cand_id % 3 WHEN 0 THEN cand_id % 8 WHEN 1 THEN 8 ELSE 9 + cand_id % 2 END"
+USES = {0: "part.p_name part.p_size", 1: "part.p_name part.p_size", 2: "part.p_name part.p_size", 3: "part.p_name part.p_size",
+        4: "part.p_brand", 5: "part.p_name part.p_brand", 7: "supplier.s_name",
+        8: "part.p_size supplier.s_nationkey supplier.s_name",
+        9: "part.p_size nation.n_nationkey nation.n_name part.p_name", 10: "part.p_size nation.n_nationkey nation.n_name part.p_name"}
+NAMES = {0: "part", 1: "part", 2: "part", 3: "part", 4: "part", 5: "part", 7: "supplier", 8: "part supplier",
+         9: "nation part", 10: "region nation part"}
+
+
+def _listed(rows: dict[int, str]) -> str:
+    return "(VALUES " + ", ".join(f"({k}, '{n}')" for k, names in rows.items() for n in names.split()) + ") v(kind, name)"
+
+
+def _used(rows: dict[int, str]) -> str:
+    return f"""used AS (SELECT DISTINCT db_id, query, split_part(name, '.', 1) AS table_name, split_part(name, '.', 2) AS column_name
+ FROM (SELECT db_id, {MORE} AS query, {KIND} AS kind FROM candidates) q JOIN {_listed(rows)} USING (kind))"""
+
+
+def _expected(rows: dict[int, str], select: str) -> str:
+    return fx.with_views("candidates", select).replace(f"\n{select}", f",\n{_used(rows)}\n{select}")
+
+
+# Nested and correlated texts, one for each part, over the same catalog.
+NESTED = {
+    "'SELECT s_name FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_name = ' || chr(39) || 'N' || k || chr(39) || ')'":
+        "supplier.s_name supplier.s_nationkey nation.n_nationkey nation.n_name",
+    "'SELECT s.s_name FROM supplier s WHERE EXISTS (SELECT 1 FROM nation n WHERE n.n_nationkey = s.s_nationkey AND s_acctbal > ' || k || ')'":
+        "supplier.s_name supplier.s_nationkey supplier.s_acctbal nation.n_nationkey",
+    "'SELECT x.p_name FROM part x WHERE x.p_size > (SELECT max(x.s_nationkey) FROM supplier x WHERE x.s_suppkey < ' || k || ') AND x.p_brand <> x.s_acctbal'":
+        "part.p_name part.p_size part.p_brand supplier.s_nationkey supplier.s_suppkey",
+    "'SELECT n_name FROM nation WHERE n_regionkey = ' || k || ' UNION SELECT r_name FROM region WHERE n_nationkey > 1'":
+        "nation.n_name nation.n_regionkey region.r_name",
+    "'SELECT d.n_name, d.k FROM (SELECT n_name, count(*) AS k FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name) d WHERE d.k > ' || k || ' AND d.s_acctbal > s_suppkey'":
+        "nation.n_name nation.n_nationkey supplier.s_nationkey",
+    "'SELECT upper(substr(p_name, 1, ' || k || ')), coalesce(p_brand, ' || chr(39) || 'from nation, r' || chr(39) || ') FROM part, (SELECT r_name FROM region) r WHERE (p_size, p_type) IN (SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > (SELECT avg(p_retailprice) FROM part p2 WHERE p2.p_size = part.p_partkey)) AND s_nationkey = 1'":
+        "part.p_name part.p_brand part.p_size part.p_type part.p_retailprice part.p_partkey region.r_name supplier.s_suppkey supplier.s_name supplier.s_acctbal",
+    "'WITH c AS (SELECT s_suppkey AS z FROM supplier WHERE s_name LIKE ' || chr(39) || k || chr(39) || ') SELECT z, s_name FROM c JOIN (nation JOIN region r ON n_regionkey = r.r_regionkey) ON n_nationkey = c.z -- part p_name'":
+        "supplier.s_suppkey supplier.s_name nation.n_regionkey nation.n_nationkey region.r_regionkey",
+}
+NESTED_TEXTS = f"""SELECT 'db' || CAST(p_partkey % 3 AS STRING) AS db_id, kind, CASE kind {' '.join(f'WHEN {i} THEN {t}' for i, t in enumerate(NESTED))} END AS query
+FROM (SELECT p_partkey, CAST(p_partkey AS STRING) AS k, p_partkey % {len(NESTED)} AS kind FROM part) p"""
 
 
 def _queries(spark, sf_dir):
@@ -155,22 +179,25 @@ def columns_used(spark, sf_dir):
     return scoring.columns_by_table(_queries(spark, sf_dir), fx.view(spark, sf_dir, "db_columns"))
 
 
-@query("sc_tables_used", fx.with_views("candidates db_columns", "SELECT * FROM used").replace(
-    "\nSELECT * FROM used", f""",\n{USED}
-SELECT DISTINCT r.db_id, query, table_name FROM refs r JOIN db_columns k ON k.db_id = r.db_id AND lower(k.table_name) = r.tbl"""))
+@query("sc_scoped_columns", f"""
+SELECT DISTINCT db_id, query, split_part(name, '.', 1) AS table_name, split_part(name, '.', 2) AS column_name
+FROM ({NESTED_TEXTS}) q JOIN {_listed(dict(enumerate(NESTED.values())))} USING (kind)""")
+def scoped_columns(spark, sf_dir):
+    texts = fx.sql(spark, sf_dir, "", NESTED_TEXTS).select("db_id", "query").distinct()
+    return scoring.columns_by_table(texts, fx.view(spark, sf_dir, "db_columns"))
+
+
+@query("sc_tables_used", _expected(NAMES, "SELECT db_id, query, table_name FROM used"))
 def tables_used(spark, sf_dir):
     return scoring.tables_used(_queries(spark, sf_dir), fx.view(spark, sf_dir, "db_columns"))
 
 
-@query("sc_columns_by_table", fx.with_views("candidates db_columns", "SELECT * FROM used").replace(
-    "\nSELECT * FROM used", f",\n{USED}\nSELECT * FROM used"))
+@query("sc_columns_by_table", _expected(USES, "SELECT * FROM used"))
 def columns_by_table(spark, sf_dir):
     return columns_used(spark, sf_dir)
 
 
-@query("sc_union_schema", fx.with_views("candidates db_columns", "SELECT db_id").replace(
-    "\nSELECT db_id", f""",\n{USED}
-SELECT db_id, table_name, array_to_string(list_sort(list(DISTINCT column_name)), ' ') AS columns, count(DISTINCT column_name) AS n_columns
+@query("sc_union_schema", _expected(USES, """SELECT db_id, table_name, array_to_string(list_sort(list(DISTINCT column_name)), ' ') AS columns, count(DISTINCT column_name) AS n_columns
 FROM used GROUP BY db_id, table_name"""))
 def union_schema(spark, sf_dir):
     union = scoring.union_schema(columns_used(spark, sf_dir), ["db_id"])

@@ -109,6 +109,15 @@ def test_schema_recall_bounds(spark):
     ("SELECT x.a FROM (SELECT a FROM one) x", {("one", "a")}),
     ("SELECT 'b' FROM one", set()),
     ('SELECT "ONE"."A" FROM "one"', {("one", "a")}),
+    ("SELECT a FROM one WHERE k = (SELECT max(k) FROM two WHERE a = b)", {("one", "a"), ("one", "k"), ("two", "k"), ("two", "b")}),
+    ("SELECT o.a FROM one o WHERE EXISTS (SELECT 1 FROM two o WHERE o.k = 1)", {("one", "a"), ("two", "k")}),
+    ("SELECT k FROM two UNION SELECT b FROM one", {("two", "k")}),
+    ("SELECT b FROM (SELECT k FROM two) t, one", {("two", "k")}),
+    ("SELECT (SELECT b FROM two t WHERE t.k = one.k) FROM one WHERE (a", {("two", "b"), ("two", "k"), ("one", "k"), ("one", "a")}),
+    ("SELECT a FROM main.one m WHERE m.k IN (1, (SELECT count(b) FROM (one JOIN two ON one.a = b)))", {("one", "a"), ("one", "k"), ("two", "b")}),
+    ("SELECT extract(year from a), max(k) FROM one GROUP BY a, two", {("one", "a"), ("one", "k")}),
+    ("SELECT a FROM one WHERE k IN ((", {("one", "a"), ("one", "k")}),
+    ("", set()),
 ])
 def test_columns_by_table(spark, query, expected):
     columns = spark.createDataFrame([("d", "one", "a"), ("d", "one", "k"), ("d", "two", "b"), ("d", "two", "k")],
