@@ -1,9 +1,12 @@
 """Running recorded SQL on Spark and labelling it by its result.
 
-A SQL text becomes a plan on the driver, so the driver walks over the distinct
-texts, a batch at a time, and never holds more than a batch.  Scans, shuffles
-and hashes of each text run on the executors; what comes back is one row per
-text, written to the shared folder.  Texts are untrusted and pass a guard.
+Recorded texts differ mostly in what they compare with.  A literal behind a
+comparison is lifted out of its text into a table; what is left is the shape.
+A shape becomes one plan on the driver, joined laterally with the literals of
+all its texts, so driver work follows the number of shapes.  The driver walks
+over the shapes a batch at a time.  Scans, shuffles and hashes run on the
+executors; what comes back is one row per text, written to the shared folder.
+Texts are untrusted and pass a guard.
 """
 
 from __future__ import annotations
@@ -15,22 +18,21 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from itertools import islice
 
-from pyspark.errors import AnalysisException, ParseException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.sqltext import COMMENT_OUTSIDE_QUOTES
+from ..functions.text import let
 from ..session import fresh_path
-from .joins import hot_salted_lookup
+from .joins import hot_salted_lookup, union_all
 
 # Reads the tables of a database in the session given.
 Tables = Callable[[SparkSession, str], dict[str, DataFrame]]
 
-# Limits of a run, a comparison and a preview; status texts.
-STATEMENT_SECONDS = 60
 BATCH = 64
 WORKERS = 4
+# The size of a preview, and status texts.
 SHOWN_ROWS = 20
 PREVIEW_CHARS = 2000
 RIGHT, WRONG, TIMEOUT = "--", "incorrect answer", "timeout"
@@ -40,9 +42,18 @@ REFUSED = re.compile(r"\b(reflect|try_reflect|java_method|identifier|read_files)
 REFUSED_IN_PLAN = re.compile(r"\b(reflect|try_reflect|java_method|callmethodviareflection)\b", re.IGNORECASE)
 QUERY_START = re.compile(r"[\s(]*(select|with|values)\b", re.IGNORECASE)
 QUOTED_TEXT = re.compile(r"'[^']*'|\"[^\"]*\"")
+RELATION = re.compile(r"UnresolvedRelation \[([^\]]*)\]")
+COMMON_TABLES = re.compile(r"\bCTE \[([^\]]*)\]")
+
+# A text as pieces without gaps: quoted parts, comments, comparisons, words, and single characters.
+PIECES = r"""(?s)('(?:[^']|'')*'|"[^"]*"|`[^`]*`|--[^\n]*|/\*.*?\*/|[=<>!]+\s*|[\p{L}\p{N}_.]+|.)"""
+COMPARISON = r"^(=|==|<|>|<=|>=|<>|!=)\s*$"
+LITERAL = r"^('[^'\\]*'|[0-9]{1,9})$"
+HOLE = "\x01"
 
 RESULT = ("db_id string, query string, n_columns int, n_distinct bigint, x1 bigint, x2 bigint, "
           "preview string, error string")
+FIELDS = ["n_columns", "n_distinct", "x1", "x2", "preview", "error"]
 
 
 class Refused(ValueError):
@@ -69,16 +80,29 @@ def candidate_session(spark: SparkSession, db_id: str, tables: Tables) -> SparkS
     Division by zero gives null in it, as in the dialect the texts were written for.
     """
     session = spark.newSession()
-    for name, df in tables(session, db_id).items():
+    found = tables(session, db_id)
+    for name, df in found.items():
         df.createOrReplaceTempView(name)
+    session.candidate_tables = {name.lower() for name in found}
     session.conf.set("spark.sql.runSQLOnFiles", "false")
     session.conf.set("spark.sql.ansi.enabled", "false")
     return session
 
 
+def _refuse_other_tables(session: SparkSession, text: str) -> None:
+    """Raises where a text names anything but the tables of its database and its own common tables."""
+    plan = session._jsparkSession.sessionState().sqlParser().parsePlan(text).toString()
+    own = {n.strip().lower() for names in COMMON_TABLES.findall(plan) for n in names.split(",")}
+    for name in RELATION.findall(plan):
+        if name.strip().lower() not in session.candidate_tables | own:
+            raise Refused(f"unknown table {name}")
+
+
 def planned(session: SparkSession, query: str) -> DataFrame:
     """The analysed query.  No job runs; a bad text raises."""
-    df = session.sql(wrapped(query))
+    text = wrapped(query)
+    _refuse_other_tables(session, text)
+    df = session.sql(text)
     in_text = any(REFUSED_IN_PLAN.search(t) for t in QUOTED_TEXT.findall(query))
     if not in_text and REFUSED_IN_PLAN.search(df._jdf.queryExecution().analyzed().toString()):
         raise Refused("function not allowed")
@@ -141,7 +165,7 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return row_hashes(df).distinct().agg(F.lit(len(df.columns)).alias("n_columns"), *_set_of_rows())
 
 
-def _printed(df: DataFrame) -> str:
+def _printed(df: DataFrame, chars: int) -> str:
     """SQL for a row as a JSON list: numbers bare, other values quoted."""
     cells = []
     for name, field in zip(_names(df), df.schema.fields):
@@ -150,23 +174,23 @@ def _printed(df: DataFrame) -> str:
             listed = f"to_json(array({text}))"
             text = f"substring({listed}, 2, length({listed}) - 2)"
         cells.append(f"CASE WHEN {name} IS NULL THEN 'null' ELSE {text} END")
-    return f"substring(concat('[', concat_ws(', ', {', '.join(cells)}), ']'), 1, {PREVIEW_CHARS}) AS row"
+    return f"substring(concat('[', concat_ws(', ', {', '.join(cells)}), ']'), 1, {chars}) AS row"
 
 
-def _preview_text(n_rows: Column, n_columns: Column, shown: Column) -> Column:
+def _preview_text(n_rows: Column, n_columns: Column, shown: Column, chars: int) -> Column:
     """The number of rows, of columns, and the first rows."""
     columns = F.when(n_rows > 0, n_columns).otherwise(F.lit(0))
     text = F.concat(F.lit("Rows: "), n_rows.cast("string"), F.lit(", Columns: "), columns.cast("string"),
                     F.lit(", Results: ["), F.array_join(shown, ", "), F.lit("]"))
-    return F.substring(text, 1, PREVIEW_CHARS)
+    return F.substring(text, 1, chars)
 
 
-def preview(df: DataFrame) -> DataFrame:
-    """The preview of one result: all its rows counted in the map tasks, the first ``SHOWN_ROWS`` shown."""
+def preview(df: DataFrame, rows: int = SHOWN_ROWS, chars: int = PREVIEW_CHARS) -> DataFrame:
+    """The preview of one result: all its rows counted in the map tasks, the first ``rows`` shown."""
     named = df.toDF(*_names(df))
     counted = named.agg(F.count(F.lit(1)).alias("n"))
-    shown = named.limit(SHOWN_ROWS).selectExpr(_printed(df)).agg(F.collect_list("row").alias("shown"))
-    return shown.select(_preview_text(counted.scalar(), F.lit(len(df.columns)), F.col("shown")).alias("preview"))
+    shown = named.limit(rows).selectExpr(_printed(df, chars)).agg(F.collect_list("row").alias("shown"))
+    return shown.select(_preview_text(counted.scalar(), F.lit(len(df.columns)), F.col("shown"), chars).alias("preview"))
 
 
 def set_equal(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -192,14 +216,46 @@ def set_equal_by_except(left: DataFrame, right: DataFrame) -> DataFrame:
                      .cast("int").alias("exec_res"))
 
 
-def _batches(queries: DataFrame, size: int) -> Iterator[list]:
-    """Distinct texts in batches of one database.
+def with_shapes(queries: DataFrame, whole_if_ordered: bool = False) -> DataFrame:
+    """Distinct ``db_id, query`` with ``text_id``, the ``shape`` and the ``literals`` lifted out of it.
 
-    The sort spreads a large database over many partitions, and only one
-    partition at a time reaches the driver.
+    Lifted are short whole numbers and plain strings right behind a comparison;
+    any other literal may mean more than its value and stays.  With
+    ``whole_if_ordered`` texts that order their rows stay whole, as an order
+    does not outlive a join.
+    """
+    def lifted(pieces: Column, piece: Column, i: Column) -> Column:
+        return piece.rlike(LITERAL) & F.coalesce(F.get(pieces, i - 1).rlike(COMPARISON), F.lit(False))
+
+    def split(pieces: Column) -> Column:
+        hole = F.lit(HOLE)
+        kind = lambda x: F.when(F.startswith(x, F.lit("'")), F.lit("s")).otherwise(F.lit("i"))
+        shape = F.transform(pieces, lambda x, i: F.when(
+            lifted(pieces, x, i), F.concat(hole, kind(x), F.lit(HOLE))).otherwise(x))
+        return F.struct(F.array_join(shape, "").alias("shape"), F.filter(
+            pieces, lambda x, i: lifted(pieces, x, i)).alias("literals"))
+
+    rows = queries.select("db_id", "query").filter(F.col("query").isNotNull()).distinct()
+    parts = let(F.regexp_extract_all("query", F.lit(PIECES), F.lit(1)), split)
+    whole = F.contains("query", F.lit(HOLE)) | (F.size(parts["literals"]) == 0)
+    if whole_if_ordered:
+        whole = whole | F.col("query").rlike("(?i)\\border\\s+by\\b")
+    named = rows.withColumn("_p", parts).withColumn("_whole", whole)
+    return named.select(
+        "db_id", "query", F.md5(F.to_json(F.struct("db_id", "query")).cast("binary")).alias("text_id"),
+        F.when(F.col("_whole"), F.col("query")).otherwise(F.col("_p.shape")).alias("shape"),
+        F.when(F.col("_whole"), F.array().cast("array<string>")).otherwise(F.transform("_p.literals", lambda x: F.regexp_replace(
+            x, "^'|'$", ""))).alias("literals")).withColumn(
+        "shape_id", F.md5(F.to_json(F.struct("db_id", "shape")).cast("binary")))
+
+
+def _batches(shapes: DataFrame, size: int) -> Iterator[list]:
+    """Shapes in batches of one database, in the order that their texts are stored in.
+
+    Only one partition at a time reaches the driver.
     """
     batch: list = []
-    for row in queries.select("db_id", "query").distinct().orderBy("db_id", "query").toLocalIterator():
+    for row in shapes.orderBy("db_id", "shape_id").toLocalIterator():
         if batch and (len(batch) >= size or batch[0].db_id != row.db_id):
             yield batch
             batch = []
@@ -208,130 +264,174 @@ def _batches(queries: DataFrame, size: int) -> Iterator[list]:
         yield batch
 
 
-def _plan_all(session: SparkSession, batch: list) -> list[DataFrame | Exception]:
-    def plan(row):
+def _plan_all(session: SparkSession, queries: list[str]) -> list[DataFrame | Exception]:
+    def plan(query):
         try:
-            return planned(session, row.query)
-        except (AnalysisException, ParseException, Refused) as error:
+            return planned(session, query)
+        except Exception as error:  # whatever a text raises is its result
             return error
     with ThreadPoolExecutor(8) as pool:
-        return list(pool.map(plan, batch))
+        return list(pool.map(plan, queries))
 
 
-def _summaries(session: SparkSession, planned_rows: list, with_preview: bool) -> DataFrame:
-    """One row per planned text of a batch.
+def _rows_of(shape, df: DataFrame, texts: DataFrame, session: SparkSession, fields: list[str]) -> DataFrame:
+    """``text_id`` and ``fields`` of the rows of all texts of a shape.
 
-    The row hashes of all texts share one shuffle, tagged by text, so a batch
-    costs two exchanges and not two for each text.
+    The literals of the texts are a table; the shape is a lateral sub-query
+    that reads its own from there.
     """
-    tags = session.createDataFrame(
-        [(i, row.db_id, row.query, len(df.columns)) for i, (row, df) in enumerate(planned_rows)],
-        "tag int, db_id string, query string, n_columns int")
-    # Each text was planned alone before, so it is one balanced query here too.
-    hashes = session.sql(" UNION ALL ".join(
-        f"SELECT {i} AS tag, {', '.join(_hashes(df))} FROM ({wrapped(row.query)}) r({', '.join(_names(df))})"
-        for i, (row, df) in enumerate(planned_rows)))
-    sets = (hashes.groupBy("tag", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-            .groupBy("tag").agg(F.sum("n").alias("n_rows"), *_set_of_rows()))
-    out = tags.join(sets, "tag", "left").na.fill(0, ["n_rows", "n_distinct", "x1", "x2"])
+    columns = ", ".join(_names(df))
+    if not shape.n_literals:
+        return session.sql(f"SELECT '{shape.text_id}' AS text_id, {', '.join(fields)} FROM ({wrapped(shape.query)}) r({columns})")
+    name = f"literals_{uuid.uuid4().hex}"
+    kinds = shape.shape.split(HOLE)[1::2]
+    texts.filter(F.col("shape_id") == shape.shape_id).select("text_id", *[
+        F.get("literals", F.lit(i)).cast("int" if k == "i" else "string").alias(f"v{i}") for i, k in enumerate(kinds)
+    ]).createOrReplaceTempView(name)
+    pieces = shape.shape.split(HOLE)
+    pieces[1::2] = [f"{name}.v{i}" for i in range(len(kinds))]
+    return session.sql(f"SELECT text_id, {', '.join(fields)} FROM {name}, LATERAL ({wrapped(''.join(pieces))}) r({columns})")
+
+
+def _summaries(session: SparkSession, planned_shapes: list, texts: DataFrame, with_preview: tuple[int, int] | None) -> DataFrame:
+    """One row per text of the planned shapes.
+
+    The row hashes of all texts share one shuffle, so a batch costs two
+    exchanges and not two for each text.
+    """
+    sizes = session.createDataFrame([(shape.shape_id, len(df.columns)) for shape, df in planned_shapes],
+                                    "shape_id string, n_columns int")
+    mine = texts.filter(F.col("shape_id").isin([shape.shape_id for shape, _ in planned_shapes])).select(
+        "db_id", "query", "text_id", "shape_id").join(F.broadcast(sizes), "shape_id")  # a row for each shape of a batch
+    hashes = union_all([_rows_of(shape, df, texts, session, _hashes(df)) for shape, df in planned_shapes])
+    sets = (hashes.groupBy("text_id", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+            .groupBy("text_id").agg(F.sum("n").alias("n_rows"), *_set_of_rows()))
+    out = mine.join(sets, "text_id", "left").na.fill(0, ["n_rows", "n_distinct", "x1", "x2"])
     if with_preview:
-        shown = session.sql(" UNION ALL ".join(
-            f"SELECT {i} AS tag, monotonically_increasing_id() AS at, row FROM (SELECT {_printed(df)} FROM "
-            f"({wrapped(row.query)}) r({', '.join(_names(df))}) LIMIT {SHOWN_ROWS}) s"
-            for i, (row, df) in enumerate(planned_rows)))
-        lists = shown.groupBy("tag").agg(F.array_sort(F.collect_list(F.struct("at", "row"))).alias("shown"))
-        out = out.join(lists, "tag", "left").withColumn("preview", _preview_text(
-            F.col("n_rows"), F.col("n_columns"), F.coalesce(F.col("shown.row"), F.array().cast("array<string>"))))
+        rows, chars = with_preview
+        printed = union_all([_rows_of(shape, df, texts, session, [_printed(df, chars)]).withColumn(
+            "at", F.monotonically_increasing_id()) for shape, df in planned_shapes])
+        first = F.row_number().over(Window.partitionBy("text_id").orderBy("at"))
+        lists = printed.withColumn("_rank", first).filter(F.col("_rank") <= rows).groupBy("text_id").agg(
+            F.array_sort(F.collect_list(F.struct("at", "row"))).alias("shown"))
+        out = out.join(lists, "text_id", "left").withColumn("preview", _preview_text(
+            F.col("n_rows"), F.col("n_columns"), F.coalesce(F.col("shown.row"), F.array().cast("array<string>")), chars))
     else:
         out = out.withColumn("preview", F.lit(None).cast("string"))
     return out.select("db_id", "query", "n_columns", "n_distinct", "x1", "x2", "preview",
                       F.lit(None).cast("string").alias("error"))
 
 
-def _write(spark: SparkSession, rows: DataFrame, path: str, seconds: float) -> None:
-    """One job under a time limit; cancelling it raises here.
+def _write(spark: SparkSession, rows: DataFrame, path: str, seconds: float | None) -> None:
+    """One job, under a time limit if there is one; cancelling it raises here.
 
     Each job has its own folder under ``path``, so jobs side by side do not meet.
     """
     group = uuid.uuid4().hex
     context = spark.sparkContext
     context.setJobGroup(group, "recorded queries", interruptOnCancel=True)
-    timer = threading.Timer(seconds, context.cancelJobGroup, [group])
-    timer.start()
+    timer = threading.Timer(seconds, context.cancelJobGroup, [group]) if seconds else None
+    if timer:
+        timer.start()
     try:
-        rows.coalesce(1).write.parquet(f"{path}/batch={group}")
+        rows.write.parquet(f"{path}/batch={group}")
     finally:
-        timer.cancel()
+        if timer:
+            timer.cancel()
         context.setLocalProperty("spark.jobGroup.id", None)
         context.setLocalProperty("spark.job.interruptOnCancel", None)
 
 
-def _run_batch(session: SparkSession, rows: list, path: str, with_preview: bool, seconds: float) -> None:
-    """Append one row per text of a batch to the results."""
-    failed, good = [], []
-    for row, df in zip(rows, _plan_all(session, rows)):
-        if isinstance(df, Exception):
-            failed.append((row.db_id, row.query, message(df)))
-        else:
-            good.append((row, df))
+def _fail(texts: DataFrame, failed: list[tuple[str, str]], path: str) -> None:
+    """Writes the error of every text of the failed shapes (shape_id, error)."""
+    errors = F.broadcast(texts.sparkSession.createDataFrame(failed, "shape_id string, error string"))
+    texts.join(errors, "shape_id").selectExpr(
+        "db_id", "query", "CAST(NULL AS INT) AS n_columns", "CAST(NULL AS BIGINT) AS n_distinct", "CAST(NULL AS BIGINT) AS x1",
+        "CAST(NULL AS BIGINT) AS x2", "CAST(NULL AS STRING) AS preview", "error").write.parquet(f"{path}/batch={uuid.uuid4().hex}")
+
+
+def _each_text(session: SparkSession, shape, texts: DataFrame) -> Iterator:
+    """The texts of a shape as shapes of their own, without literals lifted; one partition at a time is on the driver."""
+    for row in texts.filter(F.col("shape_id") == shape.shape_id).toLocalIterator():
+        yield Row(db_id=row.db_id, shape_id=row.text_id, shape=row.query, query=row.query, text_id=row.text_id, n_literals=0)
+
+
+def _run_batch(session: SparkSession, shapes: list, texts_path: str, path: str, with_preview: tuple[int, int] | None,
+               seconds: float | None) -> None:
+    """Append one row per text of a batch of shapes to the results.
+
+    A batch that fails is run again shape by shape, a shape that fails text by
+    text, so that one bad text hides no other.
+    """
+    texts = session.read.parquet(texts_path)
+    by_text = texts.withColumn("shape_id", F.col("text_id"))
+    plans = _plan_all(session, [shape.query for shape in shapes])
+    failed = [(shape.shape_id, message(df)) for shape, df in zip(shapes, plans) if isinstance(df, Exception)]
+    good = [(shape, df) for shape, df in zip(shapes, plans) if not isinstance(df, Exception)]
+    alone: list[tuple[str, str]] = []
     try:
         if good:
-            _write(session, _summaries(session, good, with_preview), path, seconds)
+            _write(session, _summaries(session, good, texts, with_preview), path, seconds)
     except Exception:
-        for row, df in good:
+        for shape, df in good:
             try:
-                _write(session, _summaries(session, [(row, df)], with_preview), path, seconds)
+                _write(session, _summaries(session, [(shape, df)], texts, with_preview), path, seconds)
             except Exception as error:
-                failed.append((row.db_id, row.query, TIMEOUT if "cancel" in str(error).lower() else message(error)))
+                if not shape.n_literals:
+                    failed.append((shape.shape_id, TIMEOUT if "cancel" in str(error).lower() else message(error)))
+                    continue
+                for own in _each_text(session, shape, texts):
+                    try:
+                        _write(session, _summaries(session, [(own, planned(session, own.query))], by_text, with_preview), path, seconds)
+                    except Exception as single:
+                        alone.append((own.text_id, TIMEOUT if "cancel" in str(single).lower() else message(single)))
     if failed:
-        (session.createDataFrame(failed, "db_id string, query string, error string")
-         .selectExpr("db_id", "query", "CAST(NULL AS INT) AS n_columns", "CAST(NULL AS BIGINT) AS n_distinct",
-                     "CAST(NULL AS BIGINT) AS x1", "CAST(NULL AS BIGINT) AS x2", "CAST(NULL AS STRING) AS preview", "error")
-         .coalesce(1).write.parquet(f"{path}/batch={uuid.uuid4().hex}"))
+        _fail(texts, failed, path)
+    if alone:
+        _fail(by_text, alone, path)
 
 
 def run_queries(spark: SparkSession, queries: DataFrame, tables: Tables, with_preview: bool = False,
-                seconds: float = STATEMENT_SECONDS, batch: int = BATCH, workers: int = WORKERS) -> DataFrame:
+                seconds: float | None = None, batch: int = BATCH, workers: int = WORKERS,
+                shown_rows: int = SHOWN_ROWS, preview_chars: int = PREVIEW_CHARS) -> DataFrame:
     """Run each distinct ``db_id, query`` once.
 
-    One row per text: the fingerprint of its result, a preview if wanted, and
-    the error if it failed.  Jobs run while this is called.  A batch that fails
-    or takes too long is run again text by text, so one bad text cannot hide
-    the others.
+    One row per text: the fingerprint of its result, a preview of its first
+    rows if wanted, and the error if it failed.  Jobs run while this is called.
+    There is no time limit unless ``seconds`` sets one for a batch, and then
+    for each shape and text of a batch that took longer.
     """
-    path = fresh_path(spark, "query-results")
+    path, texts_path = fresh_path(spark, "query-results"), fresh_path(spark, "query-texts")
     spark.createDataFrame([], RESULT).write.parquet(f"{path}/batch=0")
+    # Stored by shape, so that a batch reads only the files and row groups of its shapes.
+    shaped = with_shapes(queries, whole_if_ordered=with_preview)
+    shaped.repartitionByRange("db_id", "shape_id").sortWithinPartitions("db_id", "shape_id").write.parquet(texts_path)
+    shapes = spark.read.parquet(texts_path).groupBy("db_id", "shape_id").agg(
+        F.min_by(F.struct("query", "text_id", "shape", F.size("literals").alias("n_literals")), "query").alias("s")).select(
+        "db_id", "shape_id", "s.*")
     sessions: dict[str, SparkSession] = {}
-    batches = _batches(queries, batch)
+    batches = _batches(shapes, batch)
+    shown = (shown_rows, preview_chars) if with_preview else None
     with ThreadPoolExecutor(workers) as pool:
         while turn := list(islice(batches, workers)):
             named = {rows[0].db_id for rows in turn}
             sessions = {d: sessions.get(d) or candidate_session(spark, d, tables) for d in named}
-            list(pool.map(lambda rows: _run_batch(sessions[rows[0].db_id], rows, path, with_preview, seconds), turn))
+            list(pool.map(lambda rows: _run_batch(sessions[rows[0].db_id], rows, texts_path, path, shown, seconds), turn))
     parts = spark.read.schema(RESULT).parquet(path)
-    whole = parts.groupBy("db_id", "query").agg(
-        *[F.max(c).alias(c) for c in ("n_columns", "n_distinct", "x1", "x2", "preview", "error")])
-    shown = F.coalesce("preview", F.concat(F.lit("Error: "), F.col("error"))) if with_preview else F.col("preview")
-    return whole.withColumn("preview", shown)
+    whole = parts.groupBy("db_id", "query").agg(  # one row as it stands; a success before an error
+        F.max_by(F.struct(*FIELDS), F.col("error").isNull()).alias("r")).select("db_id", "query", "r.*")
+    text = F.coalesce("preview", F.concat(F.lit("Error: "), F.col("error"))) if with_preview else F.col("preview")
+    return whole.withColumn("preview", text)
 
 
-def syntax_checks(spark: SparkSession, queries: DataFrame, tables: Tables, batch: int = 1000) -> DataFrame:
-    """``syntax_check`` 1.0 where a text can be planned, else 0.0 and the error.
+def syntax_checks(spark: SparkSession, queries: DataFrame, tables: Tables) -> DataFrame:
+    """``syntax_check`` 1.0 where a text runs, else 0.0 and the error."""
+    return syntax_of(run_queries(spark, queries, tables))
 
-    Texts are analysed on the driver, several at a time; no query runs.
-    """
-    path = fresh_path(spark, "syntax-checks")
-    kind = "db_id string, query string, syntax_check double, error string"
-    spark.createDataFrame([], kind).write.parquet(path)
-    session, current = None, None
-    for rows in _batches(queries, batch):
-        if session is None or rows[0].db_id != current:
-            current = rows[0].db_id
-            session = candidate_session(spark, current, tables)
-        checked = [(r.db_id, r.query, 0.0, message(p)) if isinstance(p, Exception) else (r.db_id, r.query, 1.0, None)
-                   for r, p in zip(rows, _plan_all(session, rows))]
-        spark.createDataFrame(checked, kind).coalesce(1).write.mode("append").parquet(path)
-    return spark.read.schema(kind).parquet(path)
+
+def syntax_of(results: DataFrame) -> DataFrame:
+    """``db_id, query, syntax_check, error`` from the results of a run."""
+    return results.select("db_id", "query", F.col("error").isNull().cast("double").alias("syntax_check"), "error")
 
 
 def labelled(rows: DataFrame, results: DataFrame, query: str = "generated_query",
@@ -339,7 +439,7 @@ def labelled(rows: DataFrame, results: DataFrame, query: str = "generated_query"
     """Adds ``exec_res`` and ``exec_err`` by joining results of both queries.
 
     Equal means the same set of rows, neither empty.  A gold query shared by a
-    third of the rows is salted.
+    third of the rows is salted.  Where a run took too long there is no label.
     """
     fields = ["n_columns", "n_distinct", "x1", "x2", "error"]
     out = rows
@@ -349,6 +449,7 @@ def labelled(rows: DataFrame, results: DataFrame, query: str = "generated_query"
     same = F.col("_p_n_distinct") > 0
     for c in fields[:-1]:
         same = same & (F.col(f"_p_{c}") == F.col(f"_g_{c}"))
-    res = F.coalesce(same, F.lit(False)).cast("int")
+    late = F.coalesce((F.col("_p_error") == TIMEOUT) | (F.col("_g_error") == TIMEOUT), F.lit(False))
+    res = F.when(~late, F.coalesce(same, F.lit(False)).cast("int"))
     err = F.coalesce("_p_error", "_g_error", F.when(res == 1, F.lit(RIGHT)).otherwise(F.lit(WRONG)))
     return out.select(*rows.columns, res.alias("exec_res"), err.alias("exec_err"))

@@ -69,10 +69,19 @@ def _texts(rows):
     return distinct_queries(rows).unionByName(distinct_queries(rows, "gold_query")).distinct()
 
 
-@query("ex_run")
+@query("ex_run", fx.with_views("candidates", """
+SELECT DISTINCT 'shop' AS db_id, query, CASE WHEN kind = 4 THEN 2 WHEN kind <> 6 THEN 1 END AS n_columns,
+ CASE kind WHEN 3 THEN (SELECT count(DISTINCT p_name) FROM part WHERE p_size >= k) WHEN 4 THEN (SELECT count(DISTINCT p_brand) FROM part)
+  WHEN 5 THEN n_names WHEN 6 THEN NULL WHEN 7 THEN (SELECT count(DISTINCT s_name) FROM supplier) ELSE (SELECT count(DISTINCT p_name) FROM part WHERE p_size > k) END AS n_distinct,
+ CASE kind WHEN 3 THEN (SELECT count(*) FROM part WHERE p_size >= k) WHEN 4 THEN (SELECT count(DISTINCT p_brand) FROM part)
+  WHEN 5 THEN n_rows WHEN 7 THEN (SELECT count(*) FROM supplier) WHEN 6 THEN NULL ELSE (SELECT count(*) FROM part WHERE p_size > k) END AS n_rows
+FROM (SELECT generated_query AS query, cand_id % 8 AS kind, question_id % 50 AS k, b.n_names, b.n_rows FROM candidates c JOIN part p ON p.p_partkey = c.cand_id
+ JOIN (SELECT p_brand, count(DISTINCT p_name) AS n_names, count(*) AS n_rows FROM part GROUP BY p_brand) b ON b.p_brand = p.p_brand) q"""))
 def run(spark, sf_dir):
-    """Fingerprint, preview or error of every distinct candidate text."""
-    return execution.run_queries(spark, distinct_queries(_candidates(spark, sf_dir)), _tables(sf_dir), with_preview=True)
+    """Columns, rows and distinct rows of every distinct candidate text; nulls where it failed."""
+    found = execution.run_queries(spark, distinct_queries(_candidates(spark, sf_dir)), _tables(sf_dir), with_preview=True)
+    n_rows = F.regexp_extract("preview", "^Rows: ([0-9]+)", 1)
+    return found.select("db_id", "query", "n_columns", "n_distinct", F.when(n_rows != "", n_rows).cast("bigint").alias("n_rows"))
 
 
 @query("ex_syntax", fx.with_views("candidates", """

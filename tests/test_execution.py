@@ -78,6 +78,58 @@ def test_time_limit(spark, tables):
     assert results["SELECT n FROM t"].n_distinct == 2
 
 
+SHAPED = [
+    "SELECT n FROM t WHERE n > {}", "SELECT s, count(*) FROM t WHERE n >= {} GROUP BY s", "SELECT count(*) FROM t WHERE n = {}",
+    "SELECT sum(n), max(s) FROM t WHERE n <> {} AND s = 'b'", "SELECT n FROM t GROUP BY n HAVING count(*) > {}",
+    "SELECT n FROM t WHERE n = (SELECT max(n) FROM t WHERE n < {})", "SELECT CASE WHEN n = {} THEN 'x' ELSE s END FROM t",
+    "SELECT a.n FROM t a JOIN t b ON a.n = b.n AND b.n > {}", "SELECT n FROM t WHERE n > {} ORDER BY n LIMIT 1",
+    "SELECT n FROM t WHERE s = '{}' -- s = 'z'", "SELECT s FROM t WHERE n > {} UNION ALL SELECT 'u = 7' FROM t WHERE n < {}",
+    "WITH c AS (SELECT n FROM t WHERE n > {}) SELECT count(*), count(DISTINCT n) FROM c", "SELECT DISTINCT n > {} FROM t",
+    "SELECT n, count(*) FROM t GROUP BY 1 HAVING max(n) > {}", "SELECT t.n FROM t WHERE EXISTS (SELECT 1 FROM t u WHERE u.n = t.n AND u.n = {})",
+]
+
+
+def test_shapes_give_what_each_text_gives(spark, session, tables):
+    texts = [text.format(v, v) for text in SHAPED for v in (0, 1, 2, 3)] + ["SELECT n FROM t WHERE n > 1000000000000", "SELECT n FROM t WHERE s = 'it''s'"]
+    rows = spark.createDataFrame([("d", x) for x in texts], QUERY)
+    shapes = execution.with_shapes(rows).select("shape").distinct().count()
+    assert shapes == len(SHAPED) + 2
+    got = {r["query"]: (r.n_columns, r.n_distinct, r.x1, r.x2, r.error) for r in execution.run_queries(spark, rows, tables).collect()}
+    for x in texts:
+        assert got[x] == (*execution.fingerprint(execution.planned(session, x)).first(), None), x
+
+
+def test_one_failing_text_hides_no_other_of_its_shape(spark, tables):
+    texts = [f"SELECT CASE WHEN n = {v} THEN CAST(raise_error('boom') AS INT) ELSE n END FROM t" for v in (1, 5, 6)]
+    got = {r["query"]: r for r in execution.run_queries(spark, spark.createDataFrame([("d", x) for x in texts], QUERY), tables).collect()}
+    assert got[texts[0]].error and got[texts[0]].n_distinct is None
+    assert [got[x].n_distinct for x in texts[1:]] == [2, 2] and not got[texts[1]].error
+
+
+def test_lifted_literals(spark):
+    rows = spark.createDataFrame([("d", "SELECT 'a = 1', 2 FROM t WHERE x = 3 AND y <> 'k' /* z = 4 */ AND q >= 5.5 LIMIT 6"), ("d", "SELECT 1")], QUERY)
+    got = {r.shape: r.literals for r in execution.with_shapes(rows).collect()}
+    hole = execution.HOLE
+    assert got == {f"SELECT 'a = 1', 2 FROM t WHERE x = {hole}i{hole} AND y <> {hole}s{hole} /* z = 4 */ AND q >= 5.5 LIMIT 6": ["3", "k"], "SELECT 1": []}
+
+
+def test_only_own_tables_are_visible(spark, session, tables):
+    spark.range(1).createOrReplaceGlobalTempView("secret")
+    spark.range(1).createOrReplaceTempView("other")
+    for text in ("SELECT * FROM global_temp.secret", "SELECT n FROM t WHERE n IN (SELECT id FROM global_temp.secret)",
+                 "SELECT * FROM other", "WITH a AS (SELECT * FROM global_temp.secret) SELECT * FROM a"):
+        with pytest.raises(execution.Refused):
+            execution.planned(session, text)
+
+
+def test_a_run_that_took_too_long_has_no_label(spark):
+    fields = "db_id string, query string, n_columns int, n_distinct bigint, x1 bigint, x2 bigint, preview string, error string"
+    results = spark.createDataFrame([("d", "a", 1, 1, 1, 1, None, None), ("d", "b", None, None, None, None, None, "timeout")], fields)
+    rows = spark.createDataFrame([(1, "d", "a", "a"), (2, "d", "a", "b"), (3, "d", "b", "a")], "i int, db_id string, gold_query string, generated_query string")
+    got = {r.i: (r.exec_res, r.exec_err) for r in execution.labelled(rows, results).collect()}
+    assert got == {1: (1, "--"), 2: (None, "timeout"), 3: (None, "timeout")}
+
+
 def test_syntax_checks(spark, tables):
     texts = spark.createDataFrame([("d", "SELECT n FROM t"), ("d", "SELECT nope FROM t")], QUERY)
     checks = {r["query"]: r.syntax_check for r in execution.syntax_checks(spark, texts, tables).collect()}
