@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from ..functions.sqltext import COMMENT_OUTSIDE_QUOTES
 from ..functions.text import let
 from ..session import fresh_path
-from .joins import hot_salted_lookup, union_all
+from .joins import union_all
 
 # Reads the tables of a database in the session given.
 Tables = Callable[[SparkSession, str], dict[str, DataFrame]]
@@ -216,6 +216,11 @@ def set_equal_by_except(left: DataFrame, right: DataFrame) -> DataFrame:
                      .cast("int").alias("exec_res"))
 
 
+def _text_id(query: str) -> Column:
+    """A fixed-width stand-in for a text of a database."""
+    return F.md5(F.to_json(F.struct("db_id", F.col(query).alias("query"))).cast("binary"))
+
+
 def with_shapes(queries: DataFrame, whole_if_ordered: bool = False) -> DataFrame:
     """Distinct ``db_id, query`` with ``text_id``, the ``shape`` and the ``literals`` lifted out of it.
 
@@ -242,7 +247,7 @@ def with_shapes(queries: DataFrame, whole_if_ordered: bool = False) -> DataFrame
         whole = whole | F.col("query").rlike("(?i)\\border\\s+by\\b")
     named = rows.withColumn("_p", parts).withColumn("_whole", whole)
     return named.select(
-        "db_id", "query", F.md5(F.to_json(F.struct("db_id", "query")).cast("binary")).alias("text_id"),
+        "db_id", "query", _text_id("query").alias("text_id"),
         F.when(F.col("_whole"), F.col("query")).otherwise(F.col("_p.shape")).alias("shape"),
         F.when(F.col("_whole"), F.array().cast("array<string>")).otherwise(F.transform("_p.literals", lambda x: F.regexp_replace(
             x, "^'|'$", ""))).alias("literals")).withColumn(
@@ -342,15 +347,15 @@ def _write(spark: SparkSession, rows: DataFrame, path: str, seconds: float | Non
         context.setLocalProperty("spark.job.interruptOnCancel", None)
 
 
-def _fail(texts: DataFrame, failed: list[tuple[str, str]], path: str) -> None:
-    """Writes the error of every text of the failed shapes (shape_id, error)."""
+def _failures(texts: DataFrame, failed: list[tuple[str, str]]) -> DataFrame:
+    """The error of every text of the failed shapes (shape_id, error)."""
     errors = F.broadcast(texts.sparkSession.createDataFrame(failed, "shape_id string, error string"))
-    texts.join(errors, "shape_id").selectExpr(
+    return texts.join(errors, "shape_id").selectExpr(
         "db_id", "query", "CAST(NULL AS INT) AS n_columns", "CAST(NULL AS BIGINT) AS n_distinct", "CAST(NULL AS BIGINT) AS x1",
-        "CAST(NULL AS BIGINT) AS x2", "CAST(NULL AS STRING) AS preview", "error").write.parquet(f"{path}/batch={uuid.uuid4().hex}")
+        "CAST(NULL AS BIGINT) AS x2", "CAST(NULL AS STRING) AS preview", "error")
 
 
-def _each_text(session: SparkSession, shape, texts: DataFrame) -> Iterator:
+def _each_text(shape, texts: DataFrame) -> Iterator:
     """The texts of a shape as shapes of their own, without literals lifted; one partition at a time is on the driver."""
     for row in texts.filter(F.col("shape_id") == shape.shape_id).toLocalIterator():
         yield Row(db_id=row.db_id, shape_id=row.text_id, shape=row.query, query=row.query, text_id=row.text_id, n_literals=0)
@@ -368,27 +373,33 @@ def _run_batch(session: SparkSession, shapes: list, texts_path: str, path: str,
     plans = _plan_all(session, [shape.query for shape in shapes])
     failed = [(shape.shape_id, message(df)) for shape, df in zip(shapes, plans) if isinstance(df, Exception)]
     good = [(shape, df) for shape, df in zip(shapes, plans) if not isinstance(df, Exception)]
-    alone: list[tuple[str, str]] = []
     try:
+        frames = [_failures(texts, failed)] if failed else []
         if good:
-            _write(session, _summaries(session, good, texts, with_preview), path, seconds)
+            frames.append(_summaries(session, good, texts, with_preview))
+        _write(session, union_all(frames), path, seconds)
+        return
     except Exception:
-        for shape, df in good:
-            try:
-                _write(session, _summaries(session, [(shape, df)], texts, with_preview), path, seconds)
-            except Exception as error:
-                if not shape.n_literals:
-                    failed.append((shape.shape_id, TIMEOUT if "cancel" in str(error).lower() else message(error)))
-                    continue
-                for own in _each_text(session, shape, texts):
-                    try:
-                        _write(session, _summaries(session, [(own, planned(session, own.query))], by_text, with_preview), path, seconds)
-                    except Exception as single:
-                        alone.append((own.text_id, TIMEOUT if "cancel" in str(single).lower() else message(single)))
-    if failed:
-        _fail(texts, failed, path)
-    if alone:
-        _fail(by_text, alone, path)
+        failed, alone = list(failed), []
+    for shape, df in good:
+        try:
+            _write(session, _summaries(session, [(shape, df)], texts, with_preview), path, seconds)
+        except Exception as error:
+            if not shape.n_literals:
+                failed.append((shape.shape_id, _reason(error)))
+                continue
+            for own in _each_text(shape, texts):
+                try:
+                    _write(session, _summaries(session, [(own, planned(session, own.query))], by_text, with_preview), path, seconds)
+                except Exception as single:
+                    alone.append((own.text_id, _reason(single)))
+    for rows, errors in ((texts, failed), (by_text, alone)):
+        if errors:
+            _write(session, _failures(rows, errors), path, None)
+
+
+def _reason(error: Exception) -> str:
+    return TIMEOUT if "cancel" in str(error).lower() else message(error)
 
 
 def run_queries(spark: SparkSession, queries: DataFrame, tables: Tables, with_preview: bool = False,
@@ -438,14 +449,16 @@ def labelled(rows: DataFrame, results: DataFrame, query: str = "generated_query"
              gold: str = "gold_query") -> DataFrame:
     """Adds ``exec_res`` and ``exec_err`` by joining results of both queries.
 
-    Equal means the same set of rows, neither empty.  A gold query shared by a
-    third of the rows is salted.  Where a run took too long there is no label.
+    Equal means the same set of rows, neither empty.  Where a run took too long
+    there is no label.  The texts' digests are the join keys; a gold query that
+    a third of the rows share is split by Spark's skew join, which needs no
+    count of the rows beforehand.
     """
     fields = ["n_columns", "n_distinct", "x1", "x2", "error"]
     out = rows
     for side, column in (("p", query), ("g", gold)):
-        named = results.select("db_id", F.col("query").alias(column), *[F.col(c).alias(f"_{side}_{c}") for c in fields])
-        out = hot_salted_lookup(out, named, ["db_id", column], "left")
+        named = results.select(_text_id("query").alias("_id"), *[F.col(c).alias(f"_{side}_{c}") for c in fields])
+        out = out.withColumn("_id", _text_id(column)).join(named, "_id", "left")
     same = F.col("_p_n_distinct") > 0
     for c in fields[:-1]:
         same = same & (F.col(f"_p_{c}") == F.col(f"_g_{c}"))

@@ -1,8 +1,10 @@
 """Counts, distinct values, lengths and examples of every column at once.
 
-All columns of a table become one long frame of values, so a profile takes two
-shuffles whatever the number of columns, and a frequent value is counted in
-the map tasks before it moves.
+All columns of a table become one long frame, so a profile takes two shuffles
+whatever the number of columns, and a frequent value is counted in the map
+tasks before it moves.  Counts need no values: a column is a number there and a
+cell 128 bits.  Whether a column has few values is asked of a sketch of fixed
+size, which moves one row for each task.
 """
 
 from __future__ import annotations
@@ -21,13 +23,16 @@ CATEGORICAL_EXAMPLES = 5
 OTHER_EXAMPLES = 3
 EXAMPLE_WIDTH = 50
 
+# The sketch of the categorical test holds 2 ** SKETCHED_LOG digests, more than the test asks for.
+SKETCHED_LOG = 5
+
 
 def _as_text(df: DataFrame, field: T.StructField) -> Column:
     column = df[f"`{field.name}`"]
     if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
         column = column + F.lit(0.0)  # -0.0 and 0.0 are one value
     if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
-        return F.to_json(F.struct(column.alias("v")))
+        return F.when(column.isNotNull(), F.to_json(F.struct(column.alias("v"))))
     return column.cast("string")
 
 
@@ -53,6 +58,61 @@ def value_counts(values: DataFrame) -> DataFrame:
     return values.groupBy(*COLUMN, "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def digest_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """``column, x1, x2, n``: how often each cell occurs, by its digest; columns are numbered as :func:`list_columns`
+    lists them, nulls have no digest."""
+    frames, at = [], 0
+    for df in tables.values():
+        cells = []
+        for field in df.schema.fields:
+            text = _as_text(df, field)
+            cells.append(F.struct(F.lit(at).alias("column"), F.when(text.isNotNull(), F.xxhash64(text)).alias("x1"),
+                                  F.when(text.isNotNull(), F.xxhash64(F.lit(7), text)).alias("x2")))
+            at += 1
+        frames.append(df.select(F.inline(F.array(*cells))))
+    return union_all(frames).groupBy("column", "x1", "x2").agg(F.count(F.lit(1)).alias("n"))
+
+
+def counts_of_tables(tables: dict[str, DataFrame], db_id: str) -> DataFrame:
+    """Non-null, distinct and null counts of every column, zeros for those of an empty table.
+
+    No cell reaches a shuffle, only its digest.
+    """
+    filled = F.col("x1").isNotNull()
+    counts = digest_counts(tables).groupBy("column").agg(
+        F.sum(F.when(filled, F.col("n"))).alias("n_nonnull"), F.count("x1").alias("n_distinct"),
+        F.sum(F.when(~filled, F.col("n"))).alias("n_null"))
+    return _named(tables, db_id).join(counts, "column", "left").drop("column").na.fill(0)
+
+
+def _named(tables: dict[str, DataFrame], db_id: str) -> DataFrame:
+    """COLUMN and the number of each column, from the schemas alone."""
+    spark = next(iter(tables.values())).sparkSession
+    names = [(t, f.name) for t, df in tables.items() for f in df.schema.fields]
+    return spark.createDataFrame([(i, db_id, t, c) for i, (t, c) in enumerate(names)],
+                                 "column int, db_id string, table_name string, column_name string")
+
+
+def few_values(tables: dict[str, DataFrame], db_id: str) -> DataFrame:
+    """COLUMN and ``is_categorical``, exact, without counting the values.
+
+    The sketch keeps the least SKETCHED digests of a column: below that many
+    distinct values it holds all of them, and above it never estimates less.
+    """
+    rows, at = [], 0
+    for df in tables.values():
+        cells = []
+        for field in df.schema.fields:
+            text = _as_text(df, field)
+            few = F.coalesce(F.theta_sketch_estimate(F.theta_sketch_agg(
+                F.when(text.isNotNull(), F.xxhash64(text)), SKETCHED_LOG)), F.lit(0))
+            cells.append(F.struct(F.lit(at).alias("column"), few.alias("n_distinct"), F.count_if(text.isNull()).alias("n_null")))
+            at += 1
+        rows.append(df.agg(F.array(*cells).alias("cells")).select(F.inline("cells")))
+    found = union_all(rows).select("column", is_categorical().alias("is_categorical"))
+    return _named(tables, db_id).join(found, "column").drop("column")
+
+
 def column_counts(counted: DataFrame, columns: DataFrame | None = None) -> DataFrame:
     """Non-null, distinct and null counts from :func:`value_counts`.
 
@@ -113,6 +173,6 @@ def profile(tables: dict[str, DataFrame], db_id: str) -> DataFrame:
     """The profile table of a database: counts, categorical test, examples."""
     columns = list_columns(tables, db_id)
     counted = value_counts(union_all([long_values(df, db_id, t) for t, df in tables.items()]))
-    counts = column_counts(counted, columns)
+    counts = counts_of_tables(tables, db_id)
     return (counts.withColumn("is_categorical", is_categorical())
             .join(examples(counted, counts, columns), COLUMN))
