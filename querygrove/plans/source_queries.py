@@ -15,17 +15,31 @@ MODELS = ("m0", "m1", "m2", "m3")
 PART_TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 
 
-@query("src_questions", fx.with_views("candidates", """
-SELECT 'Task ' || CAST(cand_id AS VARCHAR) || ': ' || question AS question, db_id, gold_query AS "SQL", evidence FROM candidates"""))
-def questions(spark, sf_dir):
+QUESTIONS = fx.with_views("candidates", """
+SELECT 'Task ' || CAST(cand_id AS VARCHAR) || ': ' || question AS question, db_id, gold_query AS "SQL", evidence FROM candidates""")
+
+
+def _questions(spark, sf_dir):
     rows = fx.view(spark, sf_dir, "candidates").select(
         F.concat(F.lit("Task "), F.col("cand_id").cast("string"), F.lit(": "), F.col("question")).alias("question"),
         "db_id", F.col("gold_query").alias("SQL"), F.when(F.col("evidence") != "", F.col("evidence")).alias("evidence"))
+    return rows
+
+
+@query("src_questions", QUESTIONS)
+def questions(spark, sf_dir):
     path = fresh_path(spark, "questions")
-    records.write_records(rows, path)
+    records.write_records(_questions(spark, sf_dir), path)
     return records.read_questions(spark, path, lines=True)
 
 
+@query("src_questions_array", QUESTIONS)
+def questions_array(spark, sf_dir):
+    path = fresh_path(spark, "question-arrays")
+    records.write_arrays(_questions(spark, sf_dir), path)
+    return records.read_questions(spark, path)
+
+
 @query("src_responses_json", fx.with_views("result_rows", """
 SELECT task AS question, source_model, position, generated_query, model_answer, label, db_of_task AS db_id
 FROM (SELECT *, min(db_id) OVER (PARTITION BY task, source_model) AS db_of_task FROM result_rows) t"""))
