@@ -12,16 +12,14 @@ is put together from the pieces that its blocks hold.
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MARKS = re.compile(r'\\.|["{}\[\]]', re.DOTALL)
-STEP = {"{": 1, "[": 1, "}": -1, "]": -1}
-
-SUMMARY = "file string, block long, opens string, quotes int, outside long, inside long"
+SUMMARY = "file string, block long, opens string, quotes long, outside long, inside long"
 PIECE = "file string, block long, kind int, text string"
 RECORD, TAIL, REST = 0, 1, 2  # a whole record, the start of one, what goes on or ends one
 
@@ -35,31 +33,46 @@ def _pieces(spark: SparkSession, path: str, options: dict) -> DataFrame:
                                     F.col("_metadata.file_block_start").alias("block"))
 
 
-def scan(text: str) -> tuple[int, int, int]:
-    """Quotes of a text, and its change of depth if it starts outside or inside of a string."""
-    quotes, depth = 0, [0, 0]
-    for mark in MARKS.findall(text):
-        if mark == '"':
-            quotes += 1
-        elif mark in STEP:
-            depth[quotes & 1] += STEP[mark]
-    return quotes, depth[0], depth[1]
+def scan(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """At each byte: the quotes up to it, and what a bracket there does to the depth."""
+    text = np.frombuffer(raw, np.uint8)
+    quote, back = text == ord('"'), text == ord("\\")
+    if back.any():
+        place = np.arange(len(text))
+        plain = np.maximum.accumulate(np.where(back, -1, place))
+        odd = (place - plain) & 1  # ends a run of backslashes of odd length
+        quote[1:] &= odd[:-1] == 0
+    step = ((text == ord("{")) | (text == ord("["))).astype(np.int8) - ((text == ord("}")) | (text == ord("]")))
+    return np.cumsum(quote), step
+
+
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[tuple, bytes]]:
+    """The text of each block in a batch, with the block's other columns."""
+    if not batch.num_rows:
+        return
+    values = batch.column(0).to_pylist()
+    block = batch.column(2).to_numpy()
+    file = batch.column(1).dictionary_encode().indices.to_numpy()
+    cuts = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (file[1:] != file[:-1]), True])
+    for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        yield tuple(c[s].as_py() for c in batch.columns[1:]), ("}".join(values[s:e]) + "}").encode()
 
 
 def _summaries(batches):
+    """One SUMMARY row for each block."""
     key, total = None, None
     for batch in batches:
         out = []
-        for value, *now in zip(*(c.to_pylist() for c in batch.columns)):
+        for now, raw in _chunks(batch):
             if now != key:
                 if key:
                     out.append((*key, *total))
-                key, total = now, (value.lstrip("\ufeff \t\r\n")[:1], 0, 0, 0)
-            quotes, outside, inside = scan(value + "}")
-            opens, q, a, b = total
-            if q & 1:
-                outside, inside = inside, outside
-            total = opens, q + quotes, a + outside, b + inside
+                key, total = now, (raw.lstrip(b"\xef\xbb\xbf \t\r\n")[:1].decode("utf-8", "replace"), 0, 0, 0)
+            quotes, step = scan(raw)
+            opens, before, outside, inside = total
+            odd = quotes & 1 == 1
+            sums = int(step[~odd].sum()), int(step[odd].sum())
+            total = opens, before + int(quotes[-1]), outside + sums[before & 1], inside + sums[1 - (before & 1)]
         if out:
             yield _batch(out, SUMMARY)
     if key:
@@ -93,51 +106,38 @@ def _states(summaries: DataFrame) -> DataFrame:
         "file", "base", F.inline("starts"))
 
 
-def _first_object(text: str, depth: int, quoted: bool) -> tuple[int, int, bool]:
-    """Where the first object of a text between records begins (-1: nowhere), and the state there."""
-    for mark in MARKS.finditer(text):
-        if mark[0] == '"':
-            quoted = not quoted
-        elif not quoted and mark[0] == "{":
-            return mark.start(), depth, quoted
-        elif not quoted and mark[0] in STEP:
-            depth += STEP[mark[0]]
-    return -1, depth, quoted
-
-
 def _records(batches):
     """Whole records of each block, and the pieces of those that cross its edges."""
-    key, held, middle, depth, quoted = None, [], False, 0, False
-    out: list[tuple] = []
-
-    def close():
-        if held:
-            out.append((*key, REST if middle else TAIL, "".join(held)))
+    key, held, middle, depth, quoted = None, b"", False, 0, 0
     for batch in batches:
-        for value, file, block, base, start, open_string in zip(*(c.to_pylist() for c in batch.columns)):
-            if [file, block] != key:
-                close()
-                key, held, depth, quoted = [file, block], [], start, open_string
-                middle = depth > base  # the block starts inside of a record
-            if not held and not middle:  # between records: skip brackets, commas and values that are no objects
-                begin, depth, quoted = _first_object(value, depth, quoted)
-                if begin < 0 or depth != base:
-                    continue
-                value = value[begin:]
-            piece = value + "}"
-            held.append(piece)
-            quotes, outside, inside = scan(piece)
-            depth += inside if quoted else outside
-            quoted ^= bool(quotes & 1)
-            if depth == base and not quoted:
-                out.append((*key, REST if middle else RECORD, "".join(held)))
-                held, middle = [], False
+        out: list[tuple] = []
+        for (file, block, base, start, open_string), raw in _chunks(batch):
+            if key != (file, block):
+                if held:
+                    out.append((*key, REST if middle else TAIL, held.decode()))
+                # A block that starts inside of a record ends that one first.
+                key, held, middle, depth, quoted = (file, block), b"", start > base, start, int(open_string)
+            quotes, step = scan(raw)
+            outside = (quotes + quoted) & 1 == 0
+            levels = depth + np.cumsum(np.where(outside, step, 0))
+            text = np.frombuffer(raw, np.uint8)
+            begins = np.flatnonzero((text == ord("{")) & outside & (levels == base + 1))
+            ends = np.flatnonzero((text == ord("}")) & outside & (levels == base)) + 1
+            depth, quoted = int(levels[-1]), (quoted + int(quotes[-1])) & 1
+            at, within = 0, bool(held) or middle
+            for end in ends.tolist():
+                if not within:
+                    at = int(begins[np.searchsorted(begins, at)])
+                out.append((*key, REST if middle else RECORD, (held + raw[at:end]).decode()))
+                at, held, middle, within = end, b"", False, False
+            if within:
+                held += raw[at:]
+            elif depth > base and (k := np.searchsorted(begins, at)) < len(begins):
+                held = raw[int(begins[k]):]
         if out:
             yield _batch(out, PIECE)
-            out.clear()
-    close()
-    if out:
-        yield _batch(out, PIECE)
+    if held:
+        yield _batch([(*key, REST if middle else TAIL, held.decode())], PIECE)
 
 
 def read_array(spark: SparkSession, path: str, schema: str, **options: str) -> DataFrame:
