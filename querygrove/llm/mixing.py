@@ -20,7 +20,7 @@ An empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querygrove.session import write_and_read
@@ -79,21 +79,22 @@ def budgets(leaves: DataFrame, budget: Column, max_epochs: int, weights: dict) -
     return out.select(*LEVELS, "tokens", F.col("share").cast("long").alias("share"))
 
 
-def _order(epoch: Column, doc_id: Column, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), epoch, doc_id)
+def _order(epoch: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), epoch, F.col("doc_id"), F.col("d"))
 
 
 def _with_tokens(docs: DataFrame, domain: Column) -> DataFrame:
     return docs.select(F.struct("*").alias("row")).select(
         "row", F.struct(domain.alias("domain"), F.col("row.lang").alias("lang"), F.col("row.source").alias("source"))
-        .alias("leaf"), F.size(words(F.col("row.text"))).cast("long").alias("n"))
+        .alias("leaf"), F.size(words(F.col("row.text"))).cast("long").alias("n"), F.xxhash64("row.text").alias("d"))
 
 
 def cuts(rows: DataFrame, budget_percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EPOCHS,
          weights: dict = WEIGHTS, seed: int = SEED) -> DataFrame:
     """One row per leaf: its share, whole epochs, and where the last epoch is cut.
 
-    ``rows`` is a stored table of leaf, n (tokens) and doc_id.
+    ``rows`` is a stored table of leaf, n (tokens), doc_id and d (digest of the text).  Rows that are equal in all of
+    them meet the cut together: ``part`` is what they give in all.
     """
     leaves = write_and_read(rows.groupBy("leaf").agg(F.sum("n").alias("tokens"), F.count("*").alias("rows")), "leaves")
     total, count = leaves.agg(F.sum("tokens"), F.sum("rows")).first()
@@ -104,29 +105,38 @@ def cuts(rows: DataFrame, budget_percent: int = BUDGET_PERCENT, max_epochs: int
         F.when(F.col("tokens") > 0, F.expr("share div tokens")).otherwise(0).alias("epochs"),
         F.when(F.col("tokens") > 0, F.expr("share % tokens")).otherwise(0).alias("rest")), "plan")
     ordered = rows.join(plan.filter("rest > 0"), "leaf").select(
-        "leaf", "n", "rest", F.coalesce("doc_id", F.lit(-1)).alias("doc_id"),
-        _order(F.col("epochs"), F.col("doc_id"), seed).alias("key")).withColumn(
+        "leaf", "n", "rest", F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "d",
+        _order(F.col("epochs"), seed).alias("key")).withColumn(
         "bucket", F.shiftright("key", 64 - max(1, buckets.bit_length() - 1)))
     sums = ordered.groupBy("leaf", "bucket", "rest").agg(F.sum("n").alias("b")).selectExpr(
         "leaf", "bucket", "rest", "b", "sum(b) OVER (PARTITION BY leaf ORDER BY bucket) - b AS before")
     cut_bucket = sums.filter("before < rest AND before + b >= rest").select("leaf", "bucket", "before")
     near = ordered.join(cut_bucket, ["leaf", "bucket"])
-    inside = near.selectExpr("*", "before + sum(n) OVER (PARTITION BY leaf, bucket ORDER BY key, doc_id, n"
-                             " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto")
-    last = inside.filter("upto - n < rest AND upto >= rest").select(
-        "leaf", F.struct("key", "doc_id", "n").alias("cut"), (F.col("rest") - F.col("upto") + F.col("n")).alias("part"))
-    last = last.groupBy("leaf").agg(F.min("cut").alias("cut"), F.min_by("part", "cut").alias("part"))
+    alike = near.groupBy("leaf", "bucket", "rest", "before", "key", "doc_id", "d", "n").agg(F.count("*").alias("c"))
+    inside = alike.selectExpr("*", "before + sum(n * c) OVER (PARTITION BY leaf, bucket ORDER BY key, doc_id, d, n"
+                              " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto")
+    last = inside.filter("upto - n * c < rest AND upto >= rest").select(
+        "leaf", F.struct("key", "doc_id", "d", "n").alias("cut"), "c",
+        (F.col("rest") - F.col("upto") + F.col("n") * F.col("c")).alias("part"))
     return write_and_read(plan.join(last, "leaf", "left").select(
-        F.to_json("leaf").alias("leaf_key"), "share", "epochs", "cut", "part"), "cuts")
+        F.to_json("leaf").alias("leaf_key"), "share", "epochs", "cut", "c", "part"), "cuts")
 
 
 def _taken(rows: DataFrame, cut: DataFrame, seed: int) -> DataFrame:
     """Adds ``epochs`` (whole ones) and ``part`` (tokens of the last), by comparing each row with its leaf's cut."""
-    at = F.struct(_order(F.col("epochs"), F.col("doc_id"), seed).alias("key"),
-                  F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.col("n").alias("n"))
-    found = rows.withColumn("leaf_key", F.to_json("leaf")).join(cut.withColumnRenamed("part", "cut_part"), "leaf_key")
-    return found.withColumn("at", at).withColumn("part", F.when(F.col("at") < F.col("cut"), F.col("n")).when(
-        F.col("at") == F.col("cut"), F.col("cut_part")).otherwise(0)).drop("at", "cut", "cut_part", "leaf_key")
+    at = F.struct(_order(F.col("epochs"), seed).alias("key"), F.coalesce("doc_id", F.lit(-1)).alias("doc_id"),
+                  F.col("d").alias("d"), F.col("n").alias("n"))
+    found = rows.withColumn("leaf_key", F.to_json("leaf")).join(cut.withColumnRenamed("part", "cut_part"), "leaf_key"
+                                                                ).withColumn("at", at)
+    part = F.when(F.col("at") < F.col("cut"), F.col("n")).when(F.col("at") == F.col("cut"), F.col("cut_part")).otherwise(0)
+    gone = ["at", "cut", "c", "cut_part", "leaf_key"]
+    if not cut.filter("c > 1").head(1):
+        return found.withColumn("part", part).drop(*gone)
+    # Equal rows at a cut: the first ones whole, one in part, the rest not.
+    tied = F.coalesce((F.col("c") > 1) & (F.col("at") == F.col("cut")), F.lit(False))
+    before = (F.row_number().over(Window.partitionBy("leaf_key").orderBy("n")) - 1) * F.col("n")
+    shared = found.filter(tied).withColumn("part", F.greatest(F.lit(0), F.least(F.col("n"), F.col("cut_part") - before)))
+    return found.filter(~tied).withColumn("part", part).unionByName(shared).drop(*gone)
 
 
 def mix(docs: DataFrame, domain: Column | None = None, budget_percent: int = BUDGET_PERCENT,
@@ -134,7 +144,7 @@ def mix(docs: DataFrame, domain: Column | None = None, budget_percent: int = BUD
     """One row per document: doc_id, domain, lang, source, n_tokens, full_epochs, last_tokens, taken_tokens."""
     domain = domain_of(F.col("row.source")) if domain is None else domain
     rows = write_and_read(_with_tokens(docs, domain).select(
-        F.col("row.doc_id").cast("long").alias("doc_id"), "leaf", "n"), "tokens")
+        F.col("row.doc_id").cast("long").alias("doc_id"), "leaf", "n", "d"), "tokens")
     taken = _taken(rows, cuts(rows, budget_percent, max_epochs, weights, seed), seed)
     return taken.select("doc_id", "leaf.domain", "leaf.lang", "leaf.source", F.col("n").alias("n_tokens"),
                         F.col("epochs").cast("long").alias("full_epochs"), F.col("part").cast("long").alias("last_tokens"),
@@ -146,7 +156,7 @@ def mixed(docs: DataFrame, domain: Column | None = None, budget_percent: int = B
     """``docs`` as the mix takes them: a row for each epoch, the last one cut to its tokens."""
     domain = domain_of(F.col("row.source")) if domain is None else domain
     rows = _with_tokens(docs, domain).withColumn("doc_id", F.col("row.doc_id").cast("long"))
-    stored = write_and_read(rows.select("doc_id", "leaf", "n"), "tokens")
+    stored = write_and_read(rows.select("doc_id", "leaf", "n", "d"), "tokens")
     taken = _taken(rows, cuts(stored, budget_percent, max_epochs, weights, seed), seed)
     times = F.concat(F.when(F.col("epochs") > 0, F.array_repeat("n", F.col("epochs").cast("int"))).otherwise(
         F.array().cast("array<bigint>")), F.when(F.col("part") > 0, F.array("part")).otherwise(

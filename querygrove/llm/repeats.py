@@ -23,9 +23,10 @@ grams with more than ``hot`` different surroundings.  Both ways give the same
 repeats; the sample only chooses between them.  Equality of surroundings is
 judged by 128 hash bits.
 
-Null and empty texts have no bytes and lose none.  Rows that share an id are
-versions of one document: they never repeat each other at the same place, and
-what is found in one is taken from all.  A null id comes before all others.
+Null and empty texts have no bytes and lose none.  A null id comes before all
+others.  Rows that share an id, null or not, are documents of their own, in the
+order of a digest of their text.  Texts are read whole, however long.  Repeated
+rows lose all but the first.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -337,6 +338,21 @@ def _union(found: list[dict] | None, width: int) -> list[tuple[int, int]]:
     return [(a, e) for a, e in out]
 
 
+def numbered(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame | None:
+    """``docs`` with ``_i``, rising with the id and then a digest of the text; None where ids are there and differ.
+
+    The ids alone decide; only where some are shared or null is a copy of the rows stored.
+    """
+    ids = docs.select(F.col(doc_id).cast("long").alias("i")).groupBy("i").agg(F.count("*").alias("n"))
+    if not ids.filter("n > 1 OR i IS NULL").head(1):
+        return None
+    order = ["_id", "_d", "_e"]
+    rows = docs.select("*", F.col(doc_id).cast("long").alias("_id"), F.xxhash64(text).alias("_d"), F.xxhash64(F.lit(7), text).alias("_e"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return write_and_read(sorted_.withColumn("_i", F.monotonically_increasing_id()).drop(*order), "numbered")
+
+
 def removals(docs: DataFrame, width: int = WIDTH, hot: int = HOT, text: str = "text", doc_id: str = "doc_id",
              as_text: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``row`` (all columns) with n_bytes, spans (array of start, end) and kept of every document.
@@ -345,6 +361,9 @@ def removals(docs: DataFrame, width: int = WIDTH, hot: int = HOT, text: str = "t
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    columns = docs.columns
+    if (own := numbered(docs, text, doc_id)) is not None:
+        docs, doc_id = own, "_i"
     rows = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t"))
     common = spark.sparkContext.broadcast(common_grams(rows, width, hot_rows))
     sent = rows.mapInArrow(_send_runs(width, common), RUN)
@@ -352,7 +371,7 @@ def removals(docs: DataFrame, width: int = WIDTH, hot: int = HOT, text: str = "t
     found = write_and_read(by_gram.mapInArrow(_second_digit(hot), FOUND), "runs")
 
     # Both joins below read the same exchange of texts.
-    texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(FIRST_ID)).alias("i"), F.struct("*").alias("row")
+    texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(FIRST_ID)).alias("i"), F.struct(*columns).alias("row")
                         ).repartition(parts, "i")
     open_runs = found.filter("open > 0").groupBy("doc").agg(
         F.collect_list(F.struct("at", "n", "lead", "open", "gram")).alias("found")).withColumnRenamed("doc", "i")

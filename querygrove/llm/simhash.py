@@ -23,9 +23,10 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from querygrove.operators.joins import hot_salted_lookup
 from querygrove.session import write_and_read
 
 from .common import groups_of
@@ -57,14 +58,18 @@ def fingerprint(text: str | None, n: int) -> int:
     return int(np.packbits(2 * votes > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp) of every row; fp is the signed long of the 64 bits."""
+def fingerprints(docs: DataFrame, shingle: int = 4, text: str = "text", doc_id: str = "doc_id",
+                 numbers: tuple[Column, ...] = ()) -> DataFrame:
+    """(doc_id, fp) of every row; fp is the signed long of the 64 bits.  ``numbers`` come along as k0, k1 and so on."""
+    names = ["doc_id", "fp", *[f"k{i}" for i in range(len(numbers))]]
+
     def run(batches):
         for batch in batches:
             fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], names=names)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"),
+                       *[n.cast("long") for n in numbers])
+    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _blocks(n: int, max_bits: int) -> int:
@@ -221,12 +226,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, shard_
     named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     all_names = distinct.join(roots.join(named, "root").select("fp", "component_id"), "fp", "left").select(
         "fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(all_names, "fp").select("doc_id", "fp", "component_id")
+    return hot_salted_lookup(rows, all_names, ["fp"], "inner").select("doc_id", "fp", "component_id")
 
 
 def kept_of_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """One row of each component: that with the smallest id (and of rows sharing it, one)."""
-    found = near_duplicates(docs, shingle, max_bits).filter("doc_id <=> component_id").select(
-        F.col("doc_id").alias("_keep")).distinct()
-    ids = docs.join(found, docs["doc_id"].eqNullSafe(found["_keep"]), "left_semi")
-    return ids.dropDuplicates(["doc_id"])
+    """One row of each component: that with the smallest id, null ids last.
+
+    Rows that share an id are told apart by digests of their text and of the
+    whole row, so none stands for another; of rows that are equal in every
+    column one stays.
+    """
+    numbers = (F.xxhash64("text"), F.xxhash64(F.lit(7), "text"), F.xxhash64(F.to_json(F.struct(*[docs[c] for c in docs.columns]))))
+    key = ["doc_id", "k0", "k1", "k2"]
+    rows = write_and_read(fingerprints(docs, shingle, numbers=numbers), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), *key)
+    best = write_and_read(rows.groupBy("fp").agg(F.min(order).alias("best")), "distinct")
+    roots = components(links(best.select("fp"), max_bits, SHARD_ROWS)).withColumnRenamed("node", "fp")
+    kept = best.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(
+        F.min("best").alias("best")).select(*[F.col(f"best.{c}").alias(f"_{c}") for c in key])
+    marked = docs.select("*", *[n.alias(f"_own{i}") for i, n in enumerate(numbers)])
+    same = marked["doc_id"].cast("long").eqNullSafe(kept["_doc_id"])
+    for i in range(len(numbers)):
+        same = same & (marked[f"_own{i}"] == kept[f"_k{i}"])
+    chosen = marked.join(kept, same, "left_semi")
+    return chosen.dropDuplicates(["doc_id", *[f"_own{i}" for i in range(len(numbers))]]).select(*docs.columns)

@@ -11,7 +11,8 @@ def odd_docs(spark):
     rows = [(1, copy, "en", "src1", None, "a"), (2, copy, "en", "src0", 3, "b"), (2, copy, "en", "src0", 3, "b"),
             (3, None, None, None, None, None), (4, "", "de", "src2", 0, None), (5, " \n\t ", "de", "src2", 4, None),
             (None, copy + " tail", "en", None, None, None), (6, long, "en", "src0", None, "c"),
-            (7, "é" * 150 + " " + copy, "fr", "none", None, None)]
+            (7, "é" * 150 + " " + copy, "fr", "none", None, None), (None, "Quite another text that nothing else repeats at all.", None, None, 9, "d"),
+            (2, "A second text under an id that others have too, with words of its own: " + " ".join(f"z{k}" for k in range(60)), "en", "src0", 1, "e")]
     return spark.createDataFrame(rows, SCHEMA)
 
 

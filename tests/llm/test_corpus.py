@@ -60,10 +60,20 @@ def test_repeats_of_a_passage_in_most_texts(spark):
     assert sorted(map(tuple, repeats.digest(docs, hot_rows=200).collect())) == brute_repeats(rows)
 
 
-def test_repeats_of_odd_rows(odd_docs, no_docs):
+def test_repeats_of_odd_rows(spark, odd_docs, no_docs):
     got = repeats.without_repeats(odd_docs)
     assert got.columns == odd_docs.columns and got.count() == odd_docs.count()
-    assert {r.text for r in got.filter("doc_id = 2").collect()} == {""}
+    assert sorted(r.text[:8] for r in got.filter("doc_id = 2").collect()) == ["", "", "A second"]
+    assert {r.text for r in got.filter("doc_id IS NULL AND kept = 'd'").collect()} == {
+        r.text for r in odd_docs.filter("doc_id IS NULL AND kept = 'd'").collect()}
+    rng = np.random.default_rng(14)
+    rows = [(None if k % 5 == 0 else k // 3, "".join(rng.choice(list("ab"), rng.integers(90, 400)))) for k in range(40)]
+    rows += [(i, rows[0][1][:300] + t) for i, t in rows[:9]] + rows[:4]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = lambda t: int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64))
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1])))
+    want = Counter((order[i][0], *rest) for i, *rest in brute_repeats([(k, t) for k, (_, t) in enumerate(order)]))
+    assert Counter(map(tuple, repeats.digest(docs).collect())) == want
     assert repeats.digest(no_docs).count() == 0
 
 
@@ -126,7 +136,10 @@ def test_tree_links_all_pairs():
 def test_simhash_of_odd_rows(odd_docs, no_docs):
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(odd_docs).collect()}
     assert got[4] == got[5] == 3 and got[2] == 1
-    assert simhash.kept_of_groups(odd_docs).filter("doc_id IN (1, 2)").count() == 1
+    kept = simhash.kept_of_groups(odd_docs).collect()
+    assert sorted(
+        (r.doc_id, r.text[:8]) for r in kept if r.doc_id in (1, 2)) == [(1, "One two "), (2, "A second")]
+    assert [r.kept for r in kept if r.doc_id is None and r.kept] == ["d"]
     assert simhash.near_duplicates(no_docs).count() == 0
 
 
@@ -221,8 +234,13 @@ def test_mix_takes_its_shares(spark, sf_dir):
     assert words == taken.taken_tokens.sum()
 
 
-def test_mix_of_odd_rows(odd_docs, no_docs):
+def test_mix_of_odd_rows(spark, odd_docs, no_docs):
     assert mixing.mix(odd_docs).count() == odd_docs.count()
+    for texts in (["a b c d e"] * 10, [f"a b c d {k}" for k in range(10)]):
+        docs = spark.createDataFrame([(None, t, "en", "s") for t in texts], "doc_id long, text string, lang string, source string")
+        shares = [r.taken_tokens for r in mixing.mix(docs, budget_percent=66).collect()]
+        assert sum(shares) == 33 and sorted(shares) == [0] * 3 + [3] + [5] * 6
+        assert mixing.mixed(docs, budget_percent=66).select(F.sum(F.size(F.split("text", " ")))).first()[0] == 33
     assert mixing.mixed(odd_docs).columns == odd_docs.columns
     assert mixing.mix(no_docs).count() == 0
 
