@@ -69,7 +69,7 @@ FROM answers c
 """, "answers candidates")
 
 _view("responses", """
-SELECT d.doc_id AS resp_id, l.quality * 4 + l.toxic * 2 AS answer,
+SELECT d.doc_id AS resp_id, coalesce(l.quality, 0) * 4 + coalesce(l.toxic, 0) * 2 AS answer,
  CASE d.doc_id % 6
   WHEN 0 THEN '<reasoning>' || chr(10) || d.lang || chr(10) || '</reasoning>' || chr(10) || '<label>' || chr(10) || CAST(d.n_chars % 11 AS STRING) || chr(10) || '</label>'
   WHEN 1 THEN '<reasoning>' || d.lang || '</reasoning><label>' || CAST(d.n_chars % 11 AS STRING) || '</label>'
@@ -77,7 +77,7 @@ SELECT d.doc_id AS resp_id, l.quality * 4 + l.toxic * 2 AS answer,
   WHEN 3 THEN 'no tags ' || d.lang
   WHEN 4 THEN '<label>-1</label> then <label> 7 </label>'
   ELSE '<reasoning>' || chr(10) || 'a' || chr(10) || '</reasoning>' || chr(10) || '<reasoning>' || chr(10) || '</reasoning>' || chr(10) || '<label>' || chr(10) || '99' || chr(10) || '</label>' END AS response
-FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
 """)
 
 _view("rounds", """
