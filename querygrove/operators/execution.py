@@ -42,6 +42,7 @@ REFUSED = re.compile(r"\b(reflect|try_reflect|java_method|identifier|read_files)
 REFUSED_IN_PLAN = re.compile(r"\b(reflect|try_reflect|java_method|callmethodviareflection)\b", re.IGNORECASE)
 QUERY_START = re.compile(r"[\s(]*(select|with|values)\b", re.IGNORECASE)
 QUOTED_TEXT = re.compile(r"'[^']*'|\"[^\"]*\"")
+ORDERED = re.compile(r"\border\s+by\b", re.IGNORECASE)
 RELATION = re.compile(r"UnresolvedRelation \[([^\]]*)\]")
 COMMON_TABLES = re.compile(r"\bCTE \[([^\]]*)\]")
 
@@ -216,7 +217,7 @@ def set_equal_by_except(left: DataFrame, right: DataFrame) -> DataFrame:
                      .cast("int").alias("exec_res"))
 
 
-def _text_id(query: str) -> Column:
+def text_id(query: str) -> Column:
     """A fixed-width stand-in for a text of a database."""
     return F.md5(F.to_json(F.struct("db_id", F.col(query).alias("query"))).cast("binary"))
 
@@ -247,7 +248,7 @@ def with_shapes(queries: DataFrame, whole_if_ordered: bool = False) -> DataFrame
         whole = whole | F.col("query").rlike("(?i)\\border\\s+by\\b")
     named = rows.withColumn("_p", parts).withColumn("_whole", whole)
     return named.select(
-        "db_id", "query", _text_id("query").alias("text_id"),
+        "db_id", "query", text_id("query").alias("text_id"),
         F.when(F.col("_whole"), F.col("query")).otherwise(F.col("_p.shape")).alias("shape"),
         F.when(F.col("_whole"), F.array().cast("array<string>")).otherwise(F.transform("_p.literals", lambda x: F.regexp_replace(
             x, "^'|'$", ""))).alias("literals")).withColumn(
@@ -315,8 +316,9 @@ def _summaries(session: SparkSession, planned_shapes: list, texts: DataFrame, wi
     if with_preview:
         rows, chars = with_preview
         printed = union_all([_rows_of(shape, df, texts, session, [_printed(df, chars)]).withColumn(
-            "at", F.monotonically_increasing_id()) for shape, df in planned_shapes])
-        first = F.row_number().over(Window.partitionBy("text_id").orderBy("at"))
+            "at", F.monotonically_increasing_id() if ORDERED.search(shape.query) else F.lit(0).cast("bigint"))
+            for shape, df in planned_shapes])
+        first = F.row_number().over(Window.partitionBy("text_id").orderBy("at", "row"))
         lists = printed.withColumn("_rank", first).filter(F.col("_rank") <= rows).groupBy("text_id").agg(
             F.array_sort(F.collect_list(F.struct("at", "row"))).alias("shown"))
         out = out.join(lists, "text_id", "left").withColumn("preview", _preview_text(
@@ -409,6 +411,8 @@ def run_queries(spark: SparkSession, queries: DataFrame, tables: Tables, with_pr
 
     One row per text: the fingerprint of its result, a preview of its first
     rows if wanted, and the error if it failed.  Jobs run while this is called.
+    A text without an order has no first rows: its least rows as text are
+    shown, which a retried task shows again.
     There is no time limit unless ``seconds`` sets one for a batch, and then
     for each shape and text of a batch that took longer.
     """
@@ -440,6 +444,18 @@ def syntax_checks(spark: SparkSession, queries: DataFrame, tables: Tables) -> Da
     return syntax_of(run_queries(spark, queries, tables))
 
 
+def with_results(rows: DataFrame, results: DataFrame, query: str = "generated_query") -> DataFrame:
+    """Adds ``syntax_check`` (1.0 where the query ran) and ``formatted_result``, its preview or its error.
+
+    Joined by a digest of the text; a text that a third of the rows share is
+    split by Spark's skew join.  A null query did not run and shows nothing.
+    """
+    found = results.select(text_id("query").alias("_id"), F.col("error").isNull().cast("double").alias("syntax_check"),
+                           F.col("preview").alias("formatted_result"))
+    joined = rows.withColumn("_id", text_id(query)).join(found, "_id", "left").drop("_id")
+    return joined.na.fill(0.0, ["syntax_check"]).na.fill("", ["formatted_result"])
+
+
 def syntax_of(results: DataFrame) -> DataFrame:
     """``db_id, query, syntax_check, error`` from the results of a run."""
     return results.select("db_id", "query", F.col("error").isNull().cast("double").alias("syntax_check"), "error")
@@ -457,8 +473,8 @@ def labelled(rows: DataFrame, results: DataFrame, query: str = "generated_query"
     fields = ["n_columns", "n_distinct", "x1", "x2", "error"]
     out = rows
     for side, column in (("p", query), ("g", gold)):
-        named = results.select(_text_id("query").alias("_id"), *[F.col(c).alias(f"_{side}_{c}") for c in fields])
-        out = out.withColumn("_id", _text_id(column)).join(named, "_id", "left")
+        named = results.select(text_id("query").alias("_id"), *[F.col(c).alias(f"_{side}_{c}") for c in fields])
+        out = out.withColumn("_id", text_id(column)).join(named, "_id", "left")
     same = F.col("_p_n_distinct") > 0
     for c in fields[:-1]:
         same = same & (F.col(f"_p_{c}") == F.col(f"_g_{c}"))

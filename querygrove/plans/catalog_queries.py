@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import catalog
+from ..session import write_and_read
 from . import fixtures as fx
 from .registry import query
 
@@ -59,7 +60,8 @@ def lake(spark, sf_dir):
 
 
 def lake_metadata(spark, sf_dir):
-    columns, keys = lake(spark, sf_dir)
+    columns, _ = lake(spark, sf_dir)
+    keys = catalog.stored_keys(fx.stored(spark, sf_dir, "lake_keys"), columns)
     stats = fx.stored(spark, sf_dir, "lake_profile").withColumn("examples", F.array("low_value", "high_value"))
     return columns, keys, catalog.enriched(columns, keys, fx.stored(spark, sf_dir, "lake_descriptions"), stats)
 
@@ -96,8 +98,9 @@ def subselect(spark, sf_dir):
 @query("cat_connections", _duck("lake_columns lake_keys lake_requests", f"{PK},\n{SELECTED},\n{CONNECTED}",
                                 "SELECT db_id, table_name, column_name FROM conn"))
 def connections(spark, sf_dir):
-    columns, keys = lake(spark, sf_dir)
-    return catalog.connections(selection(spark, sf_dir), columns, keys)
+    columns, _ = lake(spark, sf_dir)
+    keys = catalog.stored_keys(fx.stored(spark, sf_dir, "lake_keys"), columns)
+    return catalog.connections(write_and_read(selection(spark, sf_dir), "selection"), columns, keys)
 
 
 @query("cat_from_records", _duck("lake_columns lake_descriptions", """lists AS (SELECT db_id, table_name, list(column_name ORDER BY ordinal) AS columns

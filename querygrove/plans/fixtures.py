@@ -125,6 +125,14 @@ UNION ALL SELECT 'db1' AS db_id, cat_keys.* FROM cat_keys
 UNION ALL SELECT 'db2' AS db_id, cat_keys.* FROM cat_keys
 """, "cat_keys")
 
+# Counts of each column of those databases, which hold the same tables.
+_PROFILED = [(t, c) for t, names in {
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice", "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+    "nation": "n_nationkey n_name n_regionkey", "region": "r_regionkey r_name"}.items() for c in names.split()]
+_view("db_profile", "SELECT d.db_id, p.* FROM (SELECT DISTINCT db_id FROM db_columns) d CROSS JOIN (" + " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, count({c}) AS n_nonnull, count(DISTINCT {c}) AS n_distinct, "
+    f"count(*) - count({c}) AS n_null FROM {t}" for t, c in _PROFILED) + ") p", "db_columns")
+
 # A catalog of many databases, one per supplier: part types as tables, brands
 # as columns, with the name forms the column rules look for.
 _view("lake_columns", """

@@ -1,7 +1,8 @@
 """From recorded candidates to training rows, in two stored stages.
 
-Stage one: filter list, deduplication, scores; the scored table is written.
-Stage two: sample, cap per question, points, schema text, prompt, split.
+Stage one: filter list, deduplication, a run of every distinct query, scores
+and schema texts; the scored table is written.
+Stage two: sample, cap per question, points, prompt, split.
 """
 
 from __future__ import annotations
@@ -10,51 +11,80 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import prompts
-from ..operators import catalog, curation, sampling, scoring
-from ..operators.joins import hot_salted_lookup
+from ..operators import catalog, curation, execution, sampling, scoring
 from ..session import write_and_read
 
 SCORES = ["label", "syntax_check", "schema_linking", "ngram_jaccard"]
+SCORED_ROW = ["cand_id", "db_id", "question", "evidence", "gold_query", "generated_query", "schema", *SCORES,
+              "formatted_result"]
 
 
-def scored_candidates(candidates: DataFrame, columns: DataFrame, filter_list: DataFrame | None = None,
-                      keys: tuple[str, ...] = ("db_id", "question"),
-                      order: tuple[str, ...] = ("source_model", "cand_id")) -> DataFrame:
-    """Distinct candidates with their scores; ``syntax_check`` comes with the rows."""
+def with_ordinals(columns: DataFrame) -> DataFrame:
+    """``columns`` with a place in their table: the catalog's, or by name where it gives none."""
+    if "ordinal" in columns.columns:
+        return columns
+    return columns.withColumn("ordinal", F.row_number().over(
+        Window.partitionBy("db_id", "table_name").orderBy("column_name")))
+
+
+def schemas(queries: DataFrame, columns: DataFrame, keys: DataFrame, profile: DataFrame | None = None) -> DataFrame:
+    """``db_id, query, schema_text``: the tables and columns that each distinct query names, with remarks from the
+    profile.  Jobs run while this is called."""
+    placed = with_ordinals(columns)
+    resolved = catalog.stored_keys(keys, placed)
+    metadata = catalog.enriched(placed, resolved, profile=profile) if profile is not None else None
+    return catalog.schema_text(scoring.columns_by_table(queries, columns), placed, resolved, metadata, by=("query",))
+
+
+def with_schemas(rows: DataFrame, texts: DataFrame, query: str = "generated_query") -> DataFrame:
+    """Adds ``schema`` from :func:`schemas`, null where the query names nothing.
+
+    Joined by a digest of the query, which leaves one that many rows share to
+    Spark's skew join.
+    """
+    named = texts.select(execution.text_id("query").alias("_id"), F.col("schema_text").alias("schema"))
+    return rows.withColumn("_id", execution.text_id(query)).join(named, "_id", "left").drop("_id")
+
+
+def scored_rows(candidates: DataFrame, columns: DataFrame, keys: DataFrame, tables: execution.Tables,
+                filter_list: DataFrame | None = None, profile: DataFrame | None = None,
+                by: tuple[str, ...] = ("db_id", "question"),
+                order: tuple[str, ...] = ("source_model", "cand_id")) -> DataFrame:
+    """Distinct candidates as :data:`SCORED_ROW`: every query is run, which gives its syntax check and its preview.
+
+    ``label`` comes with the rows.  Jobs run while this is called.
+    """
     rows = curation.drop_listed(candidates, filter_list) if filter_list is not None else candidates
-    distinct = curation.dedup_candidates(rows, list(keys), list(order))
+    distinct = write_and_read(curation.dedup_candidates(rows, list(by), list(order)), "distinct")
+    queries = write_and_read(scoring.distinct_queries(distinct), "queries")
+    results = execution.run_queries(distinct.sparkSession, queries, tables, with_preview=True)
+    run = execution.with_results(distinct, write_and_read(results, "results"))
     parsed = F.col("syntax_check") >= 1.0
-    return scoring.ngram_jaccard(scoring.schema_recall(distinct, columns, parsed))
+    scored = scoring.ngram_jaccard(scoring.schema_recall(run, columns, parsed))
+    return with_schemas(scored, schemas(queries, columns, keys, profile)).select(*SCORED_ROW)
 
 
-def training_rows(scored: DataFrame, columns: DataFrame, keys: DataFrame, fraction: float = 0.5,
-                  per_question: int = 5, test_share: float = 0.01, seed: int = 42,
-                  template: str = "score_query", results: str | None = None,
-                  metadata: DataFrame | None = None) -> DataFrame:
+def training_rows(scored: DataFrame, fraction: float = 0.5, per_question: int = 5, test_share: float = 0.01,
+                  seed: int = 42, template: str = "score_query") -> DataFrame:
     """Sampled, capped and rendered rows with their points and their split.
 
-    Schema texts are made once per distinct query that is left after the cap.
+    Rows without points, whose gold query names nothing, teach nothing and go.
+    The split is by the question's text, so that one text is never on both
+    sides, whatever its database.
     """
     points = scoring.composite(*[F.col(c) for c in SCORES])
     kept = sampling.sample_fraction(scored, ["cand_id"], fraction, seed)
-    capped = (sampling.cap_per_group(kept, ["question"], ["cand_id"], per_question, seed)
+    capped = (sampling.cap_per_group(kept, ["db_id", "question"], ["cand_id"], per_question, seed)
               .withColumn("answer", points).filter(F.col("answer").isNotNull()))
-    used = scoring.columns_by_table(scoring.distinct_queries(capped), columns)
-    ordinals = columns if "ordinal" in columns.columns else columns.withColumn("ordinal", F.row_number().over(
-        Window.partitionBy("db_id", "table_name").orderBy("column_name")))
-    texts = catalog.schema_text(used, ordinals, catalog.resolve_keys(keys, ordinals), metadata, by=("query",))
-    with_text = hot_salted_lookup(capped, texts.withColumnRenamed("query", "generated_query"),
-                              ["db_id", "generated_query"], "left")
     prompt = prompts.render(prompts.load_template(template), {
-        "DATABASE_SCHEMA": F.col("schema_text"), "QUESTION": F.col("question"), "HINT": F.col("evidence"),
-        "SQL": F.col("generated_query"), "RESULTS": F.col(results) if results else F.lit("")})
-    rendered = with_text.withColumn("user_prompt", prompt)
-    short = sampling.short_enough(rendered, "user_prompt")
+        "DATABASE_SCHEMA": F.col("schema"), "QUESTION": F.col("question"), "HINT": F.col("evidence"),
+        "SQL": F.col("generated_query"), "RESULTS": F.col("formatted_result")})
+    short = sampling.short_enough(capped.withColumn("user_prompt", prompt), "user_prompt")
     return sampling.split(short, ["question"], test_share, seed).select(
         "cand_id", "db_id", "question", "evidence", "gold_query", "answer",
         prompts.encode_messages(prompts.messages(F.col("user_prompt"))).alias("prompt"), "split")
 
 
-def run(candidates: DataFrame, columns: DataFrame, keys: DataFrame, filter_list: DataFrame) -> DataFrame:
-    scored = write_and_read(scored_candidates(candidates, columns, filter_list), "scored")
-    return training_rows(scored, columns, keys)
+def run(candidates: DataFrame, columns: DataFrame, keys: DataFrame, filter_list: DataFrame,
+        tables: execution.Tables, profile: DataFrame | None = None) -> DataFrame:
+    return training_rows(write_and_read(scored_rows(candidates, columns, keys, tables, filter_list, profile), "scored"))
