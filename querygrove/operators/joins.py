@@ -45,10 +45,15 @@ def hot_keys(facts: DataFrame, keys: list[str]) -> DataFrame:
 
     At most ``HOT_PARTS`` rows, and as many salts together, whatever the size of ``facts``.
     """
-    counts = facts.select(F.xxhash64(*keys).alias("_key")).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total")).scalar()
-    parts = F.ceil(F.col("_n") * HOT_PARTS / total).cast("int")
-    return counts.filter(F.col("_n") * HOT_PARTS > total).select("_key", parts.alias("_salts"))
+    return hot_counted(facts.groupBy(F.xxhash64(*keys).alias("_key")).agg(F.count(F.lit(1)).alias("_n")), None, "_n")
+
+
+def hot_counted(counts: DataFrame, keys: list[str] | None, count: str) -> DataFrame:
+    """:func:`hot_keys` of rows that are counted already, one row a key; without ``keys`` by its digest ``_key``."""
+    total = counts.agg(F.sum(count).alias("_total")).scalar()
+    parts = F.ceil(F.col(count) * HOT_PARTS / total).cast("int")
+    key = F.xxhash64(*keys).alias("_key") if keys else F.col("_key")
+    return counts.filter(F.col(count) * HOT_PARTS > total).select(key, parts.alias("_salts"))
 
 
 def hot_salted_lookup(facts: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left",

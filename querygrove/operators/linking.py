@@ -10,7 +10,7 @@ be stored beside them and checked on the same pairs.  Every step is keyed by
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -18,7 +18,7 @@ from ..functions import minhash
 from ..functions.text import let, strip
 from ..session import write_and_read
 from . import setjoin
-from .joins import hot_keys, hot_salted_lookup, salted_lookup, spread
+from .joins import hot_counted, hot_salted_lookup, salted_lookup, spread
 from .profiling import COLUMN
 
 # Which columns are indexed, and the limits of each step.
@@ -37,6 +37,8 @@ FALLING_PERCENTS = [80, 45]
 EDIT_THRESHOLD = 0.3
 EMBEDDING_THRESHOLD = 0.6
 NEAR_BEST = 0.9
+# How many files one database of a stored index has at most.
+FILES_PER_DATABASE = 8
 
 
 def eligible_columns(columns: DataFrame, keys: DataFrame) -> DataFrame:
@@ -80,7 +82,7 @@ def unique_values(distinct: DataFrame, eligible: DataFrame) -> DataFrame:
     return salted_lookup(distinct, eligible.select(*COLUMN), COLUMN, "inner")
 
 
-def _identity(*columns: str) -> Column:
+def identity(*columns: str) -> Column:
     """A fixed-width stand-in for texts in joins: a digest of all of them."""
     return F.md5(F.to_json(F.struct(*columns)).cast("binary"))
 
@@ -88,7 +90,7 @@ def _identity(*columns: str) -> Column:
 def value_index(values: DataFrame) -> DataFrame:
     """Adds the signature and the band keys of each value, and an identity."""
     return (spread(values, *COLUMN, "value")
-            .withColumn("value_id", _identity(*COLUMN, "value"))
+            .withColumn("value_id", identity(*COLUMN, "value"))
             .withColumn("signature", minhash.signature(F.col("value")))
             .withColumn("bands", minhash.bands(F.col("signature"))))
 
@@ -114,6 +116,15 @@ def probe_strings(keywords: DataFrame, keyword: str = "keyword") -> DataFrame:
     return rows.withColumn("substring", F.explode(every))
 
 
+def ranked_probes(probes: DataFrame, by: tuple[str, ...] = ("db_id", "keyword")) -> DataFrame:
+    """Adds ``probe_rank``: the longest text of a keyword first, equally long ones from the last in code point order.
+
+    A keyword has about two probes for each space in it, so no rank sorts more.
+    """
+    order = Window.partitionBy(*by).orderBy(F.desc(F.length("substring")), F.desc("substring"))
+    return probes.withColumn("probe_rank", F.row_number().over(order))
+
+
 def hint_parts(text: Column) -> tuple[Column, Column]:
     """Column and value of a ``column = value`` hint; nulls without one."""
     has = F.contains(text, F.lit("="))
@@ -125,7 +136,7 @@ def hint_parts(text: Column) -> tuple[Column, Column]:
 def probe_index(probes: DataFrame) -> DataFrame:
     """Each text to look up in a database once, with signature and bands."""
     return (spread(probes.select("db_id", "substring").distinct(), "db_id", "substring")
-            .withColumn("probe_id", _identity("db_id", "substring"))
+            .withColumn("probe_id", identity("db_id", "substring"))
             .withColumn("probe_signature", minhash.signature(F.col("substring")))
             .withColumn("probe_bands", minhash.bands(F.col("probe_signature"))))
 
@@ -134,10 +145,10 @@ def shingle_sets(values: DataFrame, probes: DataFrame) -> tuple[DataFrame, DataF
     """The probes (left_id, db_id, substring, tokens), the values (right_id, db_id, other columns of COLUMN, value,
     tokens), each once and stored, with tokens by rarity among the values of the database, and the rarity."""
     none = F.lit(None).cast("string")
-    named = values.select("db_id", _identity(*COLUMN, "value").alias("id"), none.alias("substring"), "table_name",
+    named = values.select("db_id", identity(*COLUMN, "value").alias("id"), none.alias("substring"), "table_name",
                           "column_name", "value", minhash.shingles(F.col("value")).alias("tokens"))
     asked = probes.select("db_id", "substring").distinct().select(
-        "db_id", _identity("db_id", "substring").alias("id"), "substring", none.alias("table_name"),
+        "db_id", identity("db_id", "substring").alias("id"), "substring", none.alias("table_name"),
         none.alias("column_name"), none.alias("value"), minhash.shingles(F.col("substring")).alias("tokens"))
     counts = setjoin.token_counts(named, "db_id")
     both = setjoin.rarest_first(named.unionByName(asked), counts, "db_id", "id")
@@ -201,10 +212,21 @@ def matches(keywords: DataFrame, values: DataFrame, limit: int = TOP_MATCHES,
     return salted_lookup(probes, found, ["db_id", "substring"], "inner")
 
 
-def levenshtein_similarity(left: Column, right: Column) -> Column:
+def levenshtein_similarity(left: Column, right: Column, at_least: float = 0.0) -> Column:
+    """One minus the distance of the lower-cased texts, relative to the longer one; null below ``at_least``.
+
+    With a bound only the band of the distance table that can stay within it is
+    filled, and texts whose lengths alone are too far apart are not compared.
+    """
     a, b = F.lower(left), F.lower(right)
     longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longest)
+    if at_least <= 0:
+        distance = F.levenshtein(a, b)
+    else:  # rounded up, so that the comparison below decides
+        budget = F.ceil(longest * F.lit(1 - at_least)).cast("int")
+        distance = F.nullif(F.call_function("levenshtein", a, b, budget), F.lit(-1))
+    score = F.when(longest == 0, F.lit(1.0)).otherwise(1 - distance / longest)
+    return F.when(score >= at_least, score) if at_least > 0 else score
 
 
 @F.pandas_udf(DoubleType())
@@ -219,12 +241,13 @@ def edit_filter(pairs: DataFrame, threshold: float = EDIT_THRESHOLD, blocks: boo
                 left: str = "substring", right: str = "similar_value") -> DataFrame:
     """Keeps pairs of enough edit similarity, and adds it.
 
-    The native measure is one minus the relative Levenshtein distance.
+    The native measure is one minus the relative Levenshtein distance, found in
+    a band that the threshold bounds.
     ``blocks`` takes the matching-blocks ratio instead, from Python's standard
     library in Arrow batches; at most ten pairs per probe reach it.
     """
-    measure = block_ratio if blocks else levenshtein_similarity
-    return (pairs.withColumn("edit_similarity", measure(F.col(left), F.col(right)))
+    a, b = F.col(left), F.col(right)
+    return (pairs.withColumn("edit_similarity", block_ratio(a, b) if blocks else levenshtein_similarity(a, b, threshold))
             .filter(F.col("edit_similarity") >= threshold))
 
 
@@ -248,15 +271,23 @@ def refine(entities: DataFrame, by: list[str]) -> DataFrame:
     """Keeps values near the best edit similarity of their column and, among
     those, near the best embedding similarity.
 
-    Best values are aggregates joined back with a salt, so one column with a
-    third of the rows is not sorted in one task.
+    One aggregate finds both bests: a group's steps are its different edit
+    similarities, each with the best embedding similarity at it, and the steps
+    near the best one are summed up.  Edit similarities are quotients of
+    lengths, so a group has few steps however many rows it has, and they are
+    combined before the shuffle.  The bests are stored with the group's size,
+    which tells the hot groups to salt in the one join back.  The entities are
+    read twice, to sum up and to filter.  Runs a job.
     """
-    hot = hot_keys(entities, by)
-    for score in ("edit_similarity", "embedding_similarity"):
-        best = entities.groupBy(*by).agg(F.max(score).alias("_best"))
-        entities = (hot_salted_lookup(entities, best, by, "inner", hot=hot)
-                    .filter(F.col(score) >= F.lit(NEAR_BEST) * F.col("_best")).drop("_best"))
-    return entities
+    edit, embedding = F.col("edit_similarity"), F.col("embedding_similarity")
+    steps = entities.groupBy(*by, edit).agg(F.max(embedding).alias("_embedding"), F.count(F.lit(1)).alias("_n"))
+    top = F.max(edit).over(Window.partitionBy(*by))
+    best = write_and_read(steps.withColumn("_edit", top).groupBy(*by).agg(
+        F.first("_edit").alias("_edit"), F.sum("_n").alias("_n"),
+        F.max(F.when(edit >= F.lit(NEAR_BEST) * F.col("_edit"), F.col("_embedding"))).alias("_embedding")), "bests")
+    joined = hot_salted_lookup(entities, best.drop("_n"), by, "inner", hot=hot_counted(best, by, "_n"))
+    return joined.filter((edit >= F.lit(NEAR_BEST) * F.col("_edit")) & (
+        embedding >= F.lit(NEAR_BEST) * F.col("_embedding"))).drop("_edit", "_embedding")
 
 
 def similar_entities(keywords: DataFrame, index: DataFrame, vectors: DataFrame,
@@ -281,8 +312,13 @@ def match_map(entities: DataFrame, by: list[str]) -> DataFrame:
 
 
 def write_index(index: DataFrame, path: str) -> None:
-    """Stores an index by database.  Runs one job."""
-    index.write.mode("overwrite").partitionBy("db_id").parquet(path)
+    """Stores an index by database, in at most ``FILES_PER_DATABASE`` files each.  Runs one job.
+
+    :mod:`.value_store` keeps one that grows.
+    """
+    part = F.pmod(F.xxhash64("value_id"), F.lit(FILES_PER_DATABASE))
+    partitions = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index.repartition(partitions, "db_id", part).write.mode("overwrite").partitionBy("db_id").parquet(path)
 
 
 def read_index(spark, path: str, db_ids: list[str] | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import write_and_read
-from .joins import HOT_PARTS, hot_salted_lookup, union_all
+from .joins import hot_counted, hot_salted_lookup, union_all
 
 
 def token_counts(sets: DataFrame, by: str, tokens: str = "tokens") -> DataFrame:
@@ -24,10 +24,7 @@ def token_counts(sets: DataFrame, by: str, tokens: str = "tokens") -> DataFrame:
 
 def _hot(counts: DataFrame, by: str) -> DataFrame:
     """Tokens that a large part of all sets' tokens are, as :func:`.joins.hot_keys` would find them."""
-    total = counts.agg(F.sum("held").alias("n")).scalar()
-    parts = F.ceil(F.col("held") * HOT_PARTS / total).cast("int")
-    return counts.filter(F.col("held") * HOT_PARTS > total).select(
-        F.xxhash64(by, "token").alias("_key"), parts.alias("_salts"))
+    return hot_counted(counts, [by, "token"], "held")
 
 
 def rarest_first(sets: DataFrame, counts: DataFrame, by: str, key: str, tokens: str = "tokens") -> DataFrame:
@@ -44,15 +41,31 @@ def rarest_first(sets: DataFrame, counts: DataFrame, by: str, key: str, tokens:
     return write_and_read(ordered.select(by, key, *[f"_rest.{c}" for c in rest], tokens), "token-sets")
 
 
-def _least(percent: int, size: Column) -> Column:
+def least(percent: int, size: Column) -> Column:
     """The least overlap with any similar set: ``percent`` of the size, rounded up."""
     return F.floor((size * percent + 99) / 100)
 
 
-def _prefixes(sets: DataFrame, by: str, key: str, percent: int, side: str) -> DataFrame:
+def prefixes(sets: DataFrame, by: str, key: str, percent: int, side: str) -> DataFrame:
+    """The first tokens of each set, enough to meet every set that is ``percent`` alike, with their place and its size."""
     size = F.size("tokens")
     return sets.select(by, key, size.alias(f"{side}_size"), F.posexplode(
-        F.slice("tokens", F.lit(1), (size - _least(percent, size) + 1).cast("int"))).alias(f"{side}_at", "token"))
+        F.slice("tokens", F.lit(1), (size - least(percent, size) + 1).cast("int"))).alias(f"{side}_at", "token"))
+
+
+def may_be_alike(percent: int) -> Column:
+    """Whether the sizes of two sets and the places of a token that both prefixes have allow ``percent``."""
+    a, b = F.col("left_size"), F.col("right_size")
+    sizes = (a * 100 >= b * percent) & (b * 100 >= a * percent)
+    overlap = F.least(a - F.col("left_at"), b - F.col("right_at"))  # at most, if this is the first shared token
+    return sizes & (overlap * (100 + percent) >= (a + b) * percent)
+
+
+def compared(both: DataFrame, percent: int) -> DataFrame:
+    """Pairs with the tokens of both sides as ``_a`` and ``_b``: those that are ``percent`` alike, as ``common`` of ``either``."""
+    sized = both.withColumn("common", F.size(F.array_intersect("_a", "_b"))).withColumn(
+        "either", F.size("_a") + F.size("_b") - F.col("common"))
+    return sized.filter(F.col("common") * 100 >= F.col("either") * percent).drop("_a", "_b")
 
 
 def candidates(left: DataFrame, right: DataFrame, counts: DataFrame, by: str, percent: int) -> DataFrame:
@@ -60,14 +73,10 @@ def candidates(left: DataFrame, right: DataFrame, counts: DataFrame, by: str, pe
 
     Both sides are ordered by :func:`rarest_first` under ``counts``, which hold the tokens of the right side.
     """
-    values = _prefixes(right, by, "right_id", percent, "right")
-    probes = _prefixes(left, by, "left_id", percent, "left")
+    values = prefixes(right, by, "right_id", percent, "right")
+    probes = prefixes(left, by, "left_id", percent, "left")
     met = hot_salted_lookup(values, probes, [by, "token"], "inner", hot=_hot(counts, by))
-    a, b = F.col("left_size"), F.col("right_size")
-    sizes = (a * 100 >= b * percent) & (b * 100 >= a * percent)
-    overlap = F.least(a - F.col("left_at"), b - F.col("right_at"))  # at most, if this is the first shared token
-    places = overlap * (100 + percent) >= (a + b) * percent
-    return met.filter(sizes & places).select("left_id", "right_id").distinct()
+    return met.filter(may_be_alike(percent)).select("left_id", "right_id").distinct()
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, counts: DataFrame, by: str, percent: int) -> DataFrame:
@@ -79,9 +88,7 @@ def similar_pairs(left: DataFrame, right: DataFrame, counts: DataFrame, by: str,
     pairs = candidates(left, right, counts, by, percent)
     both = pairs.join(right.withColumnRenamed("tokens", "_b"), "right_id").join(
         left.drop(by).withColumnRenamed("tokens", "_a"), "left_id")
-    sized = both.withColumn("common", F.size(F.array_intersect("_a", "_b"))).withColumn(
-        "either", F.size("_a") + F.size("_b") - F.col("common"))
-    return sized.filter(F.col("common") * 100 >= F.col("either") * percent).drop("_a", "_b")
+    return compared(both, percent)
 
 
 def closest_pairs(left: DataFrame, right: DataFrame, counts: DataFrame, by: str, limit: int, percents: list[int],

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import minhash
-from ..operators import linking, profiling
+from ..operators import linking, profiling, value_store
 from ..session import fresh_path, write_and_read
 from . import fixtures as fx
 from .registry import query
@@ -146,6 +146,13 @@ def probe_strings(spark, sf_dir):
     return linking.probe_strings(_keywords(spark, sf_dir)).select("db_id", "keyword", "substring")
 
 
+@query("vl_probe_ranks", _duck("keywords", PROBES, """
+SELECT db_id, keyword, substring, CAST(row_number() OVER (PARTITION BY db_id, keyword ORDER BY length(substring) DESC, substring DESC) AS INT) AS probe_rank FROM subs"""))
+def probe_ranks(spark, sf_dir):
+    probes = linking.probe_strings(_keywords(spark, sf_dir)).select("db_id", "keyword", "substring").distinct()
+    return linking.ranked_probes(probes)
+
+
 def _probes(spark, sf_dir):
     return linking.probe_strings(_keywords(spark, sf_dir)).select("db_id", "substring")
 
@@ -166,6 +173,19 @@ def set_join(spark, sf_dir):
     return linking.near_pairs(probes, values).drop("left_id", "right_id").withColumn("jaccard", F.round("jaccard", 6))
 
 
+@query("vl_store_near", _duck(ALL, SETS, """
+SELECT db_id, substring, table_name, column_name, value, round(jaccard, 6) AS jaccard FROM alike WHERE common * 100 >= either * 80"""))
+def store_near(spark, sf_dir):
+    """Near values from a store that got the values in two batches, the second one with values of the first."""
+    values, probes = _stored(spark, sf_dir)
+    part = F.pmod(F.xxhash64("value"), F.lit(3))
+    path = fresh_path(spark, "value-store")
+    value_store.created(values.filter(part < 2), path, buckets=16)
+    store = value_store.opened(spark, path)
+    value_store.merge(store, values.filter(part > 0))
+    return value_store.near(store, probes, linking.NEAR_PERCENT).withColumn("jaccard", F.round("jaccard", 6))
+
+
 @query("vl_lsh_candidates", _duck(ALL, NEAR, "SELECT db_id, substring, table_name, column_name, value FROM pairs"))
 def lsh_candidates(spark, sf_dir):
     return _banded(spark, sf_dir).select("db_id", "substring", "table_name", "column_name", "value")
@@ -215,6 +235,29 @@ def edit_blocks(spark, sf_dir):
     return linking.edit_filter(_matches(spark, sf_dir), blocks=True)
 
 
+GROUP_OF_VALUES = "PARTITION BY db_id, keyword, table_name, column_name"
+
+
+@query("vl_similar_entities", _duck(ALL, MATCHES, f"""
+SELECT db_id, keyword, substring, table_name, column_name, similar_value, round(edit_similarity, 6) AS edit_similarity, round(embedding_similarity, 6) AS embedding_similarity
+FROM (SELECT *, max(embedding_similarity) OVER ({GROUP_OF_VALUES}) AS best FROM (
+ SELECT * FROM (SELECT *, max(edit_similarity) OVER ({GROUP_OF_VALUES}) AS top FROM (
+  SELECT f.*, {SIMILAR} AS edit_similarity, list_sum([CAST(l.embedding[i] AS DOUBLE) * r.embedding[i] for i in range(1, len(l.embedding) + 1)]) AS embedding_similarity
+  FROM found f JOIN embeddings l ON l.vec_id = length(f.substring) JOIN embeddings r ON r.vec_id = length(f.similar_value)) x
+  WHERE edit_similarity >= 0.3 AND embedding_similarity >= 0.6) a WHERE edit_similarity >= 0.9 * top) b) c
+WHERE embedding_similarity >= 0.9 * best"""))
+def similar_entities(spark, sf_dir):
+    """The whole flow: probes, closest values, both filters, refinement.  A text's vector is the one of its length."""
+    values, probes = _stored(spark, sf_dir)
+    texts = probes.select(F.col("substring").alias("text")).union(values.select("value")).distinct()
+    stored = fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("_length"), "embedding")
+    vectors = texts.withColumn("_length", F.length("text")).join(stored, "_length").drop("_length")
+    kept = linking.similar_entities(_keywords(spark, sf_dir), values, write_and_read(vectors, "vectors"), by=("keyword",))
+    return kept.select("db_id", "keyword", "substring", "table_name", "column_name", "similar_value",
+                       F.round("edit_similarity", 6).alias("edit_similarity"),
+                       F.round("embedding_similarity", 6).alias("embedding_similarity"))
+
+
 # Vectors of two texts per stored vector: the vector, and a blend with the next.
 BLEND = """SELECT a.vec_id, a.embedding AS l, {blend} AS r FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"""
 
