@@ -4,20 +4,22 @@ Each language has a suffix automaton of a bounded sample of its labelled text.
 A text is cross-parsed with every automaton: from each place the longest string
 that the sample holds is one phrase, and the language whose parse needs the
 fewest phrases, relative to what its own held-back text needs, wins.  Automata
-are tables over a small alphabet, and many blocks of text are parsed at once,
+are tables over an alphabet of their own language, and many blocks of text are parsed at once,
 one step of all blocks at a time.  A block is first parsed as if a phrase began
 with it; then the phrase that the block before it left open is carried on until
 both parses begin a phrase at the same place, from where they agree.
 
-The sample is ``docs_per_lang`` different texts of each language, the first
-``chars_per_doc`` characters of each; half of it builds the automaton, half
-sets the rate.  Texts are parsed whole.  Null texts and texts without a letter
+The sample is ``docs_per_lang`` different texts of each language, of each a
+span of ``chars_per_doc`` characters whose place the text's digest gives; half
+of it builds the automaton, half sets the rate.  Texts are parsed whole.  Null texts and texts without a letter
 are ``und`` with score 0, as is everything when nothing is labelled.  Ties go
 to the name that sorts first; repeated rows get equal answers.
 """
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -34,17 +36,26 @@ def codes(text: str, table: np.ndarray) -> np.ndarray:
     return table[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
 
 
+@cache
+def letters() -> np.ndarray:
+    """1 for every code point that is a letter."""
+    return np.array([chr(c).isalpha() for c in range(CODE_POINTS)], np.uint8)
+
+
 def alphabet(texts: list[str]) -> np.ndarray:
-    """Code 0 for what is no letter, 1 for rare letters, then the frequent letters."""
+    """Code 0 for what is no letter, 1 for letters that the texts lack, then their letters, the frequent ones first.
+
+    Beyond ``LETTERS`` they share codes in turn, so that a script of thousands
+    of letters keeps most strings apart and no letter seen counts as unseen.
+    """
     counts: dict[str, int] = {}
     for t in texts:
         for ch in t.lower():
             if ch.isalpha():
                 counts[ch] = counts.get(ch, 0) + 1
-    table = np.zeros(CODE_POINTS, np.uint8)
-    table[[c for c in range(CODE_POINTS) if chr(c).isalpha()]] = 1
-    for k, ch in enumerate(sorted(counts, key=lambda c: (-counts[c], c))[:LETTERS]):
-        table[ord(ch)] = k + 2
+    table = letters().copy()
+    for k, ch in enumerate(sorted(counts, key=lambda c: (-counts[c], c))):
+        table[ord(ch)] = k % LETTERS + 2
     return table
 
 
@@ -161,8 +172,10 @@ def fit(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG, chars_per_doc:
     """The model of a bounded sample of ``labelled`` (doc_id, text, lang)."""
     rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
     # Copies count once; they are reduced before the shuffle, as are the texts to what is used of them.
+    start = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - chars_per_doc, F.lit(0)) + 1) + 1
+    span = F.substring("text", start.cast("int"), F.lit(chars_per_doc))
     texts = below_share(rows, "lang", F.xxhash64("text"), docs_per_lang).groupBy(
-        "lang", F.xxhash64("text").alias("h")).agg(F.min(F.substring("text", 1, chars_per_doc)).alias("text"))
+        "lang", F.xxhash64("text").alias("h")).agg(F.min(span).alias("text"))
     order = Window.partitionBy("lang").orderBy("h", "text")
     sample = texts.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= docs_per_lang).select(
         "lang", "r", "text").collect()
@@ -170,14 +183,14 @@ def fit(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG, chars_per_doc:
     for row in sorted(sample, key=lambda x: (x.lang, x.r)):
         by.setdefault(row.lang, []).append(row.text)
     langs = sorted(by)
-    table = alphabet([t for lang in langs for t in by[lang]])
-    tables, rates = [], []
+    alphabets, tables, rates = [], [], []
     for lang in langs:
         texts = by[lang]
-        tables.append(automaton(np.concatenate([codes(t + "\n", table) for t in texts[::2]])))
-        own = [codes(t, table) for t in (texts[1::2] or texts)]
+        alphabets.append(alphabet(texts))
+        tables.append(automaton(np.concatenate([codes(t + "\n", alphabets[-1]) for t in texts[::2]])))
+        own = [codes(t, alphabets[-1]) for t in (texts[1::2] or texts)]
         rates.append(parse(own, tables[-1:]).sum() / max(1, sum(map(len, own))) or 1.0)
-    return {"langs": langs, "table": table, "tables": tables, "rates": np.array(rates)}
+    return {"langs": langs, "alphabets": alphabets, "tables": tables, "rates": np.array(rates)}
 
 
 def predict(docs: DataFrame, model: dict, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -186,16 +199,20 @@ def predict(docs: DataFrame, model: dict, text: str = "text", doc_id: str = "doc
 
     def run(batches):
         m = shared.value
-        langs, table = m["langs"], m["table"]
+        langs = m["langs"]
         for batch in batches:
             names, scores = [], []
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for part in _bounded(texts, 4_000_000):
-                encoded = [codes(t, table) for t in part]
-                letters = np.array([bool(e.any()) for e in encoded])
-                cost = parse(encoded, m["tables"]) / m["rates"] if langs else np.zeros((len(part), 0))
+                points = [np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32) for t in part]
+                cost, lettered = np.zeros((len(part), len(langs))), np.zeros(len(part), bool)
+                for k, (table, automat) in enumerate(zip(m["alphabets"], m["tables"])):
+                    encoded = [table[p] for p in points]
+                    cost[:, k] = parse(encoded, [automat])[:, 0] / m["rates"][k]
+                    if not k:  # what is a letter is the same in all alphabets
+                        lettered = np.array([bool(e.any()) for e in encoded])
                 for k in range(len(part)):
-                    if not langs or not letters[k]:
+                    if not langs or not lettered[k]:
                         names.append("und")
                         scores.append(0.0)
                         continue

@@ -6,6 +6,9 @@ there.  Matches of at least ``min_match`` words are chained, template by
 template, into spans that cover a template in order with small gaps; a template
 whose chain covers ``min_cover`` of its words labels the file.
 
+Templates are one-line notices and whole licence texts; a text that quotes a
+notice of another one gets both labels.
+
 The base phrases are counted apart, at all places.  Null and empty texts have no
 words, no label and score 0; repeated rows get equal answers.
 """
@@ -17,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .licence_texts import TEXTS
+
 #: Base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: Licence notices as they stand in files, by label.
-TEMPLATES = (
+#: One-line notices as they stand in files, by label.
+NOTICES = (
     ("apache-2.0", "licensed under the apache license version 2 0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that"
             " the following conditions are met"),
@@ -36,6 +41,7 @@ MIN_MATCH, MIN_COVER, MAX_GAP = 2, 0.8, 3
 #: A-Z to a-z; ASCII bytes that are neither letter nor digit part words.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32
              for c in range(256))
+TEMPLATES = NOTICES + tuple((label, b" ".join(t.encode().translate(FOLD).split()).decode()) for label, t in TEXTS)
 
 
 class Automaton:

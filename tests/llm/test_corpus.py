@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from querygrove.llm.common import below_share
 from querygrove.llm import langid, licenses, lzprint, mixing, packing, quality, queries, repeats, simhash, toxicity, warc
+from querygrove.llm.licence_texts import TEXTS
 
 WIDTH = 100
 
@@ -325,6 +326,46 @@ def test_licenses(odd_docs, no_docs, spark):
     assert licenses.scan(odd_docs).count() == odd_docs.count() and licenses.scan(no_docs).count() == 0
 
 
+def test_whole_licence_texts(spark):
+    # As files carry them: comment marks, other line ends, capitals, a holder's name in a disclaimer.
+    marked = {label: " * " + text.replace("\n", "\n * ").upper() for label, text in TEXTS}
+    marked["bsd"] = marked["bsd"].replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "JANE DOE")
+    plain = "the terms of the software and the use of this software with the license in the public domain " * 20
+    cut = " ".join(dict(TEXTS)["zlib"].split()[:60])
+    docs = spark.createDataFrame(list(enumerate([*marked.values(), plain, cut])), "doc_id long, text string")
+    got = {r.doc_id: set(r.labels.split(",")) - {""} for r in licenses.scan(docs).collect()}
+    for k, label in enumerate(marked):
+        assert label in got[k] and got[k] <= {label, "bsd", "mit", "gpl", "apache-2.0"} - ({"isc", "zlib"} - {label}), label
+    assert got[len(marked)] == set() and got[len(marked) + 1] == set()
+
+
+def test_each_language_has_its_alphabet(spark):
+    rng = np.random.default_rng(3)
+    alphabets = {"la": "abcdefghijklmnopqrstuvwxyz", "el": "αβγδεζηθικλμνξοπρστυφχψω", "zh": "".join(map(chr, range(0x4E00, 0x4E00 + 400)))}
+
+    def text(lang, seed):
+        own = np.random.default_rng([len(lang), ord(lang[0]), seed % 7])
+        vocabulary = ["".join(own.choice(list(alphabets[lang]), 4)) for _ in range(30)]
+        return " ".join(rng.choice(vocabulary, 60))
+    rows = [(k, text(lang, k), lang) for k, lang in enumerate(["la", "el", "zh"] * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    for lang, table in zip(model["langs"], model["alphabets"]):
+        other = next(a for name, a in alphabets.items() if name != lang)
+        assert {int(table[ord(c)]) for c in other} == {1}  # letters that the language lacks are no frequent ones
+    assert max(model["alphabets"][2].tolist()) <= langid.LETTERS + 1
+    new = spark.createDataFrame([(k, text(lang, k), lang) for k, lang in enumerate(["zh", "la", "el"] * 5)] + [(99, "ЖЖЖЖ", "?")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.predict(new, model).collect()}
+    assert [got[k].lang_pred for k in range(15)] == ["zh", "la", "el"] * 5
+    assert got[99].lang_pred in alphabets and 0 <= got[99].score <= 1
+
+
+def test_language_sample_takes_spans_of_whole_texts(spark):
+    rows = [(k, "x" * 3000 + f" {k} " + "omega" * 800, "aa") for k in range(30)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model["alphabets"][0][ord("g")] > 1  # a prefix of 1,500 characters has none
+
+
 def test_license_matches_are_longest():
     auto = licenses.Automaton([list("abcab"), list("cabd"), list("bb")])
     whole = ["abcab", "cabd", "bb"]
