@@ -1,7 +1,8 @@
 """The generate-judge-fix loop replayed over recorded rounds.
 
-A sample has at most ``max_retries + 1`` rounds.  Rows beyond that are dropped
-before any window, so every window group is bounded by the policy itself.
+Under a policy a sample has at most ``max_retries + 1`` rounds: :func:`replay`
+drops rows beyond that before any window.  The other operators keep every
+recorded round, so their windows are as long as a sample's record.
 """
 
 from __future__ import annotations

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import execution
 from ..operators.scoring import distinct_queries
 from . import fixtures as fx
+from . import generation
+from . import oracle_text as duck
 from .registry import query
 
 # Pairs of gold and candidate SQL that plan, with what decides their label.
@@ -92,7 +94,7 @@ def syntax(spark, sf_dir):
     return checks.select("db_id", "query", "syntax_check")
 
 
-@query("ex_labels", fx.with_views("candidates", """
+LABELS = """
 SELECT cand_id, exec_res, CASE WHEN kind = 6 THEN 'error' WHEN exec_res = 1 THEN '--' ELSE 'incorrect answer' END AS status
 FROM (SELECT cand_id, kind, CASE WHEN kind < 6 AND kind <> 4 AND len(gold) > 0 AND found = gold THEN 1 ELSE 0 END AS exec_res
  FROM (SELECT cand_id, cand_id % 8 AS kind, g.names AS gold,
@@ -100,7 +102,10 @@ FROM (SELECT cand_id, kind, CASE WHEN kind < 6 AND kind <> 4 AND len(gold) > 0 A
   FROM candidates c JOIN part p ON p.p_partkey = c.cand_id
   JOIN (SELECT k, (SELECT list(DISTINCT p_name ORDER BY p_name) FROM part WHERE p_size > k) AS names FROM range(0, 50) r(k)) g ON g.k = c.question_id % 50
   JOIN (SELECT k, (SELECT list(DISTINCT p_name ORDER BY p_name) FROM part WHERE p_size >= k) AS names FROM range(0, 50) r(k)) e ON e.k = c.question_id % 50
-  JOIN (SELECT p_brand, list(DISTINCT p_name ORDER BY p_name) AS names FROM part GROUP BY p_brand) b ON b.p_brand = p.p_brand) x) y"""))
+  JOIN (SELECT p_brand, list(DISTINCT p_name ORDER BY p_name) AS names FROM part GROUP BY p_brand) b ON b.p_brand = p.p_brand) x) y"""
+
+
+@query("ex_labels", fx.with_views("candidates", LABELS))
 def labels(spark, sf_dir):
     rows = _candidates(spark, sf_dir)
     results = execution.run_queries(spark, _texts(rows), _tables(sf_dir))
@@ -108,6 +113,20 @@ def labels(spark, sf_dir):
     return execution.labelled(rows, results).select("cand_id", "exec_res", status.alias("status"))
 
 
+@query("ex_labelled_answers", fx.with_views("answers", f"""
+SELECT a.cand_id, a.generated_query, CASE WHEN a.cand_id % 5 = 2 THEN 0 ELSE l.exec_res END AS label FROM (SELECT min(cand_id) AS cand_id, generated_query
+ FROM (SELECT source_model, question, cand_id, {duck.collapse(duck.extracted("model_answer"))} AS generated_query FROM answers) t
+ GROUP BY source_model, question, generated_query) a JOIN ({LABELS}) l ON l.cand_id = a.cand_id"""))
+def labelled_answers(spark, sf_dir):
+    """From recorded model answers to labelled candidates: extract, drop repeats, run, compare with the gold query.
+
+    Answers whose fence has an upper-case tag are not extracted, and no query.
+    """
+    rows = fx.view(spark, sf_dir, "answers").withColumn("db_id", F.lit("shop"))
+    found = generation.labelled_answers(spark, rows, _tables(sf_dir), order=("cand_id",))
+    return found.select("cand_id", "generated_query", "label")
+
+
 PREVIEWED = {
     "first orders": "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_orderkey",
     "few parts": "SELECT p_name, nullif(p_size, 50) AS s FROM part WHERE p_size > 49 ORDER BY p_partkey",

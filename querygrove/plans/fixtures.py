@@ -97,6 +97,15 @@ SELECT sample_id, round, judge_label, label, has_sql,
 FROM rounds
 """, "rounds")
 
+# The recorded texts behind those rounds: a fenced query or none, and the judge's answer, which a failed round lacks.
+_view("round_responses", """
+SELECT sample_id, round, CASE WHEN has_sql = 1 THEN 'Then' || chr(10) || repeat(chr(96), 3) || 'sql' || chr(10) || 'SELECT ' || CAST(judge_label AS STRING)
+   || ' AS r' || CAST(round AS STRING) || chr(10) || repeat(chr(96), 3) ELSE 'none for round ' || CAST(round AS STRING) END AS model_response,
+ CASE WHEN label + judge_label <> 7 THEN '<reasoning>scored ' || CAST(judge_label AS STRING) || '</reasoning>' || chr(10)
+   || '<label>' || CAST(judge_label AS STRING) || '</label>' END AS judge_response
+FROM rounds
+""", "rounds")
+
 _view("cat", """
 SELECT * FROM (VALUES ('part','p_partkey','BIGINT'),('part','p_name','TEXT'),('part','p_brand','TEXT'),
  ('part','p_type','TEXT'),('part','p_size','INT'),('part','p_retailprice','DOUBLE'),

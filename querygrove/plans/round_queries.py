@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import rounds
+from ..session import fresh_path
+from ..sources import records
 from . import fixtures as fx
 from .registry import query
 
@@ -29,6 +31,27 @@ def round_replay(spark, sf_dir):
     return rounds.replay(_texts(spark, sf_dir)).select("sample_id", "round", "label", "judged", "stop_reason")
 
 
+@query("ev_from_responses", fx.with_views("rounds", """
+SELECT sample_id, round, CASE WHEN has_sql = 1 THEN 'SELECT ' || judge_label || ' AS r' || round ELSE 'none for round ' || round END AS query, has_sql,
+ CASE WHEN label + judge_label <> 7 THEN 'scored ' || judge_label END AS judge_reasoning,
+ CASE WHEN label + judge_label <> 7 THEN CAST(judge_label AS BIGINT) END AS judge_label FROM rounds"""))
+def from_responses(spark, sf_dir):
+    """Rounds read from what models and judges answered."""
+    read = rounds.from_responses(fx.view(spark, sf_dir, "round_responses"))
+    return read.select("sample_id", "round", "query", "has_sql", "judge_reasoning", F.col("judge_label").cast("bigint").alias("judge_label"))
+
+
+@query("ev_run_manifest", """SELECT 'replay' AS run_id, '{"max_retries": 2, "samples": ' || count(DISTINCT conv_id) || ', "threshold": 7}' AS arguments,
+ 'policy' AS left_out FROM conversations WHERE role = 'assistant'""")
+def run_manifest(spark, sf_dir):
+    """How a replay over the recorded rounds was started, written beside its output and read back."""
+    samples = fx.view(spark, sf_dir, "rounds").select("sample_id").distinct().count()
+    manifest = records.run_manifest(spark, "replay", {"threshold": 7, "max_retries": 2, "samples": samples, "policy": rounds.replay})
+    path = fresh_path(spark, "manifest")
+    records.write_records(manifest, path)
+    return spark.read.schema(manifest.schema).json(path).withColumn("left_out", F.array_join("left_out", ","))
+
+
 @query("ev_error_rounds", fx.with_views("round_texts", """
 SELECT sample_id, round, coalesce(query, before) AS query, 0 AS label, 'no answer: ' || error AS exec_err FROM (
  SELECT *, coalesce(last_value(query IGNORE NULLS) OVER (PARTITION BY sample_id ORDER BY round
