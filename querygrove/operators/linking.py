@@ -275,16 +275,16 @@ def refine(entities: DataFrame, by: list[str]) -> DataFrame:
     similarities, each with the best embedding similarity at it, and the steps
     near the best one are summed up.  Edit similarities are quotients of
     lengths, so a group has few steps however many rows it has, and they are
-    combined before the shuffle.  The bests are stored with the group's size,
-    which tells the hot groups to salt in the one join back.  The entities are
-    read twice, to sum up and to filter.  Runs a job.
+    combined before the shuffle.  The same aggregate has the group's size,
+    which tells the hot groups to salt in the one join back; Spark reuses its
+    shuffle there.
     """
     edit, embedding = F.col("edit_similarity"), F.col("embedding_similarity")
     steps = entities.groupBy(*by, edit).agg(F.max(embedding).alias("_embedding"), F.count(F.lit(1)).alias("_n"))
     top = F.max(edit).over(Window.partitionBy(*by))
-    best = write_and_read(steps.withColumn("_edit", top).groupBy(*by).agg(
+    best = steps.withColumn("_edit", top).groupBy(*by).agg(
         F.first("_edit").alias("_edit"), F.sum("_n").alias("_n"),
-        F.max(F.when(edit >= F.lit(NEAR_BEST) * F.col("_edit"), F.col("_embedding"))).alias("_embedding")), "bests")
+        F.max(F.when(edit >= F.lit(NEAR_BEST) * F.col("_edit"), F.col("_embedding"))).alias("_embedding"))
     joined = hot_salted_lookup(entities, best.drop("_n"), by, "inner", hot=hot_counted(best, by, "_n"))
     return joined.filter((edit >= F.lit(NEAR_BEST) * F.col("_edit")) & (
         embedding >= F.lit(NEAR_BEST) * F.col("_embedding"))).drop("_edit", "_embedding")
