@@ -388,6 +388,50 @@ def test_fingerprints(spark, sf_dir, odd_docs, no_docs):
     assert lzprint.compare_with_edits(no_docs).count() == 0
 
 
+def brute_phrases(text):
+    phrases, k = [], 0
+    while k < len(text):
+        e = k + 1
+        while e < len(text) and text[k:e] in phrases:
+            e += 1
+        phrases.append(text[k:e])
+        k = e
+    return set(phrases)
+
+
+def brute_print(phrases):
+    mask, base, least = (1 << 64) - 1, 0x9E3779B97F4A7C15, {}
+    for p in phrases:
+        x = sum((ord(c) + 1) * pow(base, k, 1 << 64) for k, c in enumerate(p)) & mask
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        x ^= x >> 31
+        least[x >> 57] = min(least.get(x >> 57, mask), x)
+    return [min(least[k] >> 41 & 0xFFFF, 0xFFFE) if k in least else 0xFFFF for k in range(128)]
+
+
+def test_fingerprints_against_brute_force(spark, sf_dir):
+    texts = [r.text for r in documents(spark, sf_dir).orderBy("doc_id").limit(60).collect()]
+    texts += ["", "a", "é" * 300, "\U0001F600x" * 50]
+    errors = []
+    for a, b in zip(texts, texts[1:]):
+        half = len(a) // 2
+        edited = a[:len(a) - half] + b[:half]
+        x, y = brute_phrases(a), brute_phrases(edited)
+        read = lzprint.Parsed(a)
+        assert read.fingerprint.tolist() == lzprint.signature(a).tolist() == brute_print(x)
+        made, fp = read.edited(b)
+        assert made == edited and fp.tolist() == brute_print(y)
+        errors.append(abs(lzprint.likeness(read.fingerprint, fp) - (len(x & y) / len(x | y) if x | y else 1)))
+    assert max(errors) < 0.2 and np.mean(errors) < 0.05
+
+
+def test_texts_without_blanks_are_alike():
+    rng = np.random.default_rng(12)
+    text = "".join(rng.choice(list("abcdefgh"), 2_000))
+    assert lzprint.likeness(lzprint.signature(text), lzprint.signature(text[:1_000] + "z" + text[1_001:])) > 0.6
+
+
 def test_likeness_follows_phrase_sets():
     rng = np.random.default_rng(9)
     a = [f"w{k}" for k in rng.integers(0, 3000, 4000)]
