@@ -4,31 +4,35 @@ Character n-grams of every word hash to rows of one embedding table, so an
 unseen misspelling shares most of its vectors with the word it bends.  The
 vectors of a segment are averaged and a linear softmax gives its class; table
 and softmax are trained jointly in numpy on a bounded sample of labelled rows
-(``max_rows`` of each label).  A text scores as its most toxic segment of
+(``max_rows`` of each label; of a text beyond ``SPANS`` times ``SPAN_CHARS``
+characters a span at a seeded place in each of ``SPANS`` equal parts).  Digits
+stand inside words, as misspellings put them there.  A text scores as its most toxic segment of
 ``segment`` bytes, so that a long text does not hide a short insult.  A label
 belongs to a whole text, so training starts with whole texts and goes on with
 the segment that scores highest in each.
 
 As the softmax is linear, the model is applied as one number for each table
-row.  Empty and null texts score as the prior of the sample; repeated rows get
-equal scores.  With no label of one kind the score is 0.
+row.  Empty and null texts score as the prior of the sample; repeated rows and
+ties get equal scores, and texts of any length are read whole.  With no label
+of one kind the score is 0; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import below_share, held_out
 
 ROWS, DIM, GRAMS, SEGMENT = 1 << 16, 8, (3, 4, 5), 100
-MAX_ROWS, SAMPLE_CHARS, EPOCHS, MIN_TEXTS = 3_000, 6_000, 8, 4
+MAX_ROWS, SPANS, SPAN_CHARS, EPOCHS, MIN_TEXTS = 3_000, 6, 1_000, 8, 4
 THRESHOLD = 0.3
 LR = 0.1
-#: A-Z to a-z; every other ASCII byte that is no letter parts words.
-FOLD = np.array([c + 32 if 65 <= c <= 90 else 32 if c < 97 or 122 < c < 128 else c for c in range(256)], np.uint8)
+#: A-Z to a-z; every other ASCII byte that is neither letter nor digit parts words.
+FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 else 32 if c < 97 or 122 < c < 128 else c
+                 for c in range(256)], np.uint8)
 
 
 def buckets(raw: np.ndarray):
@@ -128,15 +132,25 @@ def margins(texts: list[str], weight: np.ndarray, bias: float) -> np.ndarray:
     return np.maximum.reduceat(mean, start // SEGMENT) + bias if len(raws) else np.zeros(0)
 
 
+def sampled(text: Column) -> Column:
+    """The whole of a text of at most ``SPANS * SPAN_CHARS`` characters (null: empty), of others a seeded span of each part."""
+    length = F.length(text)
+    part = F.floor(length / SPANS)
+    spans = [F.substring(text, (part * k + F.pmod(F.xxhash64(text, F.lit(k)), part - SPAN_CHARS + 1) + 1).cast("int"),
+                         F.lit(SPAN_CHARS)) for k in range(SPANS)]
+    return F.when(length <= SPANS * SPAN_CHARS, text).otherwise(F.concat_ws("\n", *spans))
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> dict:
-    """The model of a bounded sample: ``max_rows`` texts of each label, ``SAMPLE_CHARS`` characters of each."""
+    """The model of a bounded sample: ``max_rows`` texts of each label, ``SPANS * SPAN_CHARS`` characters of each."""
     order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.max("toxic").alias("toxic")).filter(~held_out("doc_id"))
     chosen = below_share(known, "toxic", F.xxhash64("doc_id"), max_rows).withColumn(
         "r", F.row_number().over(order)).filter(F.col("r") <= max_rows).select("doc_id", "toxic")
-    rows = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text")).join(
-        F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select(
+        "doc_id", "toxic", sampled(F.col("text")).alias("text")).groupBy("doc_id", "toxic").agg(
+        F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r.doc_id, r.toxic))
     y = [int(r.toxic) for r in rows]
     if len(set(y)) < 2:

@@ -456,6 +456,32 @@ def test_toxicity(spark, odd_docs, no_docs):
     assert toxicity.held_out_scores(no_docs, labels).count() == 0
 
 
+def test_toxicity_reads_all_parts_of_labelled_texts(spark):
+    late = "filler " * 3_000 + "grumbler " * 300
+    rows = [("short grumbler",), (late,), ("",), (None,)]
+    got = spark.createDataFrame(rows, "text string").select(toxicity.sampled(F.col("text")).alias("t")).collect()
+    assert [got[0].t, got[2].t, got[3].t] == ["short grumbler", "", ""]
+    spans = got[1].t.split("\n")
+    assert [len(x) for x in spans] == [toxicity.SPAN_CHARS] * toxicity.SPANS and all(x in late for x in spans)
+    assert "grumbler" in spans[-1]
+
+
+def test_toxicity_of_misspellings(spark):
+    rng = np.random.default_rng(18)
+    plain = [f"{a}{b}{c}el" for a in "bcdfgh" for b in "aeiou" for c in "lmnr"]
+    def text(k):
+        own = [plain[j] for j in rng.integers(0, len(plain), 60)]
+        return " ".join(own[:30] + (["grumbl3rs"] if k % 3 == 0 else []) + own[30:])
+    rows = [(k, text(k)) for k in range(900)] + [(1_000 + k, text(1).replace(" ", f" {w} ", 1)) for k, w in
+                                                 enumerate(["grumbl3r", "gruumbl3rs", "GRUMBL3RS", "agrumbl3rs"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(900)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.held_out_scores(docs, labels).collect()}
+    held = [k for k in range(900) if got[k].held_out]
+    assert sum(got[k].predicted == (k % 3 == 0) for k in held) >= 0.97 * len(held) > 0
+    assert [got[1_000 + k].predicted for k in range(4)] == [1] * 4
+
+
 def test_warc_records(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/", "<p>x &lt; y</p><script>no</script>"), (2, None, None)],
                                   "page_id long, url string, html string")
