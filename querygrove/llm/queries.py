@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import langid, licenses, lzprint, mixing, packing, prefixes, quality, repair, repeats, secrets, simhash, toxicity, warc
 from .common import conversations, documents
-from .oracles import WARC
+from .oracles import PREFIXES, REPEATS, WARC
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +68,4 @@ def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_language, op2_mixing, op3_packing, op4_warc, op5_licenses, op6_quality,
                                    op7_fingerprints, op8_toxicity, op9_simhash, op10_repeats, op11_prefixes, op12_repair,
                                    op13_secrets)}
-ORACLES: dict[str, str] = {"op4_warc": WARC}
+ORACLES: dict[str, str] = {"op4_warc": WARC, "op10_repeats": REPEATS, "op11_prefixes": PREFIXES}
