@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, DoubleType, LongType
 
 from .text import let
 
@@ -19,6 +20,7 @@ PERMUTATIONS = 100
 SHINGLE = 3
 BANDS = 25
 BAND_KEY_DIGITS = 15
+KEPT_SIGNATURES = 50_000
 
 
 def _number(text: str) -> int:
@@ -56,6 +58,32 @@ def _signatures(permutations: int, size: int):
     return F.pandas_udf(smallest, ArrayType(LongType()))
 
 
+def estimated_of_texts(left: Column, right: Column) -> Column:
+    """:func:`estimated_jaccard` of the signatures of two texts, neither null.
+
+    Rows of equal texts should stand near each other: signatures of the last
+    ``KEPT_SIGNATURES`` texts or so are kept and not made again.
+    """
+    sign = _signatures(PERMUTATIONS, SHINGLE).func
+
+    def share(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        places, rows = {}, np.empty((0, PERMUTATIONS), dtype=np.int64)
+        for a, b in batches:
+            codes, texts = pd.factorize(pd.concat([a, b], ignore_index=True))
+            if len(places) > KEPT_SIGNATURES:
+                places, rows = {}, rows[:0]
+            new = [t for t in texts if t not in places]
+            if new:
+                places.update(zip(new, range(len(rows), len(rows) + len(new))))
+                rows = np.concatenate([rows, np.stack(sign(pd.Series(new)).to_list())])
+            at = np.array([places[t] for t in texts], dtype=np.int64)[codes]
+            ours, theirs = at[:len(a)], at[len(a):]
+            same = [(rows[ours[i:i + 1024]] == rows[theirs[i:i + 1024]]).sum(axis=1) for i in range(0, len(a), 1024)]
+            yield pd.Series(np.concatenate(same) / PERMUTATIONS if same else [], dtype="float64")
+
+    return F.pandas_udf(share, DoubleType())(left, right)
+
+
 def signature(text: Column, permutations: int = PERMUTATIONS, size: int = SHINGLE) -> Column:
     """The smallest hash of any shingle under each permutation.
 

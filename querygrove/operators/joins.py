@@ -80,6 +80,9 @@ def hot_salted_lookup(facts: DataFrame, lookup: DataFrame, keys: list[str], how:
 
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
     """Rows over all shuffle partitions, for a step that costs more time than
-    bytes: a partition count given here is not merged at run time."""
+    bytes: a partition count given here is not merged at run time.
+
+    Dealt by a digest of the keys: Spark drops a deal by the very keys that the
+    rows come dealt by, and with it the count."""
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(partitions, *keys)
+    return rows.repartition(partitions, F.xxhash64(*keys))

@@ -18,7 +18,7 @@ from ..functions import minhash
 from ..functions.text import let, strip
 from ..session import write_and_read
 from . import setjoin
-from .joins import hot_counted, hot_salted_lookup, salted_lookup, spread
+from .joins import hot_counted, hot_keys, hot_salted_lookup, salted_lookup, spread
 from .profiling import COLUMN
 
 # Which columns are indexed, and the limits of each step.
@@ -171,21 +171,37 @@ def near_pairs(probes: DataFrame, values: DataFrame, percent: int = NEAR_PERCENT
     return _jaccard(setjoin.similar_pairs(left, right, counts, "db_id", percent))
 
 
-def lsh_candidates(probes: DataFrame, index: DataFrame, percent: int = NEAR_PERCENT) -> DataFrame:
-    """The near pairs that a band index finds: those that share a band, with both signatures.
+def lsh_candidates(probes: DataFrame, index: DataFrame) -> DataFrame:
+    """``db_id, substring, table_name, column_name, value``: every pair of one database that shares a band, each once.
 
-    ``probes`` and ``index`` come from :func:`probe_index` and :func:`value_index`.
+    ``probes`` and ``index`` come from :func:`probe_index` and :func:`value_index`.  Each side is stored with a number
+    for its rows; what meets by band are pairs of numbers, and texts are joined to different pairs only.  Signatures
+    are not carried along: :func:`estimated` has them from the texts.
     """
-    marks = index.select(F.col("value_id").alias("right_id"), "signature", "bands")
-    asked = probes.select(F.col("probe_id").alias("left_id"), "probe_signature", "probe_bands")
-    pairs = near_pairs(probes, index, percent).join(marks, "right_id").join(asked, "left_id")
-    return pairs.filter(F.arrays_overlap("probe_bands", "bands"))
+    number = F.monotonically_increasing_id()
+    values = write_and_read(index.select(*COLUMN, "value", "bands", number.alias("_v")), "banded-values")
+    asked = write_and_read(probes.select("db_id", "substring", "probe_bands", number.alias("_p")), "banded-probes")
+    value_rows = values.select("db_id", F.explode("bands").alias("_band"), "_v")
+    probe_rows = asked.select("db_id", F.explode("probe_bands").alias("_band"), "_p")
+    pairs = hot_salted_lookup(value_rows, probe_rows, ["db_id", "_band"], "inner").select("_p", "_v").distinct()
+    # A text with very many pairs is left to Spark's skew join, as pairs are known only at run time.
+    return (pairs.join(values.drop("bands"), "_v").join(asked.select("_p", "substring"), "_p")
+            .select("db_id", "substring", "table_name", "column_name", "value"))
 
 
 def estimated(pairs: DataFrame) -> DataFrame:
-    """Pairs of :func:`lsh_candidates` with the similarity that their signatures estimate."""
-    estimate = minhash.estimated_jaccard(F.col("probe_signature"), F.col("signature"))
-    return pairs.select("db_id", "substring", "table_name", "column_name", "value", estimate.alias("estimated_jaccard"))
+    """Pairs of :func:`lsh_candidates` with the similarity that their signatures estimate.
+
+    A text is far smaller than its signature, so texts are shuffled: the pairs of a database come together, and a
+    task signs each of its texts about once.  Databases with a large part of the pairs are shared by many tasks.
+    """
+    stored = write_and_read(pairs, "candidates")
+    hot = F.broadcast(hot_keys(stored, ["db_id"]))  # at most HOT_PARTS rows
+    salt = F.coalesce(F.pmod(F.xxhash64("substring"), "_salts"), F.lit(0))
+    dealt = (stored.withColumn("_key", F.xxhash64("db_id")).join(hot, "_key", "left").withColumn("_salt", salt)
+             .repartition("db_id", "_salt").sortWithinPartitions("db_id", "substring"))
+    return dealt.select("db_id", "substring", "table_name", "column_name", "value", minhash.estimated_of_texts(
+        F.col("substring"), F.col("value")).alias("estimated_jaccard"))
 
 
 def top_matches(probes: DataFrame, values: DataFrame, limit: int = TOP_MATCHES,

@@ -60,12 +60,12 @@ SETS = f"""{VALUES},
  alike AS (SELECT * EXCLUDE (total), total - common AS either, CAST(common AS DOUBLE) / (total - common) AS jaccard FROM met)"""
 BEST = """ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY db_id, substring ORDER BY jaccard DESC, value, table_name, column_name) AS rn
   FROM alike WHERE common * 100 >= either * 45) r WHERE rn <= 10)"""
-NEAR = f"""{SETS},
- near AS (SELECT * FROM alike WHERE common * 100 >= either * 80),
+BANDED = f"""{VALUES},
+{PROBES},
 {_indexed('idx', 'vals', 'db_id, table_name, column_name, value', 'value')},
 {_indexed('prb', 'probe_texts', 'db_id, substring', 'substring')},
- pairs AS (SELECT n.*, p.sig AS ps, v.sig AS vs FROM near n JOIN prb p USING (db_id, substring)
-  JOIN idx v USING (db_id, table_name, column_name, value) WHERE len(list_intersect(p.bands, v.bands)) > 0)"""
+ pairs AS (SELECT DISTINCT p.db_id, p.substring, v.table_name, v.column_name, v.value, p.sig AS ps, v.sig AS vs
+  FROM (SELECT *, unnest(bands) AS band FROM prb) p JOIN (SELECT *, unnest(bands) AS band FROM idx) v ON p.db_id = v.db_id AND p.band = v.band)"""
 ALL = "cells cell_columns cell_keys keywords"
 
 
@@ -158,8 +158,7 @@ def _probes(spark, sf_dir):
 
 
 def _banded(spark, sf_dir):
-    probes = write_and_read(linking.probe_index(_probes(spark, sf_dir)), "probes")
-    return linking.lsh_candidates(probes, write_and_read(_index(spark, sf_dir), "index"))
+    return linking.lsh_candidates(linking.probe_index(_probes(spark, sf_dir)), _index(spark, sf_dir))
 
 
 def _stored(spark, sf_dir):
@@ -186,12 +185,12 @@ def store_near(spark, sf_dir):
     return value_store.near(store, probes, linking.NEAR_PERCENT).withColumn("jaccard", F.round("jaccard", 6))
 
 
-@query("vl_lsh_candidates", _duck(ALL, NEAR, "SELECT db_id, substring, table_name, column_name, value FROM pairs"))
+@query("vl_lsh_candidates", _duck(ALL, BANDED, "SELECT db_id, substring, table_name, column_name, value FROM pairs"))
 def lsh_candidates(spark, sf_dir):
-    return _banded(spark, sf_dir).select("db_id", "substring", "table_name", "column_name", "value")
+    return _banded(spark, sf_dir)
 
 
-@query("vl_est_jaccard", _duck(ALL, NEAR, """
+@query("vl_est_jaccard", _duck(ALL, BANDED, """
 SELECT db_id, substring, table_name, column_name, value, len([i for i in range(1, 101) if ps[i] = vs[i]]) / 100.0::DOUBLE AS estimated_jaccard FROM pairs"""))
 def est_jaccard(spark, sf_dir):
     return linking.estimated(_banded(spark, sf_dir))
