@@ -60,6 +60,7 @@ def lake(spark, sf_dir):
 
 
 def lake_metadata(spark, sf_dir):
+    fx.stored(spark, sf_dir, "lake_stats")  # first: the columns are its groups
     columns, _ = lake(spark, sf_dir)
     keys = catalog.stored_keys(fx.stored(spark, sf_dir, "lake_keys"), columns)
     stats = fx.stored(spark, sf_dir, "lake_profile").withColumn("examples", F.array("low_value", "high_value"))

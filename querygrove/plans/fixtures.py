@@ -7,6 +7,7 @@ from whole tables, so it grows with them.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from ..session import fresh_path
 
@@ -277,7 +278,26 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return sql(spark, sf_dir, name, f"SELECT * FROM {name}")
 
 
-_STORED: dict[tuple[str, str, str], str] = {}
+_STORED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+# Views over all lines that several stored views are made from: each is stored once for them.
+SHARED = ["lake_columns", "lake_stats"]
+_LINE_KEYS = VIEWS["lake_columns"][VIEWS["lake_columns"].index("(SELECT DISTINCT"):]
+
+
+def _from_stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The view's rows, from the shared views as they are stored."""
+    if name == "lake_columns" and (spark.sparkContext.applicationId, sf_dir, "lake_stats") in _STORED:
+        # The groups of the counted lines are the different keys of the lines.
+        stored(spark, sf_dir, "lake_stats").createOrReplaceTempView("lake_stats")
+        return spark.sql(VIEWS[name].replace(_LINE_KEYS, "(SELECT db_id, table_name, ordinal AS bn FROM lake_stats) b"))
+    needs = _ordered([name])[:-1]
+    shared = [need for need in needs if need in SHARED]
+    if not shared:
+        return view(spark, sf_dir, name)
+    for need in shared:
+        stored(spark, sf_dir, need).createOrReplaceTempView(need)
+    rest = [f"{n} AS (\n{VIEWS[n]}\n)" for n in needs if n not in SHARED]
+    return spark.sql(("WITH " + ",\n".join(rest) + "\n" if rest else "") + VIEWS[name])
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -286,9 +306,10 @@ def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     For views that stand in for stored inputs, such as a catalog.
     """
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    frame = view(spark, sf_dir, name)
     if key not in _STORED:
+        frame = _from_stored(spark, sf_dir, name)
         path = fresh_path(spark, name)
         frame.write.parquet(path)
-        _STORED[key] = path
-    return spark.read.schema(frame.schema).parquet(_STORED[key])
+        _STORED[key] = path, frame.schema
+    path, schema = _STORED[key]
+    return spark.read.schema(schema).parquet(path)
