@@ -24,6 +24,8 @@ SET_OPERATORS = ["union", "except", "intersect"]
 TABLE_CLAUSES = ["from", "join", "on", "using"]
 NEVER_A_NAME = sorted({*sqltext.NOT_AN_ALIAS, *CLAUSES, *SET_OPERATORS, "distinct", "all", "null", "true", "false"})
 END = 2**31 - 1
+# How many characters of texts one task takes apart: the sorted words of a task stay as few however many texts there are.
+CHARACTERS_PER_TASK = 1_000_000
 
 
 def query_id(db_id: Column, query: Column) -> Column:
@@ -34,11 +36,16 @@ def query_id(db_id: Column, query: Column) -> Column:
 def placed_words(queries: DataFrame) -> DataFrame:
     """``id, db_id, pos, word`` and what surrounds it, with the start and part of its scope.
 
-    ``queries`` are distinct ``db_id, query``.  All windows share one exchange
-    by text.
+    ``queries`` are distinct ``db_id, query``; a first pass sums up their
+    lengths.  All windows share one exchange by text, with a task for each
+    ``CHARACTERS_PER_TASK``, so a task's memory does not follow the input.
     """
+    spark = queries.sparkSession
+    length = queries.agg(F.sum(F.length("query").cast("long"))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-length // CHARACTERS_PER_TASK))
+    dealt = queries.select(query_id(F.col("db_id"), F.col("query")).alias("id"), "db_id", "query").repartition(tasks, "id")
     code = F.lower(sqltext.code_only(F.col("query")))
-    rows = queries.select(query_id(F.col("db_id"), F.col("query")).alias("id"), "db_id", F.posexplode(
+    rows = dealt.select("id", "db_id", F.posexplode(
         F.regexp_extract_all(code, F.lit(f"({WORD}|{MARKS})"), F.lit(1))).alias("pos", "word"))
     text = Window.partitionBy("id").orderBy("pos")
     opens_any, closes_any = F.col("word") == "(", F.col("word") == ")"
