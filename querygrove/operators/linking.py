@@ -9,7 +9,10 @@ be stored beside them and checked on the same pairs.  Every step is keyed by
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -18,7 +21,7 @@ from ..functions import minhash
 from ..functions.text import let, strip
 from ..session import write_and_read
 from . import setjoin
-from .joins import hot_counted, hot_keys, hot_salted_lookup, salted_lookup, spread
+from .joins import hot_counted, hot_salted_lookup, salted_lookup, spread, union_all
 from .profiling import COLUMN
 
 # Which columns are indexed, and the limits of each step.
@@ -39,6 +42,11 @@ EMBEDDING_THRESHOLD = 0.6
 NEAR_BEST = 0.9
 # How many files one database of a stored index has at most.
 FILES_PER_DATABASE = 8
+# A database of more rows, or of more pairs of values and probes, is shared by many tasks.
+ROWS_PER_TASK = 100_000
+PAIRS_PER_TASK = 4_000_000
+# Shared bands of a database that are looked at together.
+MEETINGS = 1_000_000
 
 
 def eligible_columns(columns: DataFrame, keys: DataFrame) -> DataFrame:
@@ -175,32 +183,83 @@ def lsh_candidates(probes: DataFrame, index: DataFrame) -> DataFrame:
     """``db_id, substring, table_name, column_name, value``: every pair of one database that shares a band, each once.
 
     ``probes`` and ``index`` come from :func:`probe_index` and :func:`value_index`.  Each side is stored with a number
-    for its rows; what meets by band are pairs of numbers, and texts are joined to different pairs only.  Signatures
-    are not carried along: :func:`estimated` has them from the texts.
+    for its rows.  Signatures are not carried along: :func:`estimated` has them from the texts.  A database is dealt
+    whole to one task, so no pair is shuffled; one that is too large for that has its pairs met by band.
     """
     number = F.monotonically_increasing_id()
     values = write_and_read(index.select(*COLUMN, "value", "bands", number.alias("_v")), "banded-values")
     asked = write_and_read(probes.select("db_id", "substring", "probe_bands", number.alias("_p")), "banded-probes")
+    large = _large_databases(values, asked)
+    parts = []
+    for how, pairs in (("left_anti", _pairs_in_database), ("left_semi", _pairs_by_band)):
+        found = pairs(*[rows.join(large, "db_id", how) for rows in (values, asked)])
+        parts.append(found.select("db_id", "substring", "table_name", "column_name", "value"))
+    return union_all(parts)
+
+
+def _large_databases(values: DataFrame, asked: DataFrame) -> DataFrame:
+    """``db_id`` of the databases that are too large for one task."""
+    sizes = write_and_read(values.groupBy("db_id").agg(F.count(F.lit(1)).alias("_values")).join(
+        asked.groupBy("db_id").agg(F.count(F.lit(1)).alias("_probes")), "db_id"), "database-sizes")
+    rows, pairs = F.col("_values") + F.col("_probes"), F.col("_values").cast("double") * F.col("_probes")
+    return sizes.filter((rows > ROWS_PER_TASK) | (pairs > PAIRS_PER_TASK)).select("db_id")
+
+
+def _pairs_in_database(values: DataFrame, asked: DataFrame) -> DataFrame:
+    """The pairs of databases that a task holds whole: both sides come together, so no pair is shuffled."""
+    def met(probes: pa.Table, rows: pa.Table) -> pa.Table:
+        left, right = shared_bands(probes["probe_bands"], rows["bands"])
+        return pa.table([rows["db_id"].take(right), probes["substring"].take(left),
+                         *[rows[c].take(right) for c in ("table_name", "column_name", "value")]],
+                        names=["db_id", "substring", "table_name", "column_name", "value"])
+
+    sides = [rows.filter("db_id IS NOT NULL").groupBy("db_id") for rows in (
+        asked.select("db_id", "substring", "probe_bands"), values.select(*COLUMN, "value", "bands"))]
+    return sides[0].cogroup(sides[1]).applyInArrow(
+        met, "db_id string, substring string, table_name string, column_name string, value string")
+
+
+def shared_bands(left: pa.ChunkedArray, right: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all rows of both sides that share a band, by the left one, each pair once."""
+    def flat(bands: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        lists = bands.combine_chunks()
+        return pc.list_flatten(lists).to_numpy(zero_copy_only=False), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+
+    keys, at = flat(right)
+    order = np.argsort(keys, kind="stable")
+    keys, at = keys[order], at[order]
+    asked, rows = flat(left)
+    first = np.searchsorted(keys, asked, "left")
+    held = np.searchsorted(keys, asked, "right") - first
+    # Runs of left rows with about MEETINGS meetings each, so that what meets more than once stays small.
+    run = (np.cumsum(held) - held) // MEETINGS
+    new_row = np.r_[True, rows[1:] != rows[:-1]] if len(rows) else np.zeros(0, dtype=bool)
+    run = np.maximum.accumulate(np.where(new_row, run, 0)) if len(rows) else run
+    found = []
+    for each in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(run)) + 1):
+        n = held[each]
+        places = np.arange(n.sum()) + np.repeat(first[each] - (np.cumsum(n) - n), n)
+        found.append(np.unique(np.repeat(rows[each], n) * len(right) + at[places]))
+    pairs = np.concatenate(found)
+    return (pairs // len(right), pairs % len(right)) if len(right) else (pairs, pairs)
+
+
+def _pairs_by_band(values: DataFrame, asked: DataFrame) -> DataFrame:
+    """The pairs of databases that many tasks share: two numbers meet by band, texts are joined to different pairs."""
     value_rows = values.select("db_id", F.explode("bands").alias("_band"), "_v")
     probe_rows = asked.select("db_id", F.explode("probe_bands").alias("_band"), "_p")
     pairs = hot_salted_lookup(value_rows, probe_rows, ["db_id", "_band"], "inner").select("_p", "_v").distinct()
     # A text with very many pairs is left to Spark's skew join, as pairs are known only at run time.
-    return (pairs.join(values.drop("bands"), "_v").join(asked.select("_p", "substring"), "_p")
-            .select("db_id", "substring", "table_name", "column_name", "value"))
+    return pairs.join(values.drop("bands"), "_v").join(asked.drop("probe_bands"), ["db_id", "_p"])
 
 
 def estimated(pairs: DataFrame) -> DataFrame:
     """Pairs of :func:`lsh_candidates` with the similarity that their signatures estimate.
 
-    A text is far smaller than its signature, so texts are shuffled: the pairs of a database come together, and a
-    task signs each of its texts about once.  Databases with a large part of the pairs are shared by many tasks.
+    A text is signed where its pairs are, which come by database and probe, so neither texts nor signatures are
+    shuffled.  Pairs in another order have the same estimates, but their texts are signed more often.
     """
-    stored = write_and_read(pairs, "candidates")
-    hot = F.broadcast(hot_keys(stored, ["db_id"]))  # at most HOT_PARTS rows
-    salt = F.coalesce(F.pmod(F.xxhash64("substring"), "_salts"), F.lit(0))
-    dealt = (stored.withColumn("_key", F.xxhash64("db_id")).join(hot, "_key", "left").withColumn("_salt", salt)
-             .repartition("db_id", "_salt").sortWithinPartitions("db_id", "substring"))
-    return dealt.select("db_id", "substring", "table_name", "column_name", "value", minhash.estimated_of_texts(
+    return pairs.select("db_id", "substring", "table_name", "column_name", "value", minhash.estimated_of_texts(
         F.col("substring"), F.col("value")).alias("estimated_jaccard"))
 
 
