@@ -57,14 +57,16 @@ def hot_counted(counts: DataFrame, keys: list[str] | None, count: str) -> DataFr
 
 
 def hot_salted_lookup(facts: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left",
-                      hot: DataFrame | None = None) -> DataFrame:
+                      hot: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """Join rows with a lookup side that may be as large, salting hot keys only.
 
     A hot key has a salt for each ``HOT_PARTS``-th of the rows that it holds.
 
     One narrow pass counts the keys by digest, unless ``hot`` brings the result
     of :func:`hot_keys` along.  The facts should be cheap to read twice, as a
-    stored table is.  Only the lookup rows of hot keys are repeated.
+    stored table is.  Only the lookup rows of hot keys are repeated.  ``tasks``
+    deals both sides to that many tasks, for rows that a session's shuffle
+    partitions are too few for.
     """
     hot = F.broadcast(hot if hot is not None else hot_keys(facts, keys))  # at most HOT_PARTS rows
 
@@ -75,6 +77,8 @@ def hot_salted_lookup(facts: DataFrame, lookup: DataFrame, keys: list[str], how:
         facts, keys, F.col("_salts"))).otherwise(F.lit(0))).drop("_salts")
     copies = F.when(F.col("_salts").isNotNull(), F.sequence(F.lit(0), F.col("_salts") - 1)).otherwise(F.array(F.lit(0)))
     right = marked(lookup).withColumn("_salt", F.explode(copies)).drop("_salts")
+    if tasks:
+        left, right = (side.repartition(tasks, *keys, "_salt") for side in (left, right))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -21,7 +21,7 @@ from ..functions import minhash
 from ..functions.text import let, strip
 from ..session import write_and_read
 from . import setjoin
-from .joins import hot_counted, hot_salted_lookup, salted_lookup, spread, union_all
+from .joins import SALT_BUCKETS, hot_counted, hot_salted_lookup, salted_lookup, spread, union_all
 from .profiling import COLUMN
 
 # Which columns are indexed, and the limits of each step.
@@ -47,6 +47,8 @@ ROWS_PER_TASK = 100_000
 PAIRS_PER_TASK = 4_000_000
 # Shared bands of a database that are looked at together.
 MEETINGS = 1_000_000
+# Rows of the refinement that one task holds.
+STEP_ROWS = 500_000
 
 
 def eligible_columns(columns: DataFrame, keys: DataFrame) -> DataFrame:
@@ -352,19 +354,45 @@ def refine(entities: DataFrame, by: list[str]) -> DataFrame:
     lengths, so a group has few steps however many rows it has, and they are
     combined before the shuffle.  The same aggregate has the group's size,
     which tells the hot groups to salt in the one join back; Spark reuses its
-    shuffle there.
+    shuffle there.  The rows are counted first, as the number of tasks follows
+    them: they should be cheap to read twice, as a stored table is.  Where that
+    is more than the cores, the bests are stored while this is called.
     """
     edit, embedding = F.col("edit_similarity"), F.col("embedding_similarity")
-    steps = entities.groupBy(*by, edit).agg(F.max(embedding).alias("_embedding"), F.count(F.lit(1)).alias("_n"))
+    tasks = _tasks_of_rows(entities)
+    steps = _steps(entities, by, tasks)
     top = F.max(edit).over(Window.partitionBy(*by))
     best = steps.withColumn("_edit", top).groupBy(*by).agg(
         F.first("_edit").alias("_edit"), F.sum("_n").alias("_n"),
         F.max(F.when(edit >= F.lit(NEAR_BEST) * F.col("_edit"), F.col("_embedding"))).alias("_embedding"))
-    joined = hot_salted_lookup(entities, best.drop("_n"), by, "inner", hot=hot_counted(best, by, "_n"))
+    if tasks:
+        best = write_and_read(best, "bests")
+    joined = hot_salted_lookup(entities, best.drop("_n"), by, "inner", hot=hot_counted(best, by, "_n"), tasks=tasks)
     return joined.filter((edit >= F.lit(NEAR_BEST) * F.col("_edit")) & (
         embedding >= F.lit(NEAR_BEST) * F.col("_embedding"))).drop("_edit", "_embedding")
 
 
+def _tasks_of_rows(rows: DataFrame) -> int | None:
+    """A task for each ``STEP_ROWS`` rows, so that none grows with the input; none said where the cores are enough."""
+    tasks = -(-rows.count() // STEP_ROWS)
+    return tasks if tasks > rows.sparkSession.sparkContext.defaultParallelism else None
+
+
+def _steps(entities: DataFrame, by: list[str], tasks: int | None) -> DataFrame:
+    """The different edit similarities of each group with the best embedding similarity at it and their rows.
+
+    In ``tasks`` tasks, if said, by group; a step of very many rows is then combined in eight parts first.
+    """
+    edit, embedding = F.col("edit_similarity"), F.col("embedding_similarity")
+    counted = [F.max(embedding).alias("_embedding"), F.count(F.lit(1)).alias("_n")]
+    if tasks is None:
+        return entities.groupBy(*by, edit).agg(*counted)
+    salt = F.pmod(F.xxhash64(*entities.columns), F.lit(SALT_BUCKETS)).alias("_salt")
+    dealt = entities.select(*by, edit, embedding, salt).repartition(tasks, *by, "edit_similarity", "_salt")
+    parts = dealt.groupBy(*by, edit, "_salt").agg(*counted).drop("_salt")
+    return parts.repartition(tasks, *by).groupBy(*by, edit).agg(F.max("_embedding").alias("_embedding"), F.sum("_n").alias("_n"))
+
+
 def similar_entities(keywords: DataFrame, index: DataFrame, vectors: DataFrame,
                      by: tuple[str, ...] = (), blocks: bool = False) -> DataFrame:
     """All steps for many requests at once: matches, both filters, refinement.
