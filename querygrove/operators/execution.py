@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import threading
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -35,6 +36,8 @@ WORKERS = 4
 # The size of a preview, and status texts.
 SHOWN_ROWS = 20
 PREVIEW_CHARS = 2000
+# One row in so many is ranked for the bound that all rows of a preview are then compared with.
+RANKED_FOR_BOUND = 64
 RIGHT, WRONG, TIMEOUT = "--", "incorrect answer", "timeout"
 
 # Function names that reach outside SQL.
@@ -43,6 +46,8 @@ REFUSED_IN_PLAN = re.compile(r"\b(reflect|try_reflect|java_method|callmethodviar
 QUERY_START = re.compile(r"[\s(]*(select|with|values)\b", re.IGNORECASE)
 QUOTED_TEXT = re.compile(r"'[^']*'|\"[^\"]*\"")
 ORDERED = re.compile(r"\border\s+by\b", re.IGNORECASE)
+# Characters that JSON escapes, as SQL text of a Java pattern.
+ESCAPED = r"""[\\x00-\\x1f"\\\\]"""
 RELATION = re.compile(r"UnresolvedRelation \[([^\]]*)\]")
 COMMON_TABLES = re.compile(r"\bCTE \[([^\]]*)\]")
 
@@ -172,10 +177,12 @@ def _printed(df: DataFrame, chars: int) -> str:
     for name, field in zip(_names(df), df.schema.fields):
         text = f"CAST({name} AS STRING)"
         if not isinstance(field.dataType, T.NumericType):
-            listed = f"to_json(array({text}))"
-            text = f"substring({listed}, 2, length({listed}) - 2)"
+            # Most values need no escapes.  In a list of one the value is quoted, so its own brackets are not trimmed.
+            text = (f"CASE WHEN is_valid_utf8({text}) AND NOT {text} RLIKE '{ESCAPED}' THEN concat('\"', {text}, '\"') "
+                    f"ELSE trim(BOTH '[]' FROM to_json(array({text}))) END")
         cells.append(f"CASE WHEN {name} IS NULL THEN 'null' ELSE {text} END")
-    return f"substring(concat('[', concat_ws(', ', {', '.join(cells)}), ']'), 1, {chars}) AS row"
+    between = ", ', ', ".join(cells)
+    return f"substring(concat('[', {between}, ']'), 1, {chars}) AS row"
 
 
 def _preview_text(n_rows: Column, n_columns: Column, shown: Column, chars: int) -> Column:
@@ -280,55 +287,112 @@ def _plan_all(session: SparkSession, queries: list[str]) -> list[DataFrame | Exc
         return list(pool.map(plan, queries))
 
 
-def _rows_of(shape, df: DataFrame, texts: DataFrame, session: SparkSession, fields: list[str]) -> DataFrame:
-    """``text_id`` and ``fields`` of the rows of all texts of a shape.
+def _rows_of(shape, df: DataFrame, texts: DataFrame, session: SparkSession, more: tuple[str, ...] = ()) -> DataFrame:
+    """``text_id`` and the values of the rows of all texts of a shape, named by :func:`_names`.
 
     The literals of the texts are a table; the shape is a lateral sub-query
-    that reads its own from there.
+    that reads its own from there.  ``more`` names columns of the texts, for
+    shapes with literals.
     """
     columns = ", ".join(_names(df))
     if not shape.n_literals:
-        return session.sql(f"SELECT '{shape.text_id}' AS text_id, {', '.join(fields)} FROM ({wrapped(shape.query)}) r({columns})")
+        return session.sql(f"SELECT '{shape.text_id}' AS text_id, {columns} FROM ({wrapped(shape.query)}) r({columns})")
     name = f"literals_{uuid.uuid4().hex}"
     kinds = shape.shape.split(HOLE)[1::2]
-    texts.filter(F.col("shape_id") == shape.shape_id).select("text_id", *[
+    texts.filter(F.col("shape_id") == shape.shape_id).select("text_id", *more, *[
         F.get("literals", F.lit(i)).cast("int" if k == "i" else "string").alias(f"v{i}") for i, k in enumerate(kinds)
     ]).createOrReplaceTempView(name)
     pieces = shape.shape.split(HOLE)
     pieces[1::2] = [f"{name}.v{i}" for i in range(len(kinds))]
-    return session.sql(f"SELECT text_id, {', '.join(fields)} FROM {name}, LATERAL ({wrapped(''.join(pieces))}) r({columns})")
+    told = ", ".join(["text_id", *more])
+    return session.sql(f"SELECT {told}, {columns} FROM {name}, LATERAL ({wrapped(''.join(pieces))}) r({columns})")
 
 
-def _summaries(session: SparkSession, planned_shapes: list, texts: DataFrame, with_preview: tuple[int, int] | None) -> DataFrame:
+def _ids(planned_shapes: list) -> list[str]:
+    return [shape.shape_id for shape, _ in planned_shapes]
+
+
+def _bounded(session: SparkSession, planned_shapes: list, texts: DataFrame, with_preview: tuple[int, int]) -> DataFrame:
+    """The texts of shapes with literals, with a ``bound``: a row of theirs, as text, that the last one shown does not exceed.
+
+    It is the last of the rows to show among a part of the text's rows, so as
+    many of all its rows are not above it, whichever the part.  Null where the
+    part is too small to tell.
+    """
+    rows, chars = with_preview
+    some = union_all([_rows_of(shape, df, texts, session).filter(F.rand(42) * RANKED_FOR_BOUND < 1).selectExpr(
+        "text_id", _printed(df, chars)) for shape, df in planned_shapes])
+    place = F.row_number().over(Window.partitionBy("text_id").orderBy("row"))
+    bounds = some.withColumn("_rank", place).filter(F.col("_rank") == rows).select("text_id", F.col("row").alias("bound"))
+    return texts.filter(F.col("shape_id").isin(_ids(planned_shapes))).select("shape_id", "text_id", "literals").join(
+        bounds, "text_id", "left")
+
+
+def _printed_rows(shape, df: DataFrame, texts: DataFrame, session: SparkSession, rows: int, chars: int) -> DataFrame:
+    """``text_id, at, row``: rows of the texts of a shape, those to show among them unless they equal the bound of their text."""
+    if shape.n_literals:
+        # The last term, never true, keeps Spark from printing rows before the shape's own comparisons have ruled them out.
+        below = F.col("bound").isNull() | (F.col("row") < F.col("bound")) | (F.rand(42) < 0)
+        printed = _rows_of(shape, df, texts, session, ("bound",)).selectExpr("text_id", "bound", _printed(df, chars)).filter(
+            below).drop("bound")
+    else:
+        printed = _rows_of(shape, df, texts, session).selectExpr("text_id", _printed(df, chars))
+        if ORDERED.search(shape.query):
+            return printed.withColumn("at", F.monotonically_increasing_id())
+        printed = printed.orderBy("row").limit(rows)  # one text: Spark keeps the least in each map task
+    return printed.withColumn("at", F.lit(0).cast("bigint"))
+
+
+def _summaries(session: SparkSession, planned_shapes: list, texts: DataFrame, with_preview: tuple[int, int] | None,
+               bounded: DataFrame | None = None) -> DataFrame:
     """One row per text of the planned shapes.
 
     The row hashes of all texts share one shuffle, so a batch costs two
-    exchanges and not two for each text.
+    exchanges and not two for each text.  ``bounded`` are the stored texts of
+    :func:`_bounded`, which previews of shapes with literals need.
     """
     sizes = session.createDataFrame([(shape.shape_id, len(df.columns)) for shape, df in planned_shapes],
                                     "shape_id string, n_columns int")
-    mine = texts.filter(F.col("shape_id").isin([shape.shape_id for shape, _ in planned_shapes])).select(
+    mine = texts.filter(F.col("shape_id").isin(_ids(planned_shapes))).select(
         "db_id", "query", "text_id", "shape_id").join(F.broadcast(sizes), "shape_id")  # a row for each shape of a batch
-    hashes = union_all([_rows_of(shape, df, texts, session, _hashes(df)) for shape, df in planned_shapes])
+    hashes = union_all([_rows_of(shape, df, texts, session).selectExpr("text_id", *_hashes(df)) for shape, df in planned_shapes])
     sets = (hashes.groupBy("text_id", "a", "b").agg(F.count(F.lit(1)).alias("n"))
             .groupBy("text_id").agg(F.sum("n").alias("n_rows"), *_set_of_rows()))
     out = mine.join(sets, "text_id", "left").na.fill(0, ["n_rows", "n_distinct", "x1", "x2"])
     if with_preview:
         rows, chars = with_preview
-        printed = union_all([_rows_of(shape, df, texts, session, [_printed(df, chars)]).withColumn(
-            "at", F.monotonically_increasing_id() if ORDERED.search(shape.query) else F.lit(0).cast("bigint"))
-            for shape, df in planned_shapes])
+        printed = union_all([_printed_rows(shape, df, bounded, session, rows, chars) for shape, df in planned_shapes])
         first = F.row_number().over(Window.partitionBy("text_id").orderBy("at", "row"))
         lists = printed.withColumn("_rank", first).filter(F.col("_rank") <= rows).groupBy("text_id").agg(
             F.array_sort(F.collect_list(F.struct("at", "row"))).alias("shown"))
-        out = out.join(lists, "text_id", "left").withColumn("preview", _preview_text(
-            F.col("n_rows"), F.col("n_columns"), F.coalesce(F.col("shown.row"), F.array().cast("array<string>")), chars))
+        shown = F.coalesce(F.col("shown.row"), F.array().cast("array<string>"))
+        out = out.join(lists, "text_id", "left")
+        if bounded is not None:  # rows that equal the bound fill the places that are left
+            out = out.join(bounded.select("text_id", "bound"), "text_id", "left")
+            filled = F.slice(F.concat(shown, F.array_repeat("bound", rows)), 1, rows)
+            shown = F.when(F.col("bound").isNotNull(), filled).otherwise(shown)
+        out = out.withColumn("preview", _preview_text(F.col("n_rows"), F.col("n_columns"), shown, chars))
     else:
         out = out.withColumn("preview", F.lit(None).cast("string"))
     return out.select("db_id", "query", "n_columns", "n_distinct", "x1", "x2", "preview",
                       F.lit(None).cast("string").alias("error"))
 
 
+def _write_summaries(session: SparkSession, planned_shapes: list, texts: DataFrame, path: str,
+                     with_preview: tuple[int, int] | None, seconds: float | None, more: list[DataFrame]) -> None:
+    """One job for the summaries and ``more`` rows, and before it one for the bounds of previews; the time limit is for both."""
+    start, bounded = time.monotonic(), None
+    lifted = [(shape, df) for shape, df in planned_shapes if shape.n_literals]
+    if with_preview and lifted:
+        bounds = _bounded(session, lifted, texts, with_preview)
+        bounds_path = f"{path}-bounds-{uuid.uuid4().hex}"
+        _write(session, bounds, bounds_path, seconds)
+        bounded = session.read.schema(bounds.schema).parquet(bounds_path)
+        # At the limit, the second job is cancelled as soon as it starts.
+        seconds = seconds and max(seconds - (time.monotonic() - start), 0.001)
+    _write(session, union_all([*more, _summaries(session, planned_shapes, texts, with_preview, bounded)]), path, seconds)
+
+
 def _write(spark: SparkSession, rows: DataFrame, path: str, seconds: float | None) -> None:
     """One job, under a time limit if there is one; cancelling it raises here.
 
@@ -378,21 +442,22 @@ def _run_batch(session: SparkSession, shapes: list, texts_path: str, path: str,
     try:
         frames = [_failures(texts, failed)] if failed else []
         if good:
-            frames.append(_summaries(session, good, texts, with_preview))
-        _write(session, union_all(frames), path, seconds)
+            _write_summaries(session, good, texts, path, with_preview, seconds, frames)
+        else:
+            _write(session, union_all(frames), path, seconds)
         return
     except Exception:
         failed, alone = list(failed), []
     for shape, df in good:
         try:
-            _write(session, _summaries(session, [(shape, df)], texts, with_preview), path, seconds)
+            _write_summaries(session, [(shape, df)], texts, path, with_preview, seconds, [])
         except Exception as error:
             if not shape.n_literals:
                 failed.append((shape.shape_id, _reason(error)))
                 continue
             for own in _each_text(shape, texts):
                 try:
-                    _write(session, _summaries(session, [(own, planned(session, own.query))], by_text, with_preview), path, seconds)
+                    _write_summaries(session, [(own, planned(session, own.query))], by_text, path, with_preview, seconds, [])
                 except Exception as single:
                     alone.append((own.text_id, _reason(single)))
     for rows, errors in ((texts, failed), (by_text, alone)):

@@ -1,5 +1,7 @@
 """The guard, labels, errors and time limit of recorded queries."""
 
+import json
+
 import pytest
 
 from querygrove.operators import execution
@@ -143,3 +145,52 @@ def test_labelled_answers(spark, tables):
     answers = spark.createDataFrame(rows, "source_model string, db_id string, question string, position int, gold_query string, model_answer string")
     got = {r.position: (r.generated_query, r.label) for r in labelled_answers(spark, answers, tables).collect()}
     assert got == {0: ("SELECT n FROM t", 1), 2: ("SELECT s FROM t", 0)}
+
+
+VALUES = [None, "", "a", "A", 'q"uote', "back\\slash", "[list]", "]", "tab\tnew\nline", "\x01\x1f", "\x7f", "é ü", "\U0001f600", "'s", "null", "{}"]
+
+
+@pytest.fixture(scope="module")
+def many():
+    """40,000 rows: a bound for most texts, none for small ones, and one value in a third of all rows."""
+    def read(session, db_id):
+        texts = session.createDataFrame(list(enumerate(VALUES)), "k int, s string")
+        rows = session.range(0, 40000, 1, 6).selectExpr(
+            "CAST(id % 50 AS INT) AS n", "CASE WHEN id % 3 = 0 THEN 2 ELSE CAST(id * 7919 % 15001 AS INT) END AS m", f"CAST(id % {len(VALUES)} AS INT) AS k")
+        return {"t": rows.join(texts, "k").select("n", "m", "s")}
+    return read
+
+
+SHOWN = ["SELECT s, m FROM t WHERE n > 24", "SELECT s, m FROM t WHERE n > 47", "SELECT m FROM t WHERE n > 3", "SELECT m FROM t WHERE n > 49",
+         "SELECT m, s FROM t WHERE m = 77", "SELECT m, s FROM t WHERE m = 2", "SELECT m FROM t WHERE m = 2 AND n = 5", "SELECT s FROM t",
+         "SELECT count(*) FROM t", "SELECT m FROM t WHERE n > 3 ORDER BY m DESC, n", "SELECT repeat(s, 300) FROM t WHERE n > 1"]
+
+
+def test_previews_show_the_least_of_all_rows(spark, many):
+    queries = spark.createDataFrame([("d", x) for x in SHOWN], QUERY)
+    got = {r["query"]: r.preview for r in execution.run_queries(spark, queries, many, with_preview=True).collect()}
+    session = execution.candidate_session(spark, "d", many)
+    for x in SHOWN:
+        rows = [tuple(r) for r in session.sql(x).collect()]
+        printed = [json.dumps(list(r), ensure_ascii=False)[:execution.PREVIEW_CHARS] for r in rows]
+        if " ORDER BY " not in x:
+            printed.sort(key=lambda text: text.encode())
+        columns = len(rows[0]) if rows else 0
+        want = f"Rows: {len(rows)}, Columns: {columns}, Results: [{', '.join(printed[:20])}]"[:execution.PREVIEW_CHARS]
+        assert got[x].lower() == want.lower(), x  # JSON's hexadecimal escapes may be in either case
+
+
+def test_few_rows_are_ranked_for_a_preview(spark, many, tmp_path):
+    """Every row is compared with the bound of its text, and only those below it are ranked."""
+    session = execution.candidate_session(spark, "d", many)
+    texts = execution.with_shapes(spark.createDataFrame([("d", f"SELECT m FROM t WHERE n > {v}") for v in (3, 9, 24)], QUERY))
+    texts.write.parquet(str(tmp_path / "texts"))
+    texts = session.read.parquet(str(tmp_path / "texts"))
+    first = texts.selectExpr("*", "size(literals) AS n_literals").first()
+    shapes = [(first, execution.planned(session, first["query"]))]
+    execution._bounded(session, shapes, texts, (20, 2000)).write.parquet(str(tmp_path / "bounds"))
+    bounded = session.read.parquet(str(tmp_path / "bounds"))
+    assert bounded.filter("bound IS NULL").count() == 0
+    every = execution._rows_of(*shapes[0], texts, session).count()
+    ranked = execution._printed_rows(*shapes[0], bounded, session, 20, 2000).count()
+    assert every > 80000 and ranked < every / 10
