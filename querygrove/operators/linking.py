@@ -21,7 +21,7 @@ from ..functions import minhash
 from ..functions.text import let, strip
 from ..session import write_and_read
 from . import setjoin
-from .joins import SALT_BUCKETS, hot_counted, hot_salted_lookup, salted_lookup, spread, union_all
+from .joins import SALT_BUCKETS, hot_counted, hot_keys, hot_salted_lookup, salted_lookup, spread, union_all
 from .profiling import COLUMN
 
 # Which columns are indexed, and the limits of each step.
@@ -45,6 +45,8 @@ FILES_PER_DATABASE = 8
 # A database of more rows, or of more pairs of values and probes, is shared by many tasks.
 ROWS_PER_TASK = 100_000
 PAIRS_PER_TASK = 4_000_000
+# Nor does one task hold the shingles of more text than this.
+CHARS_PER_TASK = 4_000_000
 # Shared bands of a database that are looked at together.
 MEETINGS = 1_000_000
 # Rows of the refinement that one task holds.
@@ -199,12 +201,17 @@ def lsh_candidates(probes: DataFrame, index: DataFrame) -> DataFrame:
     return union_all(parts)
 
 
-def _large_databases(values: DataFrame, asked: DataFrame) -> DataFrame:
-    """``db_id`` of the databases that are too large for one task."""
-    sizes = write_and_read(values.groupBy("db_id").agg(F.count(F.lit(1)).alias("_values")).join(
-        asked.groupBy("db_id").agg(F.count(F.lit(1)).alias("_probes")), "db_id"), "database-sizes")
+def _large_databases(values: DataFrame, asked: DataFrame, texts: tuple[str, str] | None = None) -> DataFrame:
+    """``db_id`` of the databases that are too large for one task, by the length of ``texts`` of both sides too."""
+    def sized(rows: DataFrame, count: str, text: str | None) -> DataFrame:
+        chars = F.sum(F.length(text)) if text else F.lit(0).cast("bigint")
+        return rows.groupBy("db_id").agg(F.count(F.lit(1)).alias(count), chars.alias(f"{count}_chars"))
+
+    of_values, of_probes = texts or (None, None)
+    sizes = write_and_read(sized(values, "_values", of_values).join(sized(asked, "_probes", of_probes), "db_id"), "database-sizes")
     rows, pairs = F.col("_values") + F.col("_probes"), F.col("_values").cast("double") * F.col("_probes")
-    return sizes.filter((rows > ROWS_PER_TASK) | (pairs > PAIRS_PER_TASK)).select("db_id")
+    chars = F.col("_values_chars") + F.col("_probes_chars")
+    return sizes.filter((rows > ROWS_PER_TASK) | (pairs > PAIRS_PER_TASK) | (chars > CHARS_PER_TASK)).select("db_id")
 
 
 def _pairs_in_database(values: DataFrame, asked: DataFrame) -> DataFrame:
@@ -269,12 +276,45 @@ def top_matches(probes: DataFrame, values: DataFrame, limit: int = TOP_MATCHES,
                 percents: list[int] = FALLING_PERCENTS) -> DataFrame:
     """The closest values of each probe among those that reach the last of ``percents``, with ``jaccard``.
 
-    Equal similarities go by value, table and column.
+    Equal similarities go by value, table and column.  A database that a task can hold is dealt whole to one, so no
+    pair is shuffled; the pairs of the others are joined.  ``values`` and ``probes`` are read more than once and should
+    be stored.  Jobs run while this is called.
     """
-    left, right, counts = shingle_sets(values, probes)
-    found = setjoin.closest_pairs(left, right, counts, "db_id", limit, percents,
-                                  [F.col(c) for c in ("value", "table_name", "column_name")])
-    return _jaccard(found).drop("left_id", "right_id")
+    sides = [values.select(*COLUMN, "value").filter("db_id IS NOT NULL AND value IS NOT NULL"),
+             probes.select("db_id", "substring").filter("db_id IS NOT NULL AND substring IS NOT NULL")]
+    large = _large_databases(*sides, ("value", "substring"))
+    found = write_and_read(_closest_in_database(*[rows.join(large, "db_id", "left_anti") for rows in sides], limit, percents[-1]),
+                           "closest-in-databases")
+    if large.isEmpty():
+        return _jaccard(found)
+    left, right, counts = shingle_sets(*[rows.join(large, "db_id", "left_semi").distinct() for rows in sides])
+    joined = setjoin.closest_pairs(left, right, counts, "db_id", limit, percents,
+                                   [F.col(c) for c in ("value", "table_name", "column_name")])
+    return _jaccard(union_all([found, joined.select(*found.columns)]))
+
+
+def _closest_in_database(values: DataFrame, asked: DataFrame, limit: int, percent: int) -> DataFrame:
+    """The closest values of each probe as ``common`` of ``either`` shingles, in databases that a task holds whole."""
+    def once(rows: pa.Table, columns: list[str]) -> pa.Table:
+        """Each row once, ordered by ``columns``."""
+        placed = rows.append_column("_at", pa.array(np.arange(len(rows))))
+        first = placed.group_by(columns, use_threads=False).aggregate([("_at", "min")])
+        first = first.take(pc.sort_indices(first, [(c, "ascending") for c in columns], null_placement="at_start"))
+        return rows.take(first["_at_min"])
+
+    def met(probes: pa.Table, rows: pa.Table) -> pa.Table:
+        probes, rows = once(probes, ["substring"]), once(rows, ["value", "table_name", "column_name"])
+        left, right, common, either = setjoin.closest_in_task(probes["tokens"], rows["tokens"], limit, percent)
+        return pa.table([rows["db_id"].take(right), probes["substring"].take(left),
+                         *[rows[c].take(right) for c in ("table_name", "column_name", "value")], common, either],
+                        names=["db_id", "substring", "table_name", "column_name", "value", "common", "either"])
+
+    # Shingles are cut where the rows are dealt to, and not dealt with them.  A partition count given here is kept.
+    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sides = [rows.repartition(tasks, "db_id").withColumn("tokens", minhash.shingles(F.col(text))).groupBy("db_id")
+             for rows, text in ((asked, "substring"), (values, "value"))]
+    return sides[0].cogroup(sides[1]).applyInArrow(
+        met, "db_id string, substring string, table_name string, column_name string, value string, common bigint, either bigint")
 
 
 def matches(keywords: DataFrame, values: DataFrame, limit: int = TOP_MATCHES,
@@ -336,10 +376,14 @@ def dot(left: Column, right: Column) -> Column:
 
 def embedding_filter(pairs: DataFrame, vectors: DataFrame, threshold: float = EMBEDDING_THRESHOLD,
                      left: str = "substring", right: str = "similar_value") -> DataFrame:
-    """Keeps pairs whose stored vectors (``text, embedding``) are close."""
+    """Keeps pairs whose stored vectors (``text, embedding``) are close.
+
+    ``pairs`` are read once for each side, to count its texts, and should be cheap to read, as a stored table is.
+    """
+    hot = {side: hot_keys(pairs, [side]) for side in (left, right)}
     for side, name in ((left, "_left"), (right, "_right")):
         pairs = hot_salted_lookup(pairs, vectors.select(F.col("text").alias(side), F.col("embedding").alias(name)),
-                              [side], "inner")
+                              [side], "inner", hot=hot[side])
     return (pairs.withColumn("embedding_similarity", dot(F.col("_left"), F.col("_right")))
             .drop("_left", "_right").filter(F.col("embedding_similarity") >= threshold))
 
@@ -400,7 +444,7 @@ def similar_entities(keywords: DataFrame, index: DataFrame, vectors: DataFrame,
     ``by`` names the columns of ``keywords`` that tell requests of a database
     apart.  Returns the kept entities; :func:`match_map` sums them up.
     """
-    found = edit_filter(matches(keywords, index), blocks=blocks)
+    found = write_and_read(edit_filter(matches(keywords, index), blocks=blocks), "edited")
     near = write_and_read(embedding_filter(found, vectors), "entities")
     return refine(near, [*by, "db_id", "table_name", "column_name"])
 

@@ -9,12 +9,18 @@ compared.  Thresholds are whole percents, so every bound is exact.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import write_and_read
 from .joins import hot_counted, hot_salted_lookup, union_all
 
+# Shared tokens of two sides that a task looks at together.
+MEETINGS = 1_000_000
+
 
 def token_counts(sets: DataFrame, by: str, tokens: str = "tokens") -> DataFrame:
     """``by, token, held``: how many sets of a group hold a token; stored."""
@@ -112,3 +118,45 @@ def closest_pairs(left: DataFrame, right: DataFrame, counts: DataFrame, by: str,
             open_ = open_.join(full, "left_id", "left_anti")
         found.append(best)
     return union_all(found).drop("_rank")
+
+
+def closest_in_task(left: pa.ChunkedArray, right: pa.ChunkedArray, limit: int, percent: int) -> list[np.ndarray]:
+    """Places of the ``limit`` most similar right sets of each left one, and ``common`` and ``either``, for sets that a task holds.
+
+    The same pairs as :func:`closest_pairs`.  Every shared token is counted, so no set is compared with another; equal
+    similarities go by the place on the right.
+    """
+    def flat(sets: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+        lists = sets.combine_chunks()
+        return pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+
+    (asked, rows), (held, at) = flat(left), flat(right)
+    codes = pa.concat_arrays([asked, held]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    asked, held = codes[:len(rows)], codes[len(rows):]
+    order = np.argsort(held, kind="stable")
+    held, at = held[order], at[order].astype(np.int64)
+    first = np.searchsorted(held, asked, "left")
+    shared = np.searchsorted(held, asked, "right") - first
+    a, b = np.bincount(rows, minlength=len(left)), np.bincount(at, minlength=len(right))
+    # Runs of left sets with about MEETINGS shared tokens each.
+    before = np.cumsum(shared) - shared
+    starts = np.searchsorted(rows, np.arange(len(left)))
+    run = before[np.minimum(starts, max(len(before) - 1, 0))] // MEETINGS if len(before) else np.zeros(len(left), dtype=np.int64)
+    found = [[np.zeros(0, dtype=np.int64)] * 4]
+    for sets in np.split(np.arange(len(left)), np.flatnonzero(np.diff(run)) + 1) if len(left) and len(right) else []:
+        low, high = sets[0], sets[-1] + 1
+        each = np.arange(np.searchsorted(rows, low), np.searchsorted(rows, high))
+        n = shared[each]
+        places = np.arange(n.sum()) + np.repeat(first[each] - (np.cumsum(n) - n), n)
+        met = np.repeat(rows[each] - low, n) * len(right) + at[places]
+        counted = np.bincount(met, minlength=(high - low) * len(right))
+        pairs = np.flatnonzero(counted)
+        x, y, common = pairs // len(right) + low, pairs % len(right), counted[pairs]
+        either = a[x] + b[y] - common
+        near = common * 100 >= either * percent
+        x, y, common, either = x[near], y[near], common[near], either[near]
+        best = np.lexsort((y, -(common / either), x))
+        x, y, common, either = x[best], y[best], common[best], either[best]
+        kept = np.arange(len(x)) - np.searchsorted(x, x) < limit
+        found.append([x[kept], y[kept], common[kept], either[kept]])
+    return [np.concatenate(parts) for parts in zip(*found)]
